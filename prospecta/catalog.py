@@ -295,3 +295,273 @@ def q_score_icp(spark, sf):
 def q_score_topk(spark, sf):
     cand = SG.export_query(_leads(spark, sf), PR.CRIT_DEFAULT, order_by=None)
     return SC.top_k(SC.apply_score(cand, PR.SCORING, PR.TODAY), PR.TOPK)
+
+
+# ===================================================================================
+# Sources, sinks, publish, export, audit, retention, enrichment, demo, ledger, stream
+# ===================================================================================
+
+from datetime import datetime  # noqa: E402
+
+from prospecta.operators import demo as D  # noqa: E402
+from prospecta.operators import enrich as E  # noqa: E402
+from prospecta.plans import audit as AU  # noqa: E402
+from prospecta.plans import export as X  # noqa: E402
+from prospecta.plans import ledger as LG  # noqa: E402
+from prospecta.plans import publish as PB  # noqa: E402
+from prospecta.plans import retention as RT  # noqa: E402
+from prospecta.session import scratch_path  # noqa: E402
+from prospecta.sources import registry as RG  # noqa: E402
+from prospecta.streaming import intake as ST  # noqa: E402
+
+
+def _ts(s: str) -> datetime:
+    return datetime.fromisoformat(s)
+
+
+@register("opencnpj_canonical")
+def q_opencnpj_canonical(spark, sf):
+    valid, _ = M.enforce_contract(M.opencnpj_to_canonical(TD.opencnpj_payloads(spark, sf)))
+    return valid
+
+
+@register("enrich_brasilapi")
+def q_enrich_brasilapi(spark, sf):
+    return E.brasilapi_updates(TD.brasilapi_payloads(spark, sf), _ts(PR.ENRICH_AT))
+
+
+@register("enrich_recherche")
+def q_enrich_recherche(spark, sf):
+    return E.recherche_updates(TD.recherche_payloads(spark, sf), _ts(PR.ENRICH_AT))
+
+
+@register("enrich_merge")
+def q_enrich_merge(spark, sf):
+    upd = E.recherche_updates(TD.recherche_payloads(spark, sf), _ts(PR.ENRICH_AT))
+    valid, _ = E.merge_updates(I.fr_mapped(spark, sf).valid, upd, "id_legal", "siren")
+    return valid
+
+
+@register("siren_extract")
+def q_siren_extract(spark, sf):
+    return E.extract_sirens(TD.recherche_payloads(spark, sf))
+
+
+@register("sitemap_ids")
+def q_sitemap_ids(spark, sf):
+    return E.discover_links(TD.table(spark, sf, "pages"), PR.SITEMAP_N)
+
+
+def _optout_table(spark, sf):
+    return TD.suppression_list_from_leads(_leads(spark, sf))
+
+
+@register("optout_add")
+def q_optout_add(spark, sf):
+    leads = _leads(spark, sf)
+    existing = TD.suppression_list_from_leads(leads)
+    fresh = leads.where(F.lower("email").startswith(PR.OPTOUT_ADD_EMAIL_PREFIX)).select(
+        F.lit("").alias("id_estab"), F.col("email"), F.lit("opt-out novo").alias("motivo")
+    )
+    again = existing.select("id_estab", "email", F.lit("repetido").alias("motivo"))  # already present
+    return G.optout_add(existing, fresh.unionByName(again))
+
+
+@register("optout_remove")
+def q_optout_remove(spark, sf):
+    return G.optout_remove(_optout_table(spark, sf), email="contato16@empresa16.com.br")
+
+
+@register("audit_query")
+def q_audit_query(spark, sf):
+    log = AU.events_as_log(TD.table(spark, sf, "events"))
+    return AU.query_log(log, operacao=PR.AUDIT_OPERACAO, desde=_ts(PR.AUDIT_DESDE), ate=_ts(PR.AUDIT_ATE))
+
+
+def _cache(spark, sf):
+    return RT.cache_from_events(TD.table(spark, sf, "events"), PR.CACHE_TTL_SECONDS)
+
+
+@register("retention_purge")
+def q_retention_purge(spark, sf):
+    from datetime import UTC
+
+    return RT.purge(_cache(spark, sf), _ts(PR.RETENTION_NOW).replace(tzinfo=UTC), PR.RETENTION_DAYS).kept
+
+
+@register("cache_freshness")
+def q_cache_freshness(spark, sf):
+    from datetime import UTC
+
+    return RT.freshness(_cache(spark, sf), _ts(PR.CACHE_NOW).replace(tzinfo=UTC))
+
+
+@register("source_status")
+def q_source_status(spark, sf):
+    _, ledger = LG.ledger_from_events(TD.table(spark, sf, "events"))
+    known = spark.createDataFrame([(f,) for f in S.KNOWN_FONTES], "fonte string")
+    return A.source_status(known, ledger)
+
+
+@register("ledger_pending")
+def q_ledger_pending(spark, sf):
+    available, ledger = LG.ledger_from_events(TD.table(spark, sf, "events"))
+    return LG.pending(available, ledger, strict=True)
+
+
+@register("demo_leads")
+def q_demo_leads(spark, sf):
+    br = D.generate(TD.table(spark, sf, "part"), "p_partkey", "BR", PR.DEMO_SEED, PR.TODAY)
+    fr = D.generate(TD.table(spark, sf, "supplier"), "s_suppkey", "FR", PR.DEMO_SEED, PR.TODAY)
+    root = scratch_path(spark, "demo")
+    X.write_demo(br, root, "BR")
+    X.write_demo(fr, root, "FR")
+    return spark.read.parquet(root)
+
+
+@register("weighted_sample")
+def q_weighted_sample(spark, sf):
+    real = _real_leads(spark, sf).where(F.col("pais") == "BR")
+    props = D.proportions_from(real, "atividade", "cod_atividade").unionByName(D.proportions_from(real, "regiao", "regiao"))
+    cum = D.cumulative_table(props)
+    return D.generate(TD.table(spark, sf, "part"), "p_partkey", "BR", PR.DEMO_SEED, PR.TODAY, cumulative=cum)
+
+
+@register("csv_latin1_scan")
+def q_csv_latin1_scan(spark, sf):
+    landing = scratch_path(spark, "landing")
+    I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.EMPRECSV")
+    I.write_registry_csv(TD.staging_simples(spark, sf), f"{landing}/F.K03200$W.SIMPLES.CSV.D50812")
+    I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.SOCIOCSV")  # ignored
+    staged = scratch_path(spark, "staged")
+    I.stage_directory(spark, landing, staged)
+    return M.parse_empresas(spark.read.parquet(f"{staged}/EMPRESAS"))
+
+
+MALFORMED_SHORT_MOD, MALFORMED_SHORT_REM = 50, 3
+MALFORMED_LONG_MOD, MALFORMED_LONG_REM = 71, 5
+QUOTED_MOD, QUOTED_REM = 13, 2
+
+
+@register("csv_malformed")
+def q_csv_malformed(spark, sf):
+    """Raw lines built from orders: some short, some long, some with a quoted name
+    holding ``;`` and doubled quotes; scanned with the malformed split."""
+    # the order key is recovered from the trade name ("LOJA <key>")
+    rows = TD.staging_estabelecimentos(spark, sf).withColumn(
+        "__k", F.regexp_extract("nome_fantasia", r"(\d+)$", 1).cast("bigint")
+    )
+    quoted = F.concat(F.lit('"LOJA ""'), F.col("__k").cast("string"), F.lit('""; FILIAL"'))
+    fields = [quoted if c == "nome_fantasia" else F.col(c) for c in S.ESTABELECIMENTOS_COLUMNS]
+    fields = [F.when(F.col("__k") % QUOTED_MOD == QUOTED_REM, fields[i]).otherwise(F.col(c)) if c == "nome_fantasia" else fields[i] for i, c in enumerate(S.ESTABELECIMENTOS_COLUMNS)]
+    line = (
+        F.when(F.col("__k") % MALFORMED_SHORT_MOD == MALFORMED_SHORT_REM, F.concat_ws(";", *fields[:-3]))
+        .when(F.col("__k") % MALFORMED_LONG_MOD == MALFORMED_LONG_REM, F.concat_ws(";", *fields, F.lit("X"), F.lit("Y")))
+        .otherwise(F.concat_ws(";", *fields))
+    )
+    path = scratch_path(spark, "malformed")
+    rows.select(line.alias("value")).write.mode("overwrite").text(path)
+    scan = RG.read_positional_csv(spark, path, S.ESTABELECIMENTOS_COLUMNS, encoding="UTF-8")
+    ok = scan.rows.agg(
+        F.count(F.lit(1)).alias("n_ok"),
+        F.sum(F.when(F.col("nome_fantasia").contains('"') & F.col("nome_fantasia").contains(";"), 1).otherwise(0)).cast("bigint").alias("n_quoted"),
+    )
+    bad = scan.malformed.agg(F.count(F.lit(1)).alias("n_malformed"))
+    return ok.join(F.broadcast(bad), how="inner")
+
+
+@register("fr_csv_scan")
+def q_fr_csv_scan(spark, sf):
+    raw = TD.fr_unite_legale(spark, sf)
+    cols = list(reversed(raw.columns))  # header order differs from the layout
+    renamed = [F.col(c).alias(c + " " if c in ("siren", "nomUniteLegale") else c) for c in cols]
+    path = scratch_path(spark, "StockUniteLegale_utf8")
+    I.write_registry_csv(raw.select(*renamed), path, encoding="UTF-8", header=True, sep=",")
+    ul = M.parse_unite_legale(RG.read_named_csv(spark, path, S.UNITE_LEGALE_COLUMNS))
+    return ul.select(
+        "siren", "statut_diffusion", "flag_difusao_restrita", "razao_social", "nome", "categoria_empresa",
+        "natureza_juridica", "unite_purgee", "data_criacao", "ano_efetivos",
+    )
+
+
+@register("csv_probe")
+def q_csv_probe(spark, sf):
+    path = scratch_path(spark, "probe")
+    I.write_registry_csv(TD.staging_estabelecimentos(spark, sf), path)
+    stats, _sample = RG.probe_csv(spark, path)
+    return stats
+
+
+def _publish_root(spark) -> str:
+    return scratch_path(spark, "warehouse")
+
+
+@register("publish_version")
+def q_publish_version(spark, sf):
+    root = _publish_root(spark)
+    res = PB.publish(spark, I.br_mapped(spark, sf).valid, root, "BR")
+    return PB.read_version(spark, root, res.version)
+
+
+@register("carry_forward")
+def q_carry_forward(spark, sf):
+    root = _publish_root(spark)
+    fr = PB.publish(spark, I.fr_mapped(spark, sf).valid, root, "FR", version="v1")
+    if not fr.activated:  # quality rejects duplicate ids; an operator activates it by hand
+        PB.activate(root, fr.version)
+    br = PB.publish(spark, I.br_mapped(spark, sf).valid, root, "BR", version="v2")
+    return PB.read_version(spark, root, br.version)
+
+
+@register("stream_intake")
+def q_stream_intake(spark, sf):
+    from prospecta.schema import ESTABELECIMENTOS_COLUMNS
+
+    landing = scratch_path(spark, "stream-landing")
+    ckpt = scratch_path(spark, "stream-ckpt")
+    out = scratch_path(spark, "stream-out")
+    orders = TD.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    est = TD.staging_estabelecimentos(spark, sf).withColumn(
+        "__k", F.regexp_extract("nome_fantasia", r"(\d+)$", 1).cast("bigint")
+    )
+    est = est.join(orders, est["__k"] == orders["o_orderkey"])
+    schema = TD.staging_estabelecimentos(spark, sf).schema
+    emp = TD.staging_empresas(spark, sf)
+    sim = TD.staging_simples(spark, sf)
+    mun = TD.lookup_municipio(spark, sf)
+    nat = TD.lookup_natureza_juridica(spark, sf)
+
+    def transform(batch):
+        valid, _ = M.enforce_contract(M.br_to_canonical(M.br_joined(batch, emp, sim, mun, nat)))
+        return valid
+
+    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    est.where(early).select(*ESTABELECIMENTOS_COLUMNS).write.mode("append").parquet(f"{landing}/day1")
+    ST.run_available(spark, f"{landing}/*", schema, ckpt, out, transform)
+    est.where(~early).select(*ESTABELECIMENTOS_COLUMNS).write.mode("append").parquet(f"{landing}/day2")
+    ST.run_available(spark, f"{landing}/*", schema, ckpt, out, transform)
+    ST.run_available(spark, f"{landing}/*", schema, ckpt, out, transform)  # nothing new
+    return ST.read_output(spark, out).select(*S.CANONICAL_COLUMNS)
+
+
+def _export(spark, sf, formato: str) -> tuple[str, X.ExportResult]:
+    leads = _leads(spark, sf)
+    dest = scratch_path(spark, f"export-{formato}")
+    log = scratch_path(spark, "audit")
+    res = X.export_leads(spark, leads, _optout(spark, sf, leads), X.ExportRequest(PR.CRIT_DEFAULT, dest, formato, usuario="bench"), log)
+    return dest, res
+
+
+@register("export_csv")
+def q_export_csv(spark, sf):
+    dest, _ = _export(spark, sf, "csv")
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(c, dict(S.CANONICAL_FIELDS)[c]) for c in S.EXPORT_COLUMNS])
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(dest)
+
+
+@register("export_txt")
+def q_export_txt(spark, sf):
+    dest, _ = _export(spark, sf, "txt")
+    return spark.read.text(dest)

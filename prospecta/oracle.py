@@ -557,3 +557,277 @@ def queries() -> dict[str, str]:
     ):
         out[name] = L + f"SELECT * FROM leads WHERE {crit_sql(c)}"
     return out
+
+
+# ===================================================================================
+# Second batch: payloads, opt-out maintenance, audit, cache, ledger, CSV round trips
+# ===================================================================================
+
+_DIGITS = f"{_p('o_custkey', 8)} || {_p('o_orderkey % 10000', 4)} || {_p('o_orderkey % 97', 2)}"
+_CODE = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '8630501' WHEN '2' THEN '4721102' WHEN '3' THEN '6201501' WHEN '4' THEN '5611203' END"
+_UF = "CASE o_orderkey % 6 WHEN 0 THEN 'SP' WHEN 1 THEN 'RJ' WHEN 2 THEN 'MG' WHEN 3 THEN 'BA' WHEN 4 THEN 'PR' ELSE '' END"
+_ENRICH_AT = f"TIMESTAMP '{PR.ENRICH_AT}'"
+
+
+def _opencnpj_sql() -> str:
+    vals = {
+        "pais": "'BR'",
+        "id_legal": f"substr({_DIGITS}, 1, 8)",
+        "id_estab": _DIGITS,
+        "razao_social": "trim(coalesce(CASE WHEN c_custkey % 37 = 5 THEN '' ELSE c_name END, ''))",
+        "nome_fantasia": "NULLIF(CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'Loja ' || CAST(o_orderkey AS VARCHAR) END, '')",
+        "cod_atividade": _CODE,
+        "situacao": "NULLIF(upper(CASE o_orderstatus WHEN 'O' THEN 'Ativa' WHEN 'F' THEN 'Baixada' ELSE '' END), '')",
+        "regiao": _UF,
+        "municipio": "'SAO PAULO'",
+        "cep": f"'01' || {_p('o_orderkey % 1000', 3)} || '000'",
+        "telefone": f"CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE '11' || {_p('o_orderkey', 8)} END",
+        "email": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'contato@empresa' || CAST(o_orderkey % 4000 AS VARCHAR) || '.com.br' END",
+        "data_inicio_atividade": "CASE WHEN o_orderkey % 89 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN DATE '2020-02-01' ELSE CAST(o_orderdate AS DATE) END",
+        "capital_social": "CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS DOUBLE)",
+        "natureza_juridica": (
+            "CASE WHEN c_custkey % 15 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Sociedade Empresaria Limitada' "
+            "ELSE 'Empresario Individual' END"
+        ),
+        "fonte": "'BR_OPENCNPJ'",
+        "is_synthetic": "false",
+        "flag_difusao_restrita": "false",
+    }
+    return (
+        f"WITH m AS (SELECT {_canon(vals)} FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey) "
+        f"SELECT * FROM m WHERE {_VALID}"
+    )
+
+
+_UPD = ("razao_social", "nome_fantasia", "cod_atividade", "situacao", "regiao", "municipio", "cep", "telefone",
+        "data_inicio_atividade", "porte", "capital_social", "natureza_juridica", "flag_difusao_restrita", "fonte", "enriquecido_em")
+_UPD_T = {"data_inicio_atividade": "DATE", "capital_social": "DOUBLE", "flag_difusao_restrita": "BOOLEAN", "enriquecido_em": "TIMESTAMP"}
+
+
+def _upd_cols(vals: dict[str, str]) -> str:
+    return ", ".join(f"CAST({vals.get(c, 'NULL')} AS {_UPD_T.get(c, 'VARCHAR')}) AS {c}" for c in _UPD)
+
+
+def _brasilapi_sql() -> str:
+    vals = {
+        "razao_social": "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'EMPRESA ' || CAST(o_custkey AS VARCHAR) END",
+        "nome_fantasia": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Loja Nova ' || CAST(o_orderkey AS VARCHAR) END",
+        "cod_atividade": _CODE,
+        "situacao": "CASE o_orderstatus WHEN 'O' THEN 'ATIVA' WHEN 'F' THEN 'BAIXADA' ELSE 'SUSPENSA' END",
+        "regiao": f"NULLIF({_UF}, '')",
+        "municipio": "CASE WHEN o_orderkey % 2 = 0 THEN 'SAO PAULO' END",
+        "cep": _p("o_orderkey % 100000", 8),
+        "telefone": f"CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE '11' || {_p('o_orderkey', 8)} END",
+        "data_inicio_atividade": "CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END",
+        "porte": "CASE o_orderkey % 3 WHEN 0 THEN 'MICRO EMPRESA' WHEN 1 THEN 'DEMAIS' END",
+        "capital_social": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(18, 2)) AS DOUBLE) END",
+        "natureza_juridica": "'SOCIEDADE EMPRESARIA LIMITADA'",
+        "fonte": "'BRASILAPI'",
+        "enriquecido_em": _ENRICH_AT,
+    }
+    return f"SELECT {_DIGITS} AS cnpj, {_upd_cols(vals)} FROM orders"
+
+
+_RECH_VALS = {
+    "razao_social": "CASE WHEN s_suppkey % 5 = 0 THEN s_name ELSE upper(s_name) END",
+    "nome_fantasia": "CASE WHEN s_suppkey % 3 = 0 THEN 'SGL' || CAST(s_suppkey AS VARCHAR) END",
+    "cod_atividade": "'62.01Z'",
+    "situacao": "CASE s_suppkey % 4 WHEN 0 THEN 'ATIVA' WHEN 1 THEN 'BAIXADA' WHEN 2 THEN 'C' END",
+    "regiao": _p("s_suppkey % 95 + 1", 2),
+    "municipio": "'PARIS ' || CAST(s_suppkey % 20 AS VARCHAR)",
+    "cep": f"{_p('s_suppkey % 95 + 1', 2)} || '100'",
+    "data_inicio_atividade": "CAST('2015-03-0' || CAST(s_suppkey % 9 + 1 AS VARCHAR) AS DATE)",
+    "natureza_juridica": "'5710'",
+    "flag_difusao_restrita": "s_suppkey % 6 IN (0, 1)",
+    "fonte": "'RECHERCHE_ENTREPRISES'",
+    "enriquecido_em": _ENRICH_AT,
+}
+
+
+def _recherche_sql() -> str:
+    return f"SELECT {_p('s_suppkey', 9)} AS siren, {_upd_cols(_RECH_VALS)} FROM supplier WHERE s_suppkey % 11 <> 0"
+
+
+def _merge_sql() -> str:
+    cols = ", ".join(
+        (f"CAST(coalesce(u.{c}, l.{c}) AS {_UPD_T.get(c, 'VARCHAR')}) AS {c}" if c in _UPD else f"l.{c}")
+        for c in S.CANONICAL_COLUMNS
+    )
+    return (
+        with_("fr_valid")
+        + f", u AS ({_recherche_sql()}), m AS (SELECT {cols} FROM fr_valid l LEFT JOIN u ON l.id_legal = u.siren) "
+        f"SELECT * FROM m WHERE {_VALID}"
+    )
+
+
+_LINK = "regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)"
+
+
+def _sitemap_sql() -> str:
+    return (
+        f"WITH c AS (SELECT page_id, html, len({_LINK}) AS n FROM pages), "
+        "best AS (SELECT page_id FROM c ORDER BY n DESC, page_id ASC LIMIT 1), "
+        f"l AS (SELECT unnest({_LINK}) AS link, unnest(range(len({_LINK}))) AS pos FROM pages WHERE page_id IN (SELECT page_id FROM best)) "
+        f"SELECT CAST(min(pos) AS BIGINT) AS pos, link FROM l GROUP BY link ORDER BY pos LIMIT {PR.SITEMAP_N}"
+    )
+
+
+def _supp_existing() -> str:
+    return (
+        "existing AS (SELECT id_estab, '' AS email, 'opt-out' AS motivo, '' AS registrado_em FROM leads WHERE substr(id_estab, 8, 1) = '3' "
+        "UNION ALL SELECT '' AS id_estab, lower(email) AS email, 'opt-out' AS motivo, '' AS registrado_em FROM leads "
+        "WHERE starts_with(lower(email), 'contato1'))"
+    )
+
+
+def _optout_add_sql() -> str:
+    return (
+        with_("leads")
+        + f", {_supp_existing()}, fresh AS (SELECT DISTINCT '' AS id_estab, lower(trim(email)) AS email, 'opt-out novo' AS motivo, '' AS registrado_em "
+        f"FROM leads WHERE starts_with(lower(email), '{PR.OPTOUT_ADD_EMAIL_PREFIX}')) "
+        "SELECT * FROM existing UNION ALL SELECT * FROM fresh f WHERE NOT EXISTS "
+        "(SELECT 1 FROM existing e WHERE e.id_estab = f.id_estab AND e.email = f.email)"
+    )
+
+
+def _optout_remove_sql() -> str:
+    return (
+        with_("leads")
+        + f", {_supp_existing()} SELECT * FROM existing WHERE NOT (coalesce(lower(trim(email)), '') = 'contato16@empresa16.com.br')"
+    )
+
+
+def _epoch(c: str) -> str:
+    return f"(CAST(epoch_us({c}) AS DOUBLE) / 1000000.0)"
+
+
+def _cache_cte() -> str:
+    return (
+        f"cache AS (SELECT 'user:' || CAST(user_id AS VARCHAR) AS key, props AS value, {_epoch('ts')} AS created_at, "
+        f"{_epoch('ts')} + {float(PR.CACHE_TTL_SECONDS)} AS expires_at FROM events)"
+    )
+
+
+def _retention_sql() -> str:
+    from datetime import UTC, datetime, timedelta
+
+    cutoff = (datetime.fromisoformat(PR.RETENTION_NOW).replace(tzinfo=UTC) - timedelta(days=PR.RETENTION_DAYS)).timestamp()
+    return f"WITH {_cache_cte()} SELECT * FROM cache WHERE created_at >= {cutoff!r}"
+
+
+def _freshness_sql() -> str:
+    from datetime import UTC, datetime
+
+    now = datetime.fromisoformat(PR.CACHE_NOW).replace(tzinfo=UTC).timestamp()
+    return (
+        f"WITH {_cache_cte()}, latest AS (SELECT * FROM cache QUALIFY row_number() OVER "
+        "(PARTITION BY key ORDER BY created_at DESC, expires_at DESC, value DESC) = 1) "
+        f"SELECT *, expires_at >= {now!r} AS fresco FROM latest"
+    )
+
+
+_LEDGER_CTES = (
+    "e AS (SELECT CASE event_type WHEN 'view' THEN 'BR_RECEITA' WHEN 'click' THEN 'FR_SIRENE' ELSE 'OUTRA_' || upper(event_type) END AS fonte, "
+    "strftime(ts, '%Y-%m-%d') AS competencia, ts AS run_at, value FROM events), "
+    "avail AS (SELECT fonte, max(competencia) AS competencia_disponivel FROM e GROUP BY fonte), "
+    "lg AS (SELECT fonte, competencia, run_at, value >= 20 AS activated FROM e WHERE value >= 5), "
+    "last AS (SELECT fonte, arg_max(competencia, run_at) AS ultima_competencia, arg_max(activated, run_at) AS ultima_ativada, "
+    "max(run_at) AS ultima_execucao FROM lg GROUP BY fonte)"
+)
+
+
+def _source_status_sql() -> str:
+    known = " UNION ALL ".join(f"SELECT '{f}' AS fonte" for f in S.KNOWN_FONTES)
+    return (
+        f"WITH {_LEDGER_CTES}, known AS ({known}) "
+        "SELECT k.fonte, l.ultima_competencia, l.ultima_execucao FROM known k LEFT JOIN last l ON k.fonte = l.fonte"
+    )
+
+
+def _ledger_pending_sql() -> str:
+    return (
+        f"WITH {_LEDGER_CTES} SELECT a.fonte, a.competencia_disponivel, l.ultima_competencia, l.ultima_ativada, "
+        "(l.ultima_competencia IS NULL OR l.ultima_competencia <> a.competencia_disponivel OR NOT coalesce(l.ultima_ativada, false)) AS pendente "
+        "FROM avail a LEFT JOIN last l ON a.fonte = l.fonte"
+    )
+
+
+def _csv_latin1_sql() -> str:
+    return (
+        with_("staging_empresas")
+        + "SELECT trim(cnpj_basico) AS cnpj_basico, NULLIF(trim(razao_social), '') AS razao_social, "
+        "NULLIF(trim(natureza_juridica), '') AS natureza_juridica, NULLIF(trim(qualificacao_responsavel), '') AS qualificacao_responsavel, "
+        "TRY_CAST(replace(NULLIF(trim(capital_social), ''), ',', '.') AS DECIMAL(18, 2)) AS capital_social, "
+        "NULLIF(trim(porte_empresa), '') AS porte_empresa, NULLIF(trim(ente_federativo_responsavel), '') AS ente_federativo_responsavel "
+        "FROM staging_empresas"
+    )
+
+
+def _csv_malformed_sql() -> str:
+    bad = "(o_orderkey % 50 = 3 OR o_orderkey % 71 = 5)"
+    return (
+        f"SELECT count(*) FILTER (WHERE NOT {bad}) AS n_ok, "
+        f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 13 = 2) AS BIGINT) AS n_quoted, "
+        f"count(*) FILTER (WHERE {bad}) AS n_malformed FROM orders"
+    )
+
+
+def _fr_csv_sql() -> str:
+    st = "CASE WHEN s_suppkey % 17 = 2 THEN 'P' ELSE 'O' END"
+    return (
+        f"SELECT CASE WHEN s_suppkey % 23 = 6 THEN '8' || {_p('s_suppkey', 8)} ELSE {_p('s_suppkey', 9)} END AS siren, "
+        f"{st} AS statut_diffusion, upper({st}) <> 'O' AS flag_difusao_restrita, "
+        "CASE WHEN s_suppkey % 13 = 4 THEN NULL ELSE upper(s_name) END AS razao_social, "
+        "CASE WHEN s_suppkey % 26 = 4 THEN 'DUPONT' END AS nome, "
+        "CASE s_suppkey % 3 WHEN 0 THEN 'PME' WHEN 1 THEN 'ETI' END AS categoria_empresa, '5710' AS natureza_juridica, "
+        "false AS unite_purgee, CAST(NULL AS DATE) AS data_criacao, CAST(NULL AS INTEGER) AS ano_efetivos FROM supplier"
+    )
+
+
+def _csv_probe_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT 'column{i:02d}' AS coluna, count(*) FILTER (WHERE {c} <> '') AS n_nao_nulos, count(*) AS n_linhas FROM staging_estabelecimentos"
+        for i, c in enumerate(S.ESTABELECIMENTOS_COLUMNS)
+    )
+    return with_("staging_estabelecimentos") + parts
+
+
+def _export_csv_sql() -> str:
+    return with_("g_out") + "SELECT " + ", ".join(S.EXPORT_COLUMNS) + " FROM g_out"
+
+
+def queries_batch2() -> dict[str, str]:
+    ex = _supp_existing()  # noqa: F841
+    return {
+        "opencnpj_canonical": _opencnpj_sql(),
+        "enrich_brasilapi": _brasilapi_sql(),
+        "enrich_recherche": _recherche_sql(),
+        "enrich_merge": _merge_sql(),
+        "siren_extract": f"SELECT {_p('s_suppkey', 9)} AS siren FROM supplier WHERE s_suppkey % 11 <> 0 "
+        "UNION ALL SELECT '999999999' AS siren FROM supplier WHERE s_suppkey % 11 <> 0",
+        "sitemap_ids": _sitemap_sql(),
+        "optout_add": _optout_add_sql(),
+        "optout_remove": _optout_remove_sql(),
+        "audit_query": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
+        "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events "
+        f"WHERE event_type = '{PR.AUDIT_OPERACAO}' AND ts >= TIMESTAMP '{PR.AUDIT_DESDE}' AND ts <= TIMESTAMP '{PR.AUDIT_ATE}'",
+        "retention_purge": _retention_sql(),
+        "cache_freshness": _freshness_sql(),
+        "source_status": _source_status_sql(),
+        "ledger_pending": _ledger_pending_sql(),
+        "csv_latin1_scan": _csv_latin1_sql(),
+        "csv_malformed": _csv_malformed_sql(),
+        "fr_csv_scan": _fr_csv_sql(),
+        "csv_probe": _csv_probe_sql(),
+        "publish_version": with_("br_valid") + "SELECT * FROM br_valid",
+        "carry_forward": with_("real_leads") + "SELECT * FROM real_leads",
+        "stream_intake": with_("br_valid") + "SELECT * FROM br_valid",
+        "export_csv": _export_csv_sql(),
+    }
+
+
+_queries_batch1 = queries
+
+
+def queries() -> dict[str, str]:  # noqa: F811
+    return {**_queries_batch1(), **queries_batch2()}

@@ -54,3 +54,57 @@ def leads(spark: SparkSession, sf_dir: str, *, with_demo: bool = True) -> DataFr
     if with_demo:
         df = df.unionByName(TD.demo_leads_from_part(spark, sf_dir))
     return df
+
+
+def stage_directory(
+    spark: SparkSession,
+    landing: str,
+    parquet_dir: str,
+    *,
+    only: list[str] | None = None,
+) -> dict[str, dict[str, int]]:
+    """SNK1 + SNK2: route the files of a landing folder by entity (SRC9), read each
+    entity's files as one positional scan (SRC1/SRC2), write them as Parquet
+    (``<parquet_dir>/<entity>``) and return ``{entity: {rows, malformed}}``.
+
+    Counting is done by Observation on the same job that writes the Parquet."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    from prospecta import schema as S
+    from prospecta.sources import registry as R
+
+    layouts = {"EMPRESAS": S.EMPRESAS_COLUMNS, "ESTABELECIMENTOS": S.ESTABELECIMENTOS_COLUMNS, "SIMPLES": S.SIMPLES_COLUMNS}
+    out: dict[str, dict[str, int]] = {}
+    for entity, files in sorted(R.route_files(spark, landing, "BR", only).items()):
+        cols = layouts[entity]
+        opts = {**R.BR_CSV_OPTIONS, "nullValue": "\u0000", "emptyValue": ""}
+        spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+        raw = spark.read.schema(R.text_schema(cols)).options(**opts).csv(files)
+        obs = Observation(f"stage_{entity}")
+        raw = raw.observe(
+            obs,
+            F.sum(F.when(F.col(R.CORRUPT).isNull(), 1).otherwise(0)).alias("rows"),
+            F.sum(F.when(F.col(R.CORRUPT).isNotNull(), 1).otherwise(0)).alias("malformed"),
+        )
+        good = raw.where(F.col(R.CORRUPT).isNull()).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
+        good.write.mode("overwrite").parquet(f"{parquet_dir.rstrip('/')}/{entity}")
+        got = obs.get
+        out[entity] = {"rows": int(got.get("rows") or 0), "malformed": int(got.get("malformed") or 0)}
+    return out
+
+
+def write_registry_csv(df: DataFrame, dest: str, *, encoding: str = "ISO-8859-1", header: bool = False, sep: str = ";") -> None:
+    """Write a DataFrame the way registry dumps look: ``;``-separated, double-quote
+    quoting with doubled quotes, empty fields unquoted, latin-1 by default."""
+    (
+        df.write.mode("overwrite")
+        .option("sep", sep)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("encoding", encoding)
+        .option("header", str(header).lower())
+        .option("emptyValue", "")
+        .option("nullValue", "")
+        .csv(dest)
+    )

@@ -19,6 +19,8 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Malformed-row detection in registry CSVs must see every field (see sources).
+    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 

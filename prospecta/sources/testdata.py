@@ -225,3 +225,105 @@ def suppression_list_from_leads(leads: DataFrame) -> DataFrame:
     return ids.unionByName(mails).select(
         "id_estab", "email", F.lit("opt-out").alias("motivo"), F.lit("").alias("registrado_em")
     )
+
+
+# -- JSON payloads (landed API responses) ---------------------------------------------------
+
+
+def _estab_id(k: Column, cust: Column) -> Column:
+    return F.concat(P(cust, 8), P(k % 10000, 4), P(k % 97, 2))
+
+
+def opencnpj_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OpenCNPJ-style JSON document per order (establishment)."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"], "left")
+    k = F.col("o_orderkey")
+    digits = _estab_id(k, F.col("o_custkey"))
+    fmt = F.concat(
+        F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 3), F.lit("."), F.substring(digits, 6, 3),
+        F.lit("/"), F.substring(digits, 9, 4), F.lit("-"), F.substring(digits, 13, 2),
+    )
+    d = F.col("o_orderdate")
+    date_txt = (
+        F.when(k % 89 == 0, F.lit("31/02/2020"))
+        .when(k % 13 == 0, F.lit("1/2/2020"))
+        .otherwise(F.date_format(d, "dd/MM/yyyy"))
+    )
+    code = _case(F.substring("o_orderpriority", 1, 1), {"1": "8630501", "2": "4721102", "3": "6201501", "4": "5611203"}, None)
+    cnae_fmt = F.concat(F.substring(code, 1, 4), F.lit("-"), F.substring(code, 5, 1), F.lit("/"), F.substring(code, 6, 2))
+    tel = P(k, 8)
+    doc = F.struct(
+        fmt.alias("cnpj"),
+        _case(F.col("o_orderstatus"), {"O": "Ativa", "F": "Baixada"}).alias("situacaoCadastral"),
+        F.when(F.col("c_custkey") % 37 == 5, F.lit("")).otherwise(F.col("c_name")).alias("razaoSocial"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("Loja "), k.cast("string"))).alias("nomeFantasia"),
+        date_txt.alias("dataInicioAtividades"),
+        F.when(F.col("c_custkey") % 15 == 0, F.lit(""))
+        .when(F.col("c_custkey") % 2 == 0, F.lit("Sociedade Empresaria Limitada (2062)"))
+        .otherwise(F.lit("Empresario Individual (2135)"))
+        .alias("naturezaJuridica"),
+        F.col("c_acctbal").alias("capitalSocial"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Contato@Empresa"), (k % 4000).cast("string"), F.lit(".COM.BR"))).alias("email"),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("(11) "), F.substring(tel, 1, 4), F.lit("-"), F.substring(tel, 5, 4))).alias("telefone"),
+        F.lit("SAO PAULO").alias("municipio"),
+        _case(k % 6, {0: "SP", 1: "RJ", 2: "MG", 3: "BA", 4: "PR"}).alias("uf"),
+        F.concat(F.lit("01"), P(k % 1000, 3), F.lit("-000")).alias("cep"),
+        F.when(code.isNull(), F.array().cast("array<struct<cnae:string,descricao:string>>"))
+        .otherwise(F.array(F.struct(cnae_fmt.alias("cnae"), F.lit("ATIVIDADE").alias("descricao"))))
+        .alias("cnaes"),
+    )
+    return j.select(F.to_json(doc).alias("payload"))
+
+
+def brasilapi_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One BrasilAPI-style response per order (establishment)."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    code = _case(F.substring("o_orderpriority", 1, 1), {"1": "8630501", "2": "4721102", "3": "6201501", "4": "5611203"}, None)
+    doc = F.struct(
+        _estab_id(k, F.col("o_custkey")).alias("cnpj"),
+        F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("EMPRESA "), F.col("o_custkey").cast("string"))).alias("razao_social"),
+        F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Loja Nova "), k.cast("string"))).alias("nome_fantasia"),
+        F.lit("Sociedade Empresaria Limitada").alias("natureza_juridica"),
+        F.when(k % 17 == 0, F.lit("abc")).otherwise(F.col("o_totalprice").cast("string")).alias("capital_social"),
+        _case(k % 3, {0: "Micro Empresa", 1: " Demais "}).alias("porte"),
+        _case(k % 6, {0: "SP", 1: "RJ", 2: "MG", 3: "BA", 4: "PR"}).alias("uf"),
+        P(k % 100000, 8).alias("cep"),
+        F.when(k % 2 == 0, F.lit("SAO PAULO")).otherwise(F.lit("")).alias("municipio"),
+        code.cast("bigint").alias("cnae_fiscal"),
+        F.when(k % 89 == 0, F.lit("invalida")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("data_inicio_atividade"),
+        _case(F.col("o_orderstatus"), {"O": "Ativa", "F": "Baixada"}, " suspensa ").alias("descricao_situacao_cadastral"),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("11"), P(k, 8))).alias("ddd_telefone_1"),
+    )
+    return o.select(F.to_json(doc).alias("payload"))
+
+
+def recherche_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search response per supplier (SIREN); key % 11 = 0 finds nothing; every
+    hit carries a second, unrelated result that must be ignored."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    siren = P(k, 9)
+    null = F.lit(None).cast("string")
+    first = F.struct(
+        siren.alias("siren"),
+        F.col("s_name").alias("nom_complet"),
+        F.when(k % 5 == 0, null).otherwise(F.upper("s_name")).alias("nom_raison_sociale"),
+        F.when(k % 3 == 0, F.concat(F.lit("SGL"), k.cast("string"))).otherwise(null).alias("sigle"),
+        F.lit("62.01Z").alias("activite_principale"),
+        F.concat(F.lit("2015-03-0"), (k % 9 + 1).cast("string")).alias("date_creation"),
+        _case(k % 4, {0: "A", 1: "F", 2: "c"}, null).alias("etat_administratif"),
+        F.lit("5710").alias("nature_juridique"),
+        _case(k % 6, {0: "P", 1: None}, "O").alias("statut_diffusion"),
+        F.struct(
+            F.concat(P(k % 95 + 1, 2), F.lit("100")).alias("code_postal"),
+            F.concat(siren, F.lit("00011")).alias("siret"),
+            F.concat(F.lit("PARIS "), (k % 20).cast("string")).alias("libelle_commune"),
+        ).alias("siege"),
+    )
+    other = first.withField("siren", F.lit("999999999")).withField("nom_raison_sociale", F.lit("OUTRA"))
+    none = F.filter(F.array(first), lambda x: F.lit(False))  # empty, same element type
+    doc = F.struct(F.when(k % 11 == 0, none).otherwise(F.array(first, other)).alias("results"))
+    return s.select(siren.alias("siren"), F.to_json(doc).alias("payload"))
