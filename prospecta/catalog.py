@@ -21,6 +21,7 @@ from prospecta.operators import quality as Q
 from prospecta.operators import score as SC
 from prospecta.operators import segment as SG
 from prospecta.plans import ingest as I
+from prospecta.plans import warehouse as W
 from prospecta.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +37,12 @@ def register(name: str):
 
 
 def _leads(spark, sf) -> DataFrame:
-    return I.leads(spark, sf, with_demo=True)
+    """Published leads (real + demo tree), see ``plans.warehouse``."""
+    return W.leads(spark, sf)
 
 
 def _real_leads(spark, sf) -> DataFrame:
-    return I.leads(spark, sf, with_demo=False)
+    return W.real_leads(spark, sf)
 
 
 def _optout(spark, sf, leads: DataFrame | None = None) -> G.OptOut:

@@ -159,7 +159,7 @@ _ETAB_SPEC: tuple[tuple[str, str, str], ...] = (
 def _apply_spec(raw: DataFrame, spec, status_col: str) -> DataFrame:
     out: list[Column] = []
     for header, name, rule in spec:
-        c = F.col(f"`{header}`")
+        c = header  # by name: raw fields take the cheap strip path
         if rule == "key":
             e = F.coalesce(N.strip(c), F.lit(""))
         elif rule == "date":
@@ -172,7 +172,7 @@ def _apply_spec(raw: DataFrame, spec, status_col: str) -> DataFrame:
             e = N.blank_to_null(c)
         out.append(e.alias(name))
         if header == status_col:
-            out.append(N.restricted_flag(c).alias("flag_difusao_restrita"))
+            out.append(N.restricted_flag(F.col(c)).alias("flag_difusao_restrita"))
     return raw.select(*out)
 
 
@@ -425,11 +425,12 @@ def opencnpj_to_canonical(payloads: DataFrame, json_col: str = "payload") -> Dat
 # -- M4: contract --------------------------------------------------------------------------
 
 
-def contract_columns(df: DataFrame) -> DataFrame:
+def contract_columns(df: DataFrame, *, already_stripped: bool = False) -> DataFrame:
     """Strip every text column (the contract strips all strings) and compute
-    ``reject_reason`` (NULL for a valid row)."""
+    ``reject_reason`` (NULL for a valid row). ``already_stripped`` skips the strip
+    for inputs built only from stripped fields and literals."""
     stripped = [
-        (N.strip(F.col(n)).alias(n) if t == T.StringType() else F.col(n))
+        (N.strip(F.col(n)).alias(n) if t == T.StringType() and not already_stripped else F.col(n))
         for n, t in S.CANONICAL_FIELDS
     ]
     df = df.select(*stripped)
@@ -439,11 +440,11 @@ def contract_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("reject_reason", reason)
 
 
-def enforce_contract(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def enforce_contract(df: DataFrame, *, already_stripped: bool = False) -> tuple[DataFrame, DataFrame]:
     """M4: ``(valid, rejected)``. Valid rows have exactly the canonical columns with
     booleans defaulted to False; rejected rows keep ``reject_reason``. Both are lazy
     filters of one projection, so writing both in one job scans the input once."""
-    checked = contract_columns(df)
+    checked = contract_columns(df, already_stripped=already_stripped)
     valid = checked.where(F.col("reject_reason").isNull()).select(
         *[
             (F.coalesce(F.col(n), F.lit(False)).alias(n) if n in ("is_synthetic", "flag_difusao_restrita") else F.col(n))

@@ -44,7 +44,8 @@ def fr_parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def fr_mapped(spark: SparkSession, sf_dir: str) -> Mapped:
     ul, et = fr_parsed(spark, sf_dir)
-    valid, rejected = M.enforce_contract(M.fr_to_canonical(M.fr_joined(ul, et)))
+    # every FR text value comes from a stripped field or a literal
+    valid, rejected = M.enforce_contract(M.fr_to_canonical(M.fr_joined(ul, et)), already_stripped=True)
     return Mapped(valid, rejected)
 
 
