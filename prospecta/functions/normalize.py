@@ -20,7 +20,32 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-_WS_LIST = list(PY_WHITESPACE)
+def _ws() -> Column:
+    return F.lit(PY_WHITESPACE)
+
+
+def _is_ws(ch: Column) -> Column:
+    # one expression instead of an IN-list of 29 literals (cheaper to build and run);
+    # an empty string matches too, which is harmless (its trim is itself)
+    return F.instr(_ws(), ch) > 0
+
+
+def _sql_text(value: str) -> str:
+    """A SQL string literal with every character escaped as ``\\uXXXX``."""
+    return "'" + "".join(f"\\u{ord(ch):04x}" for ch in value) + "'"
+
+
+_WS_SQL = _sql_text(PY_WHITESPACE)
+
+
+def strip_sql(ident: str) -> str:
+    """SQL text of :func:`strip` for a column name (built as one expression, so a
+    wide projection costs one JVM call per column)."""
+    q = f"`{ident}`"
+    return (
+        f"CASE WHEN instr({_WS_SQL}, substring({q}, 1, 1)) > 0 OR instr({_WS_SQL}, substring({q}, -1, 1)) > 0 "
+        f"THEN btrim({q}, {_WS_SQL}) ELSE {q} END"
+    )
 
 
 def strip(c: str | Column) -> Column:
@@ -30,15 +55,15 @@ def strip(c: str | Column) -> Column:
     first or last character is whitespace, which halves its cost on clean raw
     fields. A computed expression gets a single trim: Catalyst inlines projections,
     and an edge test would evaluate the expression three times."""
-    x = col_(c)
     if not isinstance(c, str):
-        return F.btrim(x, F.lit(PY_WHITESPACE))
-    edge = F.substring(x, 1, 1).isin(_WS_LIST) | F.substring(x, -1, 1).isin(_WS_LIST)
-    return F.when(edge, F.btrim(x, F.lit(PY_WHITESPACE))).otherwise(x)
+        return F.btrim(c, _ws())
+    return F.expr(strip_sql(c))
 
 
 def blank_to_null(c: str | Column, *, trim: bool = True) -> Column:
     """Blank -> NULL. ``trim=False`` is the SQL ``NULLIF(x, '')`` form."""
+    if trim and isinstance(c, str):
+        return F.expr(f"nullif({strip_sql(c)}, '')")
     x = strip(c) if trim else col_(c)
     return F.nullif(x, F.lit(""))
 

@@ -156,9 +156,11 @@ _ETAB_SPEC: tuple[tuple[str, str, str], ...] = (
 )
 
 
-def _apply_spec(raw: DataFrame, spec, status_col: str) -> DataFrame:
+def _apply_spec(raw: DataFrame, spec, status_col: str, only: set[str] | None = None) -> DataFrame:
     out: list[Column] = []
     for header, name, rule in spec:
+        if only is not None and name not in only and header != status_col:
+            continue
         c = header  # by name: raw fields take the cheap strip path
         if rule == "key":
             e = F.coalesce(N.strip(c), F.lit(""))
@@ -176,12 +178,26 @@ def _apply_spec(raw: DataFrame, spec, status_col: str) -> DataFrame:
     return raw.select(*out)
 
 
-def parse_unite_legale(raw: DataFrame) -> DataFrame:
-    return _apply_spec(raw, _UL_SPEC, "statutDiffusionUniteLegale")
+# Fields the canonical mapping (M2) reads; ingest parses only these.
+UL_MAPPED = {
+    "siren", "statut_diffusion", "data_criacao", "sigla", "prenome_1", "prenome_usual",
+    "data_ultimo_tratamento", "categoria_empresa", "situacao", "nome", "razao_social",
+    "nome_fantasia", "natureza_juridica", "cod_atividade",
+}
+ETAB_MAPPED = {
+    "siren", "siret", "statut_diffusion", "data_criacao", "cep", "municipio", "situacao",
+    "nome_fantasia", "cod_atividade",
+}
 
 
-def parse_etablissement(raw: DataFrame) -> DataFrame:
-    return _apply_spec(raw, _ETAB_SPEC, "statutDiffusionEtablissement")
+def parse_unite_legale(raw: DataFrame, only: set[str] | None = None) -> DataFrame:
+    """P20 for legal units: every layout field typed (or just ``only``)."""
+    return _apply_spec(raw, _UL_SPEC, "statutDiffusionUniteLegale", only)
+
+
+def parse_etablissement(raw: DataFrame, only: set[str] | None = None) -> DataFrame:
+    """P20 for establishments: every layout field typed (or just ``only``)."""
+    return _apply_spec(raw, _ETAB_SPEC, "statutDiffusionEtablissement", only)
 
 
 # -- J1: the Brazil join -----------------------------------------------------------------

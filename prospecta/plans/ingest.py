@@ -37,8 +37,9 @@ def br_mapped(spark: SparkSession, sf_dir: str) -> Mapped:
 
 
 def fr_parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ul = M.parse_unite_legale(TD.fr_unite_legale(spark, sf_dir))
-    et = M.parse_etablissement(TD.fr_etablissement(spark, sf_dir))
+    """Legal units and establishments, typed; only the fields the mapping reads."""
+    ul = M.parse_unite_legale(TD.fr_unite_legale(spark, sf_dir), M.UL_MAPPED)
+    et = M.parse_etablissement(TD.fr_etablissement(spark, sf_dir), M.ETAB_MAPPED)
     return ul, et
 
 

@@ -82,6 +82,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over at least the cluster's default parallelism when the input
+    files give fewer splits (e.g. one large row group). On real inputs - thousands
+    of files/row groups - the scan already has more splits and this is a no-op; the
+    repartition, when it happens, is one cheap exchange right after the scan so the
+    per-row parsing and mapping run on every core."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        # Hash of the whole row: deterministic if a task is retried after an executor
+        # loss (no sort-before-round-robin needed), and only identical rows share a
+        # bucket, so no key skew.
+        return df.repartition(target, *[F.col(f"`{c}`") for c in df.columns])
+    return df
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))

@@ -21,10 +21,16 @@ from pyspark.sql import functions as F
 
 from prospecta import schema as S
 from prospecta.functions.normalize import lpad_code as P
+from prospecta.session import ensure_parallelism
+
+
+# Row-heavy inputs whose per-row mapping work should use every core.
+_WIDE_INPUTS = frozenset({"orders", "lineitem", "events", "customer", "part"})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if name in _WIDE_INPUTS else df
 
 
 def _blank() -> Column:
