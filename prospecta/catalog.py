@@ -567,3 +567,14 @@ def q_export_csv(spark, sf):
 def q_export_txt(spark, sf):
     dest, _ = _export(spark, sf, "txt")
     return spark.read.text(dest)
+
+
+@register("lookup_resolve")
+def q_lookup_resolve(spark, sf):
+    """Parsed establishments with municipality / activity descriptions."""
+    e = M.parse_estabelecimentos(TD.staging_estabelecimentos(spark, sf))
+    cnae = TD.staging_estabelecimentos(spark, sf).select(
+        F.col("cnae_fiscal_principal").alias("codigo"), F.concat(F.lit("ATIVIDADE "), F.col("cnae_fiscal_principal")).alias("descricao")
+    ).where(F.col("codigo") != "").distinct()
+    out = M.enrich_with_lookups(e, cnae=cnae, municipio=TD.lookup_municipio(spark, sf))
+    return out.select("cnpj_completo", "municipio", "municipio_descricao", "cnae_fiscal_principal", "cnae_fiscal_principal_descricao")

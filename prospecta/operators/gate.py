@@ -4,12 +4,15 @@ G1 hard exclusion -> G2 keep-first per ``id_estab`` -> G3 keep-first per e-mail
 domain -> G4 opt-out (by id or by e-mail), plus G5 telescoping counts and G6/G7
 opt-out list maintenance.
 
-Plan shape: two keep-first windows on different keys (two shuffles, each preceded
-by a partial WindowGroupLimit so a hot key - a free-mail domain holding a third of
-the rows - sends at most one row per map task), then two anti joins. Rows with a
-NULL key always pass; they get a unique substitute key so they never pile up in one
-partition. Counts come from ``Observation`` metrics collected in the same job that
-writes the result; nothing is collected to the driver but five numbers.
+Plan shape (three exchanges of the leads side at most): two keep-first windows on
+different keys, each preceded by a partial WindowGroupLimit so a hot key - a
+free-mail domain holding a third of the rows - sends at most one row per map task;
+the opt-out-by-id mark is joined on the G2 key, reusing that shuffle's partitioning
+(only the opt-out ids move); the opt-out-by-e-mail anti join shuffles once, or not at
+all when AQE sees a small opt-out side and broadcasts it. Rows with a NULL key always
+pass; they get a unique substitute key so they never pile up in one partition.
+Counts come from ``Observation`` metrics collected in the same job that writes the
+result; nothing is collected to the driver but five numbers.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from prospecta.operators.windows import keep_first
 
 DEFAULT_GATE_ORDER: tuple[str, ...] = ("razao_social", "id_estab")
 _KEY = "__gate_key"
+_SUP = "__optout_by_id"
 
 
 def gate_order(columns: Sequence[str], order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> list[Column]:
@@ -43,7 +47,12 @@ def is_hard_excluded() -> Column:
 
 
 def gate_hard(df: DataFrame) -> DataFrame:
-    return df.where(~is_hard_excluded())
+    """G1 as a keep-predicate Parquet can push down (``IS NULL OR = false`` per flag)."""
+    keep = None
+    for c in ("is_synthetic", "flag_difusao_restrita"):
+        k = F.col(c).isNull() | (F.col(c) == F.lit(False))
+        keep = k if keep is None else keep & k
+    return df.where(keep)
 
 
 def _unique_when_null(key: Column) -> Column:
@@ -141,15 +150,29 @@ def apply_gate(
 ) -> GateRun:
     """G1 -> G2 -> G3 -> G4 in that order (an opted-out row can win its domain and
     then be removed, taking the domain with it - the fixed order decides)."""
-    order = gate_order(df.columns, order_by)
+    cols = df.columns
+    order = gate_order(cols, order_by)
     obs: dict[str, Observation] = {}
     step = (lambda d, name: _observed(d, obs, name)) if observe else (lambda d, name: d)
     cur = step(df, "in")
     cur = step(gate_hard(cur), "hard")
-    cur = step(dedupe_id(cur, order), "id")
+    keyed = cur.withColumn(_KEY, _unique_when_null(F.col("id_estab").cast("string")))
+    cur = keep_first(keyed, [_KEY], order)
+    if optout is not None:
+        # Opt-out by id is a per-row fact: mark it here, joined on the key the G2
+        # shuffle already partitions by (no extra exchange of the leads side), and
+        # drop marked rows only after G3, which keeps the fixed G1..G4 order.
+        cur = cur.join(optout.ids, cur[_KEY] == optout.ids["__optout_id"], "left").withColumn(
+            _SUP, F.col("__optout_id").isNotNull()
+        )
+        cur = cur.select(*cols, _SUP)
+    else:
+        cur = cur.select(*cols)
+    cur = step(cur, "id")
     cur = step(dedupe_domain(cur, order), "domain")
     if optout is not None:
-        cur = is_suppressed_join(cur, optout)
+        cur = cur.where(~F.col(_SUP)).drop(_SUP)
+        cur = cur.join(optout.emails, F.lower(cur["email"]) == optout.emails["__optout_email"], "left_anti")
     cur = step(cur, "out")
     return GateRun(cur, obs)
 

@@ -823,6 +823,14 @@ def queries_batch2() -> dict[str, str]:
         "carry_forward": with_("real_leads") + "SELECT * FROM real_leads",
         "stream_intake": with_("br_valid") + "SELECT * FROM br_valid",
         "export_csv": _export_csv_sql(),
+        "lookup_resolve": with_("staging_estabelecimentos", "lookup_municipio")
+        + ", cn AS (SELECT DISTINCT cnae_fiscal_principal AS codigo, 'ATIVIDADE ' || cnae_fiscal_principal AS descricao "
+        "FROM staging_estabelecimentos WHERE cnae_fiscal_principal <> '') "
+        "SELECT e.cnpj_basico || e.cnpj_ordem || e.cnpj_dv AS cnpj_completo, NULLIF(e.municipio, '') AS municipio, "
+        "m.descricao AS municipio_descricao, NULLIF(e.cnae_fiscal_principal, '') AS cnae_fiscal_principal, "
+        "c.descricao AS cnae_fiscal_principal_descricao FROM staging_estabelecimentos e "
+        "LEFT JOIN lookup_municipio m ON NULLIF(e.municipio, '') = m.codigo "
+        "LEFT JOIN cn c ON NULLIF(e.cnae_fiscal_principal, '') = c.codigo",
     }
 
 
