@@ -28,9 +28,17 @@ from prospecta.session import ensure_parallelism
 _WIDE_INPUTS = frozenset({"orders", "lineitem", "events", "customer", "part"})
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return ensure_parallelism(df) if name in _WIDE_INPUTS else df
+    """One input table. Its schema is read from the footers once per path and then
+    given explicitly (no repeated schema inference when many jobs read it)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return ensure_parallelism(df, key=path) if name in _WIDE_INPUTS else df
 
 
 def _blank() -> Column:
