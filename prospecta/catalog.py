@@ -437,7 +437,7 @@ def q_csv_latin1_scan(spark, sf):
     I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.SOCIOCSV")  # ignored
     staged = scratch_path(spark, "staged")
     I.stage_directory(spark, landing, staged)
-    return M.parse_empresas(spark.read.parquet(f"{staged}/EMPRESAS"))
+    return M.parse_empresas(RG.read_staged_parquet(spark, [f"{staged}/EMPRESAS"]))
 
 
 MALFORMED_SHORT_MOD, MALFORMED_SHORT_REM = 50, 3
@@ -469,7 +469,7 @@ def q_csv_malformed(spark, sf):
         F.sum(F.when(F.col("nome_fantasia").contains('"') & F.col("nome_fantasia").contains(";"), 1).otherwise(0)).cast("bigint").alias("n_quoted"),
     )
     bad = scan.malformed.agg(F.count(F.lit(1)).alias("n_malformed"))
-    return ok.join(F.broadcast(bad), how="inner")
+    return Q.one_row(ok, bad)
 
 
 @register("fr_csv_scan")
@@ -578,3 +578,13 @@ def q_lookup_resolve(spark, sf):
     ).where(F.col("codigo") != "").distinct()
     out = M.enrich_with_lookups(e, cnae=cnae, municipio=TD.lookup_municipio(spark, sf))
     return out.select("cnpj_completo", "municipio", "municipio_descricao", "cnae_fiscal_principal", "cnae_fiscal_principal_descricao")
+
+
+@register("audit_export")
+def q_audit_export(spark, sf):
+    """SNK6: the filtered audit log exported as CSV and read back."""
+    log = AU.events_as_log(TD.table(spark, sf, "events"))
+    q = AU.query_log(log, operacao=PR.AUDIT_OPERACAO, desde=_ts(PR.AUDIT_DESDE), ate=_ts(PR.AUDIT_ATE))
+    dest = scratch_path(spark, "audit-export")
+    AU.export_log_csv(q, dest)
+    return AU.read_log_csv(spark, dest, q.schema)

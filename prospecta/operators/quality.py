@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 from prospecta import schema as S
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Put one-row aggregates side by side without a join: union them (missing
+    columns become NULL) and take the non-NULL value of each column."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in u.columns])
+
+
 def absent(c: str) -> Column:
     """NULL or ``''`` (text staging tables keep blanks as ``''``)."""
     x = F.col(f"`{c}`")
@@ -51,8 +60,8 @@ def distribution(df: DataFrame, column: str, null_label: str = "None") -> DataFr
 def sanity_report(df: DataFrame, table_name: str, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """A5: A1 + A2 + A3 in long form: one row per column with the table totals.
 
-    Two jobs' worth of work (one scan for counts, one shuffle for duplicate keys),
-    joined on a constant one-row side."""
+    One scan for the counts and one shuffle for duplicate keys; the two one-row
+    results are combined by union + aggregate (no join)."""
     cols = list(columns or df.columns)
     counts = df.agg(
         F.count(F.lit(1)).alias("n_linhas"),
@@ -61,9 +70,9 @@ def sanity_report(df: DataFrame, table_name: str, keys: Sequence[str], columns:
     stack = "stack({n}, {pairs}) as (coluna, n_ausentes)".format(
         n=len(cols), pairs=", ".join(f"'{c}', a{i}" for i, c in enumerate(cols))
     )
-    long = counts.selectExpr("n_linhas", stack)
-    dups = duplicate_key_count(df, keys)
-    return long.join(F.broadcast(dups), how="inner").select(
+    totals = one_row(counts, duplicate_key_count(df, keys))
+    long = totals.selectExpr("n_linhas", "duplicate_keys", stack)
+    return long.select(
         F.lit(table_name).alias("tabela"), "coluna", "n_ausentes", "n_linhas", F.col("duplicate_keys").alias("chaves_duplicadas")
     )
 
@@ -116,8 +125,7 @@ def quality_report(leads: DataFrame, thr: QualityThresholds | None = None) -> Da
     ]
     unknown = F.count_distinct(F.when(F.col("situacao").isNotNull() & ~F.col("situacao").isin(known), F.col("situacao")))
     base = leads.agg(n.alias("n_rows"), unknown.alias("n_situacao_fora_dominio"), *ratios)
-    dups = duplicate_ids(leads)
-    j = base.join(F.broadcast(dups), how="inner")
+    j = one_row(base, duplicate_ids(leads))
     over = [
         F.when((F.col("n_rows") > 0) & (F.col(f"r_{c}") > F.lit(float(thr.max_null_ratio[c]))), 1).otherwise(0)
         for c in check_cols

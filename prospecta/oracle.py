@@ -811,6 +811,9 @@ def queries_batch2() -> dict[str, str]:
         "audit_query": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
         "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events "
         f"WHERE event_type = '{PR.AUDIT_OPERACAO}' AND ts >= TIMESTAMP '{PR.AUDIT_DESDE}' AND ts <= TIMESTAMP '{PR.AUDIT_ATE}'",
+        "audit_export": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
+        "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events "
+        f"WHERE event_type = '{PR.AUDIT_OPERACAO}' AND ts >= TIMESTAMP '{PR.AUDIT_DESDE}' AND ts <= TIMESTAMP '{PR.AUDIT_ATE}'",
         "retention_purge": _retention_sql(),
         "cache_freshness": _freshness_sql(),
         "source_status": _source_status_sql(),
