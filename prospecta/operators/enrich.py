@@ -136,7 +136,7 @@ def brasilapi_updates(responses: DataFrame, enriched_at: datetime, json_col: str
                 "capital_social": N.try_decimal(g("capital_social")),
                 "natureza_juridica": N.upper_or_null(g("natureza_juridica")),
                 "fonte": F.lit(S.FONTE_BRASILAPI),
-                "enriquecido_em": F.lit(enriched_at).cast("timestamp_ntz"),
+                "enriquecido_em": F.lit(enriched_at.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz"),
             },
         )
     )
@@ -167,7 +167,7 @@ def recherche_updates(responses: DataFrame, enriched_at: datetime, json_col: str
                 "natureza_juridica": _nz(i("nature_juridique")),
                 "flag_difusao_restrita": N.restricted_flag_exact(i("statut_diffusion")),
                 "fonte": F.lit(S.FONTE_RECHERCHE),
-                "enriquecido_em": F.lit(enriched_at).cast("timestamp_ntz"),
+                "enriquecido_em": F.lit(enriched_at.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz"),
             },
         )
     )
@@ -188,6 +188,29 @@ def merge_updates(leads: DataFrame, updates: DataFrame, lead_key: str, update_ke
     return M.enforce_contract(j.select(*cols))
 
 
+def enrich_job(
+    spark,
+    leads: DataFrame,
+    updates: DataFrame,
+    lead_key: str,
+    update_key: str,
+    audit_log: str,
+    operacao: str = "enrich_leads",
+    usuario: str | None = None,
+) -> tuple[DataFrame, int]:
+    """E3 as a job: merge landed responses into leads, count the identifiers found
+    (keys with an update) and record the audit event. Returns (valid merged leads,
+    n found)."""
+    from prospecta.plans import audit as AU
+
+    found = updates.select(update_key).distinct().join(
+        leads.select(F.col(lead_key).alias(update_key)).distinct(), update_key, "left_semi"
+    ).count()
+    AU.record_event(spark, audit_log, operacao, usuario=usuario, filtros={"chave": lead_key}, n_registros=found)
+    valid, _ = merge_updates(leads, updates, lead_key, update_key)
+    return valid, found
+
+
 def extract_sirens(responses: DataFrame, json_col: str = "payload") -> DataFrame:
     """Every non-empty ``results[].siren`` of landed search responses."""
     r = responses.select(F.from_json(F.col(json_col), RECHERCHE_SCHEMA).alias("r"))

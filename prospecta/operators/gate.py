@@ -221,6 +221,32 @@ def optout_add(
     return old.unionByName(fresh)
 
 
+def optout_add_one(
+    existing: DataFrame,
+    *,
+    id_estab: str | None = None,
+    email: str | None = None,
+    motivo: str | None = None,
+    registrado_em: str | None = None,
+) -> tuple[DataFrame, bool]:
+    """G6 for one request: ``(new list, added?)``; neither key given -> ValueError.
+    Re-adding the exact same (id, e-mail) pair changes nothing."""
+    i = (id_estab or "").strip()
+    e = (email or "").strip().lower()
+    if not i and not e:
+        raise ValueError("give id_estab and/or email")
+    spark = existing.sparkSession
+    row = spark.createDataFrame(
+        [(i, e, (motivo or "").strip(), registrado_em or "")],
+        "id_estab string, email string, motivo string, registrado_em string",
+    )
+    present = not existing.where(
+        (F.coalesce(N.strip(F.col("id_estab")), F.lit("")) == F.lit(i))
+        & (F.coalesce(F.lower(N.strip(F.col("email"))), F.lit("")) == F.lit(e))
+    ).isEmpty()
+    return optout_add(existing, row), not present
+
+
 def optout_remove(existing: DataFrame, id_estab: str | None = None, email: str | None = None) -> DataFrame:
     """Drop every row matching the id **or** the e-mail (blank criteria ignored)."""
     i = (id_estab or "").strip()

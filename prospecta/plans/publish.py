@@ -84,6 +84,7 @@ class Materialized:
     pais: str
     n_written: int
     n_rejected: int
+    files: tuple[str, ...] = ()
 
 
 def materialize(
@@ -120,7 +121,13 @@ def materialize(
         .parquet(out)
     )
     got = obs.get
-    return Materialized(version, pais, int(got.get("ok") or 0), int(got.get("bad") or 0))
+    written = int(got.get("ok") or 0)
+    files: tuple[str, ...] = ()
+    if written:
+        from prospecta.sources.registry import list_files
+
+        files = tuple(f for f in list_files(spark, out) if f.endswith(".parquet"))
+    return Materialized(version, pais, written, int(got.get("bad") or 0), files)
 
 
 def carry_forward(root: str, version: str, exclude_pais: str) -> dict[str, str]:

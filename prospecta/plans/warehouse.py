@@ -11,6 +11,7 @@ their own tree (SNK7) and are unioned in only where a job wants them.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,22 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple[int, str]:
     return (id(spark.sparkContext._jsc), sf_dir.rstrip("/"))
 
 
+def _still_there(p: "Published") -> bool:
+    """Both trees were committed and are still present (a cleaned scratch folder
+    forces a rebuild)."""
+    from prospecta.session import local_path
+
+    for path in (p.real, p.demo):
+        lp = local_path(path)
+        if lp is not None and not os.path.exists(os.path.join(lp, "_SUCCESS")):
+            return False
+    return True
+
+
 def publish_leads(spark: SparkSession, sf_dir: str, *, force: bool = False) -> Published:
     """Write real leads (BR + FR, partitioned by ``pais``) and the demo rows."""
     k = _key(spark, sf_dir)
-    if not force and k in _PUBLISHED:
+    if not force and k in _PUBLISHED and _still_there(_PUBLISHED[k]):
         return _PUBLISHED[k]
     real = scratch_path(spark, "leads")
     demo = scratch_path(spark, "demo-leads")

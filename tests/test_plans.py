@@ -225,3 +225,25 @@ def test_stream_intake_is_incremental(spark, scratch):
     ST.run_available(spark, landing + "/*", T, ckpt, out, lambda b: b.withColumn("x", F.col("k") * 2))
     ST.run_available(spark, landing + "/*", T, ckpt, out, lambda b: b.withColumn("x", F.col("k") * 2))
     assert ST.read_output(spark, out).count() == 15
+
+
+def test_optout_add_one(spark):
+    existing = spark.createDataFrame([("1", "", "m", "")], "id_estab string, email string, motivo string, registrado_em string")
+    new, added = G.optout_add_one(existing, email=" X@Y.com ", motivo="pedido")
+    assert added and new.count() == 2
+    again, added2 = G.optout_add_one(new, email="x@y.com")
+    assert not added2 and again.count() == 2
+    with pytest.raises(ValueError):
+        G.optout_add_one(existing)
+
+
+def test_enrich_job_counts_found_and_audits(spark, scratch):
+    lead = make_leads(spark, [dict(id_estab="1", id_legal="111"), dict(id_estab="2", id_legal="222")])
+    upd = spark.createDataFrame([("111", "NOVO NOME"), ("999", "X")], "siren string, razao_social string")
+    for c in E.UPDATE_FIELDS:
+        if c not in upd.columns:
+            upd = upd.withColumn(c, F.lit(None).cast(dict(S.CANONICAL_FIELDS)[c]))
+    log = scratch("alog-enrich")
+    valid, found = E.enrich_job(spark, lead, upd, "id_legal", "siren", log)
+    assert found == 1 and {r.razao_social for r in valid.collect()} == {"NOVO NOME", "EMPRESA"}
+    assert AU.read_log(spark, log).first().n_registros == 1
