@@ -312,7 +312,7 @@ from prospecta.plans import export as X  # noqa: E402
 from prospecta.plans import ledger as LG  # noqa: E402
 from prospecta.plans import publish as PB  # noqa: E402
 from prospecta.plans import retention as RT  # noqa: E402
-from prospecta.session import scratch_path  # noqa: E402
+from prospecta.session import rows_df, scratch_path  # noqa: E402
 from prospecta.sources import registry as RG  # noqa: E402
 from prospecta.streaming import intake as ST  # noqa: E402
 
@@ -401,7 +401,7 @@ def q_cache_freshness(spark, sf):
 @register("source_status")
 def q_source_status(spark, sf):
     _, ledger = LG.ledger_from_events(TD.table(spark, sf, "events"))
-    known = spark.createDataFrame([(f,) for f in S.KNOWN_FONTES], "fonte string")
+    known = rows_df(spark, [(f,) for f in S.KNOWN_FONTES], "fonte string")
     return A.source_status(known, ledger)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prospecta import schema as S
 from prospecta.operators import gate as G
 from prospecta.operators import segment as SG
+from prospecta.session import rows_df
 
 
 def chart_counts(
@@ -88,7 +89,7 @@ def compliance_panel(spark: SparkSession, leads: DataFrame, c: SG.Criteria, opto
         rep["n_suppressed"],
         rep["n_out"],
     )
-    return spark.createDataFrame([row], ", ".join(f"{c} bigint" for c in PANEL_COLUMNS))
+    return rows_df(spark, [row], ", ".join(f"{c} bigint" for c in PANEL_COLUMNS))
 
 
 def source_status(known: DataFrame, ledger: DataFrame) -> DataFrame:

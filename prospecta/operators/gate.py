@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from prospecta.functions import normalize as N
 from prospecta.operators.windows import keep_first
+from prospecta.session import rows_df
 
 DEFAULT_GATE_ORDER: tuple[str, ...] = ("razao_social", "id_estab")
 _KEY = "__gate_key"
@@ -183,7 +184,8 @@ def gate_report_df(spark, run: GateRun) -> DataFrame:
     read ``run.report()`` afterwards (same single pass)."""
     run.df.write.format("noop").mode("overwrite").save()
     rep = run.report()
-    return spark.createDataFrame(
+    return rows_df(
+        spark,
         [tuple(rep[c] for c in REPORT_COLUMNS)],
         ", ".join(f"{c} bigint" for c in REPORT_COLUMNS),
     )
@@ -236,7 +238,8 @@ def optout_add_one(
     if not i and not e:
         raise ValueError("give id_estab and/or email")
     spark = existing.sparkSession
-    row = spark.createDataFrame(
+    row = rows_df(
+        spark,
         [(i, e, (motivo or "").strip(), registrado_em or "")],
         "id_estab string, email string, motivo string, registrado_em string",
     )

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prospecta.session import rows_df
+
 LEDGER_SCHEMA = T.StructType(
     [
         T.StructField("fonte", T.StringType()),
@@ -54,13 +56,13 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.schema(LEDGER_SCHEMA).parquet(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return spark.createDataFrame([], LEDGER_SCHEMA)
+            return rows_df(spark, [], LEDGER_SCHEMA)
         raise
 
 
 def mark_processed(spark: SparkSession, path: str, fonte: str, competencia: str, activated: bool, now: datetime | None = None) -> None:
     row = (fonte, competencia, (now or datetime.now(UTC)).replace(tzinfo=None), bool(activated))
-    spark.createDataFrame([row], LEDGER_SCHEMA).write.mode("append").parquet(path)
+    rows_df(spark, [row], LEDGER_SCHEMA).write.mode("append").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ def run_if_new(
 ) -> RunOutcome:
     """Run ``run(competencia)`` (returns "activated") unless already processed; never
     raises - a failure is reported and not recorded."""
-    avail = spark.createDataFrame([(fonte, competencia)], "fonte string, competencia_disponivel string")
+    avail = rows_df(spark, [(fonte, competencia)], "fonte string, competencia_disponivel string")
     row = pending(avail, read_ledger(spark, path), strict=strict).first()
     if not row["pendente"]:
         return RunOutcome(fonte, competencia, skipped=True, success=True)

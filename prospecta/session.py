@@ -112,6 +112,30 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None, key: st
     return df
 
 
+def rows_df(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small literal DataFrame (reports, one-row events) built on the JVM side:
+    ``createDataFrame`` from a Python list goes through a Python RDD and starts
+    Python workers just to unpickle a handful of rows."""
+    from pyspark.sql import types as T
+
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    fields = schema.fields
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    import datetime as _dt
+
+    def lit(v, t):
+        # wall-clock values for TIMESTAMP_NTZ are passed as text, so the driver's
+        # local time zone never shifts them
+        if isinstance(t, T.TimestampNTZType) and isinstance(v, _dt.datetime):
+            return F.lit(v.replace(tzinfo=None).isoformat(sep=" ")).cast(t)
+        return F.lit(v).cast(t)
+
+    structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(*[f.name for f in fields])
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from prospecta import schema as S
 from prospecta.functions import normalize as N
 from prospecta.operators.windows import keep_first
+from prospecta.session import rows_df
 
 CORRUPT = "_corrupt_record"
 BR_CSV_OPTIONS = {
@@ -124,7 +125,7 @@ def read_optout_csv(spark: SparkSession, path: str):
         raw = spark.read.options(header="true", escape='"').csv(path)
     except Exception as e:  # noqa: BLE001 - AnalysisException: path does not exist
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            raw = spark.createDataFrame([], "id_estab string, email string")
+            raw = rows_df(spark, [], "id_estab string, email string")
         else:
             raise
     return load_optout(raw)
