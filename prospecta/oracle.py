@@ -67,10 +67,6 @@ _SIMPLES = {
 }
 
 
-def _nn(e: str) -> str:
-    return f"NULLIF({e}, '')"
-
-
 def _canon(values: dict[str, str]) -> str:
     types = {
         "data_inicio_atividade": "DATE",
@@ -797,7 +793,6 @@ def _export_csv_sql() -> str:
 
 
 def queries_batch2() -> dict[str, str]:
-    ex = _supp_existing()  # noqa: F841
     return {
         "opencnpj_canonical": _opencnpj_sql(),
         "enrich_brasilapi": _brasilapi_sql(),

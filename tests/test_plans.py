@@ -12,7 +12,6 @@ from prospecta.operators import demo as D
 from prospecta.operators import enrich as E
 from prospecta.operators import gate as G
 from prospecta.operators import segment as SG
-from prospecta.operators.quality import QualityThresholds
 from prospecta.plans import audit as AU
 from prospecta.plans import export as X
 from prospecta.plans import ledger as LG

@@ -1,6 +1,5 @@
 from datetime import date, timedelta
 
-import pytest
 
 from prospecta.operators import score as SC
 from tests.conftest import make_leads
