@@ -77,10 +77,12 @@ def proportions_from(df: DataFrame, dimension: str, column: str) -> DataFrame:
     )
 
 
+MAX_PROPORTION_VALUES = 100_000  # a proportions table is configuration, not data
+
+
 def cumulative_table(proportions: DataFrame) -> DataFrame:
-    """SD2 prep: one row per dimension with sorted values and cumulative weights.
-    Blank rows are ignored; weights are relative within a dimension. The result has
-    one row per dimension, so joining it to rows is a broadcast of a few rows."""
+    """SD2 prep: per dimension, values with cumulative weights (blank rows ignored;
+    weights relative within a dimension). One row per (dimension, value)."""
     p = proportions.where(
         F.col("dimensao").isNotNull() & (F.trim("dimensao") != "") & F.col("valor").isNotNull()
         & (F.trim("valor") != "") & F.col("peso").isNotNull()
@@ -88,27 +90,31 @@ def cumulative_table(proportions: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("dimensao").orderBy("valor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = p.withColumn("cum", F.sum("peso").over(w))
-    return c.groupBy("dimensao").agg(
-        F.array_sort(F.collect_list(F.struct("cum", "valor"))).alias("cum"), F.sum("peso").alias("total")
-    )
+    t = Window.partitionBy("dimensao")
+    return p.withColumn("cum", F.sum("peso").over(w)).withColumn("total", F.sum("peso").over(t))
 
 
-def weighted_pick(df: DataFrame, cumulative: DataFrame, dimension: str, u: Column, out: str) -> DataFrame:
-    """SD2: value whose cumulative share first exceeds ``u`` (uniform in [0,1))."""
-    one = cumulative.where(F.col("dimensao") == dimension).select(
-        F.col("cum").alias(f"__cum_{out}"), F.col("total").alias(f"__tot_{out}")
-    )
-    # Attach the single row by an equi-join on the dimension name (broadcast: the
-    # right side has at most one row).
-    left = df.withColumn(f"__dim_{out}", F.lit(dimension))
-    right = F.broadcast(one.withColumn(f"__dim2_{out}", F.lit(dimension)))
-    j = left.join(right, left[f"__dim_{out}"] == right[f"__dim2_{out}"], "left")
-    target = u * F.col(f"__tot_{out}")
-    chosen = F.filter(F.col(f"__cum_{out}"), lambda e: e["cum"] > target)
-    return j.withColumn(out, F.try_element_at(chosen, F.lit(1))["valor"]).drop(
-        f"__cum_{out}", f"__tot_{out}", f"__dim_{out}", f"__dim2_{out}"
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def weighted_pick_column(cumulative: DataFrame, dimension: str, u: Column) -> Column:
+    """SD2: the value whose cumulative share first exceeds ``u`` (uniform in [0,1)).
+
+    The proportions of one dimension are configuration-sized (one entry per code
+    value); after a bounded count proves it, they are embedded in the expression as
+    a literal array, so picking is a per-row array search with no join."""
+    rows = cumulative.where(F.col("dimensao") == dimension).orderBy("cum").limit(MAX_PROPORTION_VALUES + 1).collect()
+    if len(rows) > MAX_PROPORTION_VALUES:
+        raise ValueError(f"proportions for {dimension!r} exceed {MAX_PROPORTION_VALUES} values")
+    if not rows:
+        return F.lit(None).cast("string")
+    total = float(rows[0]["total"])
+    arr = F.expr(
+        "array(" + ", ".join(f"named_struct('cum', CAST({float(r['cum'])!r} AS DOUBLE), 'valor', {_sql_str(r['valor'])})" for r in rows) + ")"
     )
+    target = u * F.lit(total)
+    return F.try_element_at(F.filter(arr, lambda e: e["cum"] > target), F.lit(1))["valor"]
 
 
 def generate(
@@ -158,10 +164,9 @@ def generate(
         "is_synthetic": F.lit(True),
         "flag_difusao_restrita": F.lit(False),
     }
-    df = ids.select(i.alias("__id"), *[v.alias(k) for k, v in values.items()])
     if cumulative is not None:
-        u = lambda f: (_num(seed, F.col("__id"), f, 1_000_000).cast("double") / F.lit(1_000_000.0))
+        u = lambda f: (_num(seed, i, f, 1_000_000).cast("double") / F.lit(1_000_000.0))
         for dim, col in (("atividade", "cod_atividade"), ("regiao", "regiao")):
-            picked = weighted_pick(df, cumulative, dim, u("w_" + dim), "__pick")
-            df = picked.withColumn(col, F.coalesce(F.col("__pick"), F.col(col))).drop("__pick")
+            values[col] = F.coalesce(weighted_pick_column(cumulative, dim, u("w_" + dim)), values[col])
+    df = ids.select(i.alias("__id"), *[v.alias(k) for k, v in values.items()])
     return df.select(*[F.col(c).cast(t).alias(c) if c in values else F.lit(None).cast(t).alias(c) for c, t in S.CANONICAL_FIELDS])
