@@ -13,15 +13,22 @@ from prospecta.operators.windows import keep_first
 from prospecta.plans import audit as AU
 
 
-def epoch_seconds(c) -> F.Column:
-    """Seconds since the epoch (double) of a timestamp column read as UTC."""
-    return F.unix_micros(F.col(c).cast("timestamp")).cast("double") / F.lit(1_000_000.0)
+def epoch_seconds(df: DataFrame, c: str) -> F.Column:
+    """Seconds since the epoch (double). A wall-clock (NTZ) timestamp is read as UTC
+    whatever the session time zone; an instant (LTZ) column is already absolute."""
+    from pyspark.sql import types as T
+
+    if isinstance(df.schema[c].dataType, T.TimestampNTZType):
+        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
+    else:
+        micros = F.unix_micros(F.col(c))
+    return micros.cast("double") / F.lit(1_000_000.0)
 
 
 def cache_from_events(events: DataFrame, ttl_seconds: int) -> DataFrame:
     """The driver's ``events`` seen as cache writes: one entry per event under key
     ``user:<id>`` (users are written many times), value = the props JSON."""
-    created = epoch_seconds("ts")
+    created = epoch_seconds(events, "ts")
     return events.select(
         F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"),
         F.col("props").alias("value"),

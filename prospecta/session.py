@@ -130,6 +130,8 @@ def rows_df(spark: SparkSession, rows, schema) -> DataFrame:
         # local time zone never shifts them
         if isinstance(t, T.TimestampNTZType) and isinstance(v, _dt.datetime):
             return F.lit(v.replace(tzinfo=None).isoformat(sep=" ")).cast(t)
+        if isinstance(t, T.TimestampType) and isinstance(v, _dt.datetime) and v.tzinfo is None:
+            v = v.replace(tzinfo=_dt.UTC)  # naive instants are UTC
         return F.lit(v).cast(t)
 
     structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
