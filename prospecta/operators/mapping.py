@@ -8,12 +8,11 @@
   a reason, never failing the job.
 * P20 typed projections of every raw layout column.
 
-Plans: the BR job shuffles once on ``cnpj_basico`` (companies and simples share the
-key, so the second join reuses the first one's partitioning); the lookups are
-code tables whose size is fixed by the registry (thousands of rows), and Spark's
-size-based broadcast (static file statistics, or AQE at runtime) picks them up
-without a hint. Skewed ``cnpj_basico`` values are split by AQE skew-join handling
-on the establishment side (left side of a LEFT join / either side of an INNER join).
+Plans: the BR job shuffles the establishment side once, on ``cnpj_basico``, into a
+single join with the combined company table (companies FULL OUTER simples, both
+keyed by company); the code tables are broadcast after a bounded count. Because the
+large side meets one join, AQE's skew-join handling splits a ``cnpj_basico`` holding
+a third of the establishments across tasks (checked in ``tests/test_skew.py``).
 """
 
 from __future__ import annotations
@@ -225,18 +224,27 @@ def br_joined(
         F.col("capital_social").alias("em_capital_social"),
         F.col("porte_empresa").alias("em_porte_empresa"),
     )
-    j = e.join(em, F.col("e.cnpj_basico") == F.col("em_cnpj_basico"), "left")
     if simples is not None:
+        # Company-side tables are combined first (FULL OUTER on the company key gives
+        # exactly what two chained LEFT joins would, fan-out included), so the large
+        # establishment side meets ONE join: AQE can then split a company holding a
+        # third of all establishments across tasks, which it cannot do for the
+        # second join of a same-key chain.
         s = simples.select(
             F.col("cnpj_basico").alias("s_cnpj_basico"),
             F.col("opcao_pelo_simples").alias("s_opcao_pelo_simples"),
             F.col("opcao_pelo_mei").alias("s_opcao_pelo_mei"),
         )
-        j = j.join(s, F.col("e.cnpj_basico") == F.col("s_cnpj_basico"), "left")
+        company = em.join(s, em["em_cnpj_basico"] == s["s_cnpj_basico"], "full_outer").select(
+            F.coalesce("em_cnpj_basico", "s_cnpj_basico").alias("c_key"), *[c for c in em.columns if c != "em_cnpj_basico"],
+            "s_opcao_pelo_simples", "s_opcao_pelo_mei",
+        )
     else:
-        j = j.withColumn("s_opcao_pelo_simples", F.lit(None).cast("string")).withColumn(
-            "s_opcao_pelo_mei", F.lit(None).cast("string")
+        company = em.select(
+            F.col("em_cnpj_basico").alias("c_key"), *[c for c in em.columns if c != "em_cnpj_basico"],
+            F.lit(None).cast("string").alias("s_opcao_pelo_simples"), F.lit(None).cast("string").alias("s_opcao_pelo_mei"),
         )
+    j = e.join(company, F.col("e.cnpj_basico") == F.col("c_key"), "left")
     # Code tables are bounded by the registry's code domain (thousands of rows);
     # a bounded count proves it before they are broadcast, so the 60M-row side is
     # shuffled once (on cnpj_basico) whatever Spark estimates for them.
