@@ -259,7 +259,7 @@ def q_gate_full(spark, sf):
 @register("gate_report")
 def q_gate_report(spark, sf):
     leads = _leads(spark, sf)
-    return G.gate_report_df(spark, G.apply_gate(leads, _optout(spark, sf, leads)))
+    return G.gate_report_exact(leads, _optout(spark, sf, leads))
 
 
 @register("email_domains")

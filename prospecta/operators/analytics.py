@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from prospecta import schema as S
 from prospecta.operators import gate as G
 from prospecta.operators import segment as SG
-from prospecta.session import rows_df
 
 
 def chart_counts(
@@ -64,32 +63,26 @@ PANEL_COLUMNS: tuple[str, ...] = (
 def compliance_panel(spark: SparkSession, leads: DataFrame, c: SG.Criteria, optout: G.OptOut) -> DataFrame:
     """ICP criteria only (no exclusions), then the full gate over that raw set.
 
-    One job: the raw-set counters are Observation metrics on the gate input, the
-    gate's own counters come from its observations."""
+    All counts are aggregates (exact under task or stage retries): one aggregate of
+    the raw set and the gate's per-stage counts, combined without a join."""
+    from prospecta.operators.quality import one_row
+
     raw = leads.where(SG.icp_predicate(c))
-    obs = F.count(F.lit(1))
-    from pyspark.sql import Observation
-
-    o = Observation("panel_raw")
-    raw = raw.observe(
-        o,
-        obs.alias("n"),
-        F.sum(F.when(F.coalesce(F.col("is_synthetic"), F.lit(False)), 1).otherwise(0)).alias("syn"),
-        F.sum(F.when(F.coalesce(F.col("flag_difusao_restrita"), F.lit(False)), 1).otherwise(0)).alias("res"),
+    flags = raw.agg(
+        F.count(F.lit(1)).alias("total_bruto"),
+        F.sum(F.when(F.coalesce(F.col("is_synthetic"), F.lit(False)), 1).otherwise(0)).cast("bigint").alias("n_sinteticos"),
+        F.sum(F.when(F.coalesce(F.col("flag_difusao_restrita"), F.lit(False)), 1).otherwise(0)).cast("bigint").alias("n_difusao_restrita"),
     )
-    run = G.apply_gate(raw, optout)
-    run.df.write.format("noop").mode("overwrite").save()
-    rep = run.report()
-    got = o.get
-    row = (
-        int(got["n"]),
-        int(got["syn"] or 0),
-        int(got["res"] or 0),
-        rep["n_deduped_id_estab"] + rep["n_deduped_email_domain"],
-        rep["n_suppressed"],
-        rep["n_out"],
+    rep = G.gate_report_exact(raw, optout)
+    both = one_row(flags, rep)
+    return both.select(
+        "total_bruto",
+        F.coalesce("n_sinteticos", F.lit(0)).cast("bigint").alias("n_sinteticos"),
+        F.coalesce("n_difusao_restrita", F.lit(0)).cast("bigint").alias("n_difusao_restrita"),
+        (F.col("n_deduped_id_estab") + F.col("n_deduped_email_domain")).alias("n_duplicados"),
+        F.col("n_suppressed").alias("n_opt_out"),
+        F.col("n_out").alias("total_exportavel"),
     )
-    return rows_df(spark, [row], ", ".join(f"{c} bigint" for c in PANEL_COLUMNS))
 
 
 def source_status(known: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -178,10 +178,85 @@ def apply_gate(
     return GateRun(cur, obs)
 
 
+def gate_stages(df: DataFrame, optout: OptOut | None, *, order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> dict[str, DataFrame]:
+    """The gate's intermediate results (same plan pieces as ``apply_gate``)."""
+    cols = df.columns
+    order = gate_order(cols, order_by)
+    hard = gate_hard(df)
+    keyed = hard.withColumn(_KEY, _unique_when_null(F.col("id_estab").cast("string")))
+    after_id = keep_first(keyed, [_KEY], order)
+    if optout is not None:
+        after_id = after_id.join(optout.ids, after_id[_KEY] == optout.ids["__optout_id"], "left").withColumn(
+            _SUP, F.col("__optout_id").isNotNull()
+        ).select(*cols, _SUP)
+    else:
+        after_id = after_id.select(*cols)
+    after_domain = dedupe_domain(after_id, order)
+    out = after_domain
+    if optout is not None:
+        out = out.where(~F.col(_SUP)).drop(_SUP)
+        out = out.join(optout.emails, F.lower(out["email"]) == optout.emails["__optout_email"], "left_anti")
+    return {"in": df, "hard": hard, "id": after_id, "domain": after_domain, "out": out}
+
+
+def gate_report_exact(df: DataFrame, optout: OptOut | None, *, order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> DataFrame:
+    """G5 report from aggregates only (exact even when executor loss re-runs map
+    stages, where observed metrics could be applied twice), in two aggregates:
+
+    * over the input: rows in, rows kept by G1, and rows kept by G2 - which is the
+      number of distinct non-NULL ids plus the NULL-id rows, so no window is needed;
+    * over the G3 output, with opt-outs marked (left joins on the distinct opt-out
+      keys) instead of removed: rows kept by G3, and rows also not opted out.
+
+    Each window runs once; the two one-row results are combined without a join."""
+    from prospecta.operators.quality import one_row
+
+    cols = df.columns
+    order = gate_order(cols, order_by)
+    keep = F.col("is_synthetic").isNull() | (F.col("is_synthetic") == F.lit(False))
+    keep = keep & (F.col("flag_difusao_restrita").isNull() | (F.col("flag_difusao_restrita") == F.lit(False)))
+    first = df.agg(
+        F.count(F.lit(1)).alias("n_in_"),
+        F.coalesce(F.sum(F.when(keep, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("n_hard_"),
+        (
+            F.count_distinct(F.when(keep, F.col("id_estab")))
+            + F.coalesce(F.sum(F.when(keep & F.col("id_estab").isNull(), 1).otherwise(0)), F.lit(0))
+        ).cast("bigint").alias("n_id_"),
+    )
+    keyed = gate_hard(df).withColumn(_KEY, _unique_when_null(F.col("id_estab").cast("string")))
+    g2 = keep_first(keyed, [_KEY], order)
+    if optout is not None:
+        g2 = g2.join(optout.ids, g2[_KEY] == optout.ids["__optout_id"], "left").withColumn(
+            _SUP, F.col("__optout_id").isNotNull()
+        )
+    else:
+        g2 = g2.withColumn(_SUP, F.lit(False))
+    g3 = dedupe_domain(g2.select(*cols, _SUP), order)
+    if optout is not None:
+        g3 = g3.join(optout.emails, F.lower(g3["email"]) == optout.emails["__optout_email"], "left").withColumn(
+            "__sup_email", F.col("__optout_email").isNotNull()
+        )
+    else:
+        g3 = g3.withColumn("__sup_email", F.lit(False))
+    second = g3.agg(
+        F.count(F.lit(1)).alias("n_domain_"),
+        F.sum(F.when(~F.col(_SUP) & ~F.col("__sup_email"), 1).otherwise(0)).cast("bigint").alias("n_out_"),
+    )
+    t = one_row(first, second)
+    return t.select(
+        F.col("n_in_").alias("n_in"),
+        (F.col("n_in_") - F.col("n_hard_")).alias("n_hard_excluded"),
+        (F.col("n_hard_") - F.col("n_id_")).alias("n_deduped_id_estab"),
+        (F.col("n_id_") - F.col("n_domain_")).alias("n_deduped_email_domain"),
+        (F.col("n_domain_") - F.coalesce(F.col("n_out_"), F.lit(0))).alias("n_suppressed"),
+        F.coalesce(F.col("n_out_"), F.lit(0)).cast("bigint").alias("n_out"),
+    )
+
+
 def gate_report_df(spark, run: GateRun) -> DataFrame:
-    """Run the gate once (no output kept: ``noop`` sink) and return the one-row
-    report. Callers that also write the rows should write ``run.df`` instead and
-    read ``run.report()`` afterwards (same single pass)."""
+    """Run the gate once (``noop`` sink) and return the Observation counts as one
+    row - a single pass, for reporting next to a write. Use ``gate_report_exact``
+    when the counts themselves are the deliverable."""
     run.df.write.format("noop").mode("overwrite").save()
     rep = run.report()
     return rows_df(
