@@ -1,7 +1,7 @@
 """Versioned, country-partitioned ``leads`` with blue/green activation.
 
-Layout under a warehouse root (any Hadoop path; pointer handling is driver-side
-and needs a local/POSIX path or a filesystem with atomic rename)::
+Layout under a warehouse root (a local path or any Hadoop filesystem path; the small
+pointer/manifest files are written by the driver as ``.tmp`` + rename)::
 
     versions/<version>/pais=BR/part-*.parquet      one write job per source run
     versions/<version>/_manifest.json              {"BR": "<version>", "FR": "<older>"}
@@ -41,25 +41,64 @@ def version_dir(root: str, version: str) -> str:
     return f"{root.rstrip('/')}/versions/{version}"
 
 
+def _hadoop_fs(path: str):
+    """(FileSystem, Path) for a non-local warehouse path, from the active session's
+    Hadoop configuration (so HDFS / object stores configured for Spark work)."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("no active Spark session for a non-local warehouse path")
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
+
+
 def _read_text(path: str) -> str | None:
     p = local_path(path)
-    if p is None:
-        raise ValueError(f"pointer files need a local/POSIX path: {path}")
-    if not os.path.isfile(p):
+    if p is not None:
+        if not os.path.isfile(p):
+            return None
+        with open(p, encoding="utf-8") as f:
+            return f.read()
+    fs, hpath, jvm = _hadoop_fs(path)
+    if not fs.exists(hpath):
         return None
-    with open(p, encoding="utf-8") as f:
-        return f.read()
+    stream = fs.open(hpath)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        lines = []
+        line = reader.readLine()
+        while line is not None:
+            lines.append(line)
+            line = reader.readLine()
+        return "\n".join(lines)
+    finally:
+        stream.close()
 
 
 def _write_atomic(path: str, text: str) -> None:
+    """Write ``.tmp`` then rename over the target (atomic on POSIX and HDFS; on
+    object stores the rename is a copy, so readers may briefly see the old value)."""
     p = local_path(path)
-    if p is None:
-        raise ValueError(f"pointer files need a local/POSIX path: {path}")
-    os.makedirs(os.path.dirname(p), exist_ok=True)
-    tmp = p + ".tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write(text)
-    os.replace(tmp, p)
+    if p is not None:
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        tmp = p + ".tmp"
+        with open(tmp, "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(tmp, p)
+        return
+    fs, hpath, jvm = _hadoop_fs(path)
+    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if fs.exists(hpath):
+        fs.delete(hpath, False)
+    if not fs.rename(tmp, hpath):
+        raise OSError(f"could not move {tmp} to {hpath}")
 
 
 def active_version(root: str) -> str | None:

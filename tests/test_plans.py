@@ -246,3 +246,14 @@ def test_enrich_job_counts_found_and_audits(spark, scratch):
     valid, found = E.enrich_job(spark, lead, upd, "id_legal", "siren", log)
     assert found == 1 and {r.razao_social for r in valid.collect()} == {"NOVO NOME", "EMPRESA"}
     assert AU.read_log(spark, log).first().n_registros == 1
+
+
+def test_pointer_files_through_hadoop_filesystem(spark, scratch, monkeypatch):
+    monkeypatch.setattr(PB, "local_path", lambda p: None)  # take the Hadoop FileSystem branch
+    root = "file://" + local(scratch("hfs"))
+    PB.activate(root, "v1")
+    PB.activate(root, "v2")
+    assert PB.active_version(root) == "v2"
+    PB.write_manifest(root, "v2", {"BR": "v2"})
+    assert PB.read_manifest(root, "v2") == {"BR": "v2"}
+    assert PB.read_manifest(root, "nope") == {}
