@@ -517,6 +517,9 @@ def q_carry_forward(spark, sf):
 
 @register("stream_intake")
 def q_stream_intake(spark, sf):
+    """INC2: establishments land as daily registry CSV files (two days); the stream
+    maps each micro-batch against the static company tables; a third run with
+    nothing new adds nothing."""
     from prospecta.schema import ESTABELECIMENTOS_COLUMNS
 
     landing = scratch_path(spark, "stream-landing")
@@ -527,7 +530,6 @@ def q_stream_intake(spark, sf):
         "__k", F.regexp_extract("nome_fantasia", r"(\d+)$", 1).cast("bigint")
     )
     est = est.join(orders, est["__k"] == orders["o_orderkey"])
-    schema = TD.staging_estabelecimentos(spark, sf).schema
     emp = TD.staging_empresas(spark, sf)
     sim = TD.staging_simples(spark, sf)
     mun = TD.lookup_municipio(spark, sf)
@@ -538,14 +540,23 @@ def q_stream_intake(spark, sf):
         return valid
 
     early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
-    est.where(early).select(*ESTABELECIMENTOS_COLUMNS).write.mode("append").parquet(f"{landing}/day1")
-    ST.run_available(spark, f"{landing}/*", schema, ckpt, out, transform)
-    est.where(~early).select(*ESTABELECIMENTOS_COLUMNS).write.mode("append").parquet(f"{landing}/day2")
-    ST.run_available(spark, f"{landing}/*", schema, ckpt, out, transform)
-    ST.run_available(spark, f"{landing}/*", schema, ckpt, out, transform)  # nothing new
+    for day, cond in (("D1", early), ("D2", ~early)):
+        I.write_registry_csv(est.where(cond).select(*ESTABELECIMENTOS_COLUMNS), f"{landing}/{day}")
+        ST.run_available_registry_csv(spark, f"{landing}/*", ESTABELECIMENTOS_COLUMNS, ckpt, out, transform)
+    ST.run_available_registry_csv(spark, f"{landing}/*", ESTABELECIMENTOS_COLUMNS, ckpt, out, transform)  # nothing new
     return ST.read_output(spark, out).select(*S.CANONICAL_COLUMNS)
 
 
+@register("opencnpj_json_files")
+def q_opencnpj_json_files(spark, sf):
+    """SRC7 + M3: landed JSON-lines payload files read with an explicit schema."""
+    path = scratch_path(spark, "opencnpj-json")
+    TD.opencnpj_payloads(spark, sf).write.mode("overwrite").text(path)
+    docs = spark.read.schema(M.OPENCNPJ_SCHEMA).json(path)
+    valid, _ = M.enforce_contract(M.opencnpj_to_canonical(docs, json_col=None))
+    return valid
+
+
 def _export(spark, sf, formato: str) -> tuple[str, X.ExportResult]:
     leads = _leads(spark, sf)
     dest = scratch_path(spark, f"export-{formato}")

@@ -449,10 +449,15 @@ OPENCNPJ_SCHEMA = T.StructType(
 )
 
 
-def opencnpj_to_canonical(payloads: DataFrame, json_col: str = "payload") -> DataFrame:
-    """M3: one JSON document per row -> canonical columns (before validation)."""
-    r = F.from_json(F.col(json_col), OPENCNPJ_SCHEMA).alias("r")
-    p = payloads.select(r)
+def opencnpj_to_canonical(payloads: DataFrame, json_col: str | None = "payload") -> DataFrame:
+    """M3: OpenCNPJ documents -> canonical columns (before validation).
+
+    ``json_col`` names a column of JSON text; ``None`` means the rows already hold
+    the parsed fields (e.g. ``spark.read.schema(OPENCNPJ_SCHEMA).json(files)``)."""
+    if json_col is None:
+        p = payloads.select(F.struct(*[F.col(f.name) for f in OPENCNPJ_SCHEMA.fields]).alias("r"))
+    else:
+        p = payloads.select(F.from_json(F.col(json_col), OPENCNPJ_SCHEMA).alias("r"))
     cnpj = F.coalesce(N.only_digits("r.cnpj"), F.lit(""))
     first_cnae = F.get(F.col("r.cnaes"), 0).getField("cnae")
     return p.select(

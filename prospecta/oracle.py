@@ -795,6 +795,7 @@ def _export_csv_sql() -> str:
 def queries_batch2() -> dict[str, str]:
     return {
         "opencnpj_canonical": _opencnpj_sql(),
+        "opencnpj_json_files": _opencnpj_sql(),
         "enrich_brasilapi": _brasilapi_sql(),
         "enrich_recherche": _recherche_sql(),
         "enrich_merge": _merge_sql(),

@@ -44,5 +44,47 @@ def run_available(
     q.awaitTermination()
 
 
+def run_available_registry_csv(
+    spark: SparkSession,
+    landing: str,
+    columns,
+    checkpoint: str,
+    output: str,
+    transform: Callable[[DataFrame], DataFrame],
+    *,
+    max_files_per_trigger: int | None = None,
+) -> None:
+    """INC2 over landed registry files: headerless ``;`` latin-1 CSV read by the
+    streaming file source with the positional layout; malformed lines are kept apart
+    (written under ``<output>_malformed``) and well-formed rows go through
+    ``transform``."""
+    from pyspark.sql import functions as F
+
+    from prospecta.sources.registry import BR_CSV_OPTIONS, CORRUPT, text_schema
+
+    reader = spark.readStream.schema(text_schema(columns)).options(**BR_CSV_OPTIONS, nullValue="\u0000", emptyValue="")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    stream = reader.csv(landing)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # split one parse into rows and rejects
+        try:
+            ok = batch.where(F.col(CORRUPT).isNull()).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
+            bad = batch.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("linha"))
+            transform(ok).write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{output.rstrip('/')}_malformed/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    q = (
+        stream.writeStream.foreachBatch(write_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+
+
 def read_output(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.parquet(output)
