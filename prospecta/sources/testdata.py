@@ -88,44 +88,45 @@ def staging_empresas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fill_layout(out, S.EMPRESAS_COLUMNS)
 
 
+def _p(e: str, n: int) -> str:
+    return f"lpad(CAST({e} AS STRING), {n}, '0')"
+
+
+# Establishment columns from ``orders`` as Spark SQL expressions: a 30-column
+# layout becomes one ``selectExpr`` call.
+_ESTAB_SQL = {
+    "cnpj_basico": f"CASE WHEN o_orderkey % 53 = 7 THEN concat('9', {_p('o_custkey', 7)}) ELSE {_p('o_custkey', 8)} END",
+    "cnpj_ordem": _p("o_orderkey % 10000", 4),
+    "cnpj_dv": _p("o_orderkey % 97", 2),
+    "nome_fantasia": "concat('LOJA ', CAST(o_orderkey AS STRING))",
+    "situacao_cadastral": "CASE o_orderstatus WHEN 'O' THEN '02' WHEN 'F' THEN '08' ELSE '03' END",
+    "data_inicio_atividade": (
+        "CASE WHEN o_orderkey % 11 = 0 THEN '00000000' WHEN o_orderkey % 89 = 0 THEN 'INVALIDA' "
+        "ELSE date_format(o_orderdate, 'yyyyMMdd') END"
+    ),
+    "cnae_fiscal_principal": (
+        "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN '8630501' WHEN '2' THEN '4721102' "
+        "WHEN '3' THEN '6201501' WHEN '4' THEN '5611203' ELSE '' END"
+    ),
+    "cnae_fiscal_secundaria": (
+        "CASE WHEN o_orderkey % 3 = 0 THEN '4722901,4729699' WHEN o_orderkey % 3 = 1 THEN '' ELSE '6201501, ,5611203' END"
+    ),
+    "uf": "CASE o_orderkey % 6 WHEN 0 THEN 'SP' WHEN 1 THEN 'RJ' WHEN 2 THEN 'MG' WHEN 3 THEN 'BA' WHEN 4 THEN 'PR' ELSE '' END",
+    "municipio": _p("o_orderkey % 30", 4),
+    "cep": _p("o_orderkey % 100000", 8),
+    "ddd_1": "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '11' END",
+    "telefone_1": f"CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE {_p('o_orderkey', 8)} END",
+    "correio_eletronico": (
+        "CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 101 = 1 THEN 'sem-arroba' "
+        "ELSE concat('Contato', CAST(o_orderkey AS STRING), '@Empresa', CAST(o_orderkey % 4000 AS STRING), '.com.br') END"
+    ),
+}
+
+
 def staging_estabelecimentos(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    email = (
-        F.when(k % 5 == 0, F.lit(""))
-        .when(k % 101 == 1, F.lit("sem-arroba"))
-        .otherwise(F.concat(F.lit("Contato"), k.cast("string"), F.lit("@Empresa"), (k % 4000).cast("string"), F.lit(".com.br")))
-    )
-    secundaria = (
-        F.when(k % 3 == 0, F.lit("4722901,4729699"))
-        .when(k % 3 == 1, F.lit(""))
-        .otherwise(F.lit("6201501, ,5611203"))
-    )
-    out = o.select(
-        F.when(k % 53 == 7, F.concat(F.lit("9"), P("o_custkey", 7)))
-        .otherwise(P("o_custkey", 8))
-        .alias("cnpj_basico"),
-        P(k % 10000, 4).alias("cnpj_ordem"),
-        P(k % 97, 2).alias("cnpj_dv"),
-        F.concat(F.lit("LOJA "), k.cast("string")).alias("nome_fantasia"),
-        _case(F.col("o_orderstatus"), {"O": "02", "F": "08"}, "03").alias("situacao_cadastral"),
-        F.when(k % 11 == 0, F.lit("00000000"))
-        .when(k % 89 == 0, F.lit("INVALIDA"))
-        .otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
-        .alias("data_inicio_atividade"),
-        _case(
-            F.substring("o_orderpriority", 1, 1),
-            {"1": "8630501", "2": "4721102", "3": "6201501", "4": "5611203"},
-        ).alias("cnae_fiscal_principal"),
-        secundaria.alias("cnae_fiscal_secundaria"),
-        _case(k % 6, {0: "SP", 1: "RJ", 2: "MG", 3: "BA", 4: "PR"}).alias("uf"),
-        P(k % 30, 4).alias("municipio"),
-        P(k % 100000, 8).alias("cep"),
-        F.when(k % 7 == 0, F.lit("")).otherwise(F.lit("11")).alias("ddd_1"),
-        F.when(k % 7 == 0, F.lit("")).otherwise(P(k, 8)).alias("telefone_1"),
-        email.alias("correio_eletronico"),
-    )
-    return _fill_layout(out, S.ESTABELECIMENTOS_COLUMNS)
+    blank = "''"
+    return o.selectExpr(*[f"{_ESTAB_SQL.get(c, blank)} AS {c}" for c in S.ESTABELECIMENTOS_COLUMNS])
 
 
 def staging_simples(spark: SparkSession, sf_dir: str) -> DataFrame:
