@@ -599,3 +599,31 @@ def q_audit_export(spark, sf):
     dest = scratch_path(spark, "audit-export")
     AU.export_log_csv(q, dest)
     return AU.read_log_csv(spark, dest, q.schema)
+
+
+@register("lookup_scan")
+def q_lookup_scan(spark, sf):
+    """SRC4: a ``codigo;descricao`` code table landed twice (a second, later file
+    repeats every code); one row per code, greatest description."""
+    n = TD.table(spark, sf, "nation")
+    base = scratch_path(spark, "lookup")
+    first = n.select(N.lpad_code("n_nationkey", 4).alias("codigo"), F.col("n_name").alias("descricao"))
+    second = n.select(N.lpad_code("n_nationkey", 4).alias("codigo"), F.concat(F.lit("ZZ "), F.col("n_name")).alias("descricao"))
+    I.write_registry_csv(first, f"{base}/a")
+    I.write_registry_csv(second, f"{base}/b")
+    return RG.read_lookup(spark, [f"{base}/a", f"{base}/b"])
+
+
+@register("stage_counts")
+def q_stage_counts(spark, sf):
+    """SNK2: per-entity row and malformed counts of a staged landing folder."""
+    landing = scratch_path(spark, "stage-landing")
+    I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.EMPRECSV")
+    I.write_registry_csv(TD.staging_estabelecimentos(spark, sf), f"{landing}/K3241.K03200Y1.D50812.ESTABELE")
+    I.write_registry_csv(TD.staging_simples(spark, sf), f"{landing}/F.K03200$W.SIMPLES.CSV.D50812")
+    counts = I.stage_directory(spark, landing, scratch_path(spark, "stage-parquet"))
+    return rows_df(
+        spark,
+        [(e, c["rows"], c["malformed"]) for e, c in sorted(counts.items())],
+        "entidade string, n_linhas bigint, n_malformadas bigint",
+    )

@@ -822,6 +822,10 @@ def queries_batch2() -> dict[str, str]:
         "carry_forward": with_("real_leads") + "SELECT * FROM real_leads",
         "stream_intake": with_("br_valid") + "SELECT * FROM br_valid",
         "export_csv": _export_csv_sql(),
+        "lookup_scan": f"SELECT {_p('n_nationkey', 4)} AS codigo, 'ZZ ' || n_name AS descricao FROM nation",
+        "stage_counts": "SELECT 'EMPRESAS' AS entidade, count(*) AS n_linhas, CAST(0 AS BIGINT) AS n_malformadas FROM customer "
+        "UNION ALL SELECT 'ESTABELECIMENTOS', count(*), CAST(0 AS BIGINT) FROM orders "
+        "UNION ALL SELECT 'SIMPLES', count(*), CAST(0 AS BIGINT) FROM supplier",
         "lookup_resolve": with_("staging_estabelecimentos", "lookup_municipio")
         + ", cn AS (SELECT DISTINCT cnae_fiscal_principal AS codigo, 'ATIVIDADE ' || cnae_fiscal_principal AS descricao "
         "FROM staging_estabelecimentos WHERE cnae_fiscal_principal <> '') "
