@@ -627,3 +627,27 @@ def q_stage_counts(spark, sf):
         [(e, c["rows"], c["malformed"]) for e, c in sorted(counts.items())],
         "entidade string, n_linhas bigint, n_malformadas bigint",
     )
+
+
+@register("score_breakdown")
+def q_score_breakdown(spark, sf):
+    """The breakdown struct, flattened (a vetoed lead has no signals)."""
+    b = SC.breakdown_column(PR.SCORING, PR.TODAY)
+    df = _real_leads(spark, sf).select("id_estab", b.alias("b"))
+    cols = [F.col("id_estab"), F.col("b.score_icp").alias("score_icp"), F.col("b.vetado").alias("vetado"),
+            F.size("b.sinais").cast("bigint").alias("n_sinais")]
+    for s_ in SC.SIGNALS:
+        e = F.col("b.sinais").getItem(s_)
+        cols += [F.round(e["fraction"], 6).alias(f"f_{s_}"), e["applicable"].alias(f"a_{s_}")]
+    return df.select(*cols)
+
+
+@register("audit_append")
+def q_audit_append(spark, sf):
+    """AUD1/AUD2: events appended to an audit log in two batches (append mode, earlier
+    files untouched) and read back."""
+    log = scratch_path(spark, "audit-log")
+    ev = AU.events_as_log(TD.table(spark, sf, "events"))
+    ev.where(F.col("operacao") == "view").write.mode("append").parquet(log)
+    ev.where(F.col("operacao") != "view").write.mode("append").parquet(log)
+    return AU.read_log(spark, log, schema=ev.schema)

@@ -792,6 +792,23 @@ def _export_csv_sql() -> str:
     return with_("g_out") + "SELECT " + ", ".join(S.EXPORT_COLUMNS) + " FROM g_out"
 
 
+def _breakdown_sql() -> str:
+    from prospecta.operators.score import SIGNALS
+
+    cfg = PR.SCORING
+    sig = _signals_sql()
+    active = "coalesce(upper(situacao) = 'ATIVA', false)"
+    parts = []
+    for s_ in SIGNALS:
+        parts.append(f"CASE WHEN {active} THEN round(CAST({sig[s_]} AS DOUBLE), 6) END AS f_{s_}")
+        parts.append(f"CASE WHEN {active} THEN {str(cfg.applicable(s_)).lower()} END AS a_{s_}")
+    return (
+        with_("real_leads")
+        + f"SELECT id_estab, CAST({_score_sql()} AS DOUBLE) AS score_icp, NOT {active} AS vetado, "
+        f"CAST(CASE WHEN {active} THEN {len(SIGNALS)} ELSE 0 END AS BIGINT) AS n_sinais, " + ", ".join(parts) + " FROM real_leads"
+    )
+
+
 def queries_batch2() -> dict[str, str]:
     return {
         "opencnpj_canonical": _opencnpj_sql(),
@@ -822,6 +839,9 @@ def queries_batch2() -> dict[str, str]:
         "carry_forward": with_("real_leads") + "SELECT * FROM real_leads",
         "stream_intake": with_("br_valid") + "SELECT * FROM br_valid",
         "export_csv": _export_csv_sql(),
+        "score_breakdown": _breakdown_sql(),
+        "audit_append": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
+        "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events",
         "lookup_scan": f"SELECT {_p('n_nationkey', 4)} AS codigo, 'ZZ ' || n_name AS descricao FROM nation",
         "stage_counts": "SELECT 'EMPRESAS' AS entidade, count(*) AS n_linhas, CAST(0 AS BIGINT) AS n_malformadas FROM customer "
         "UNION ALL SELECT 'ESTABELECIMENTOS', count(*), CAST(0 AS BIGINT) FROM orders "
