@@ -118,3 +118,28 @@ def ledger_from_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "fonte", "competencia", "run_at", (F.col("value") >= 20).alias("activated")
     )
     return available, ledger
+
+
+def publish_if_new(
+    spark: SparkSession,
+    ledger_path: str,
+    warehouse_root: str,
+    fonte: str,
+    pais: str,
+    competencia: str,
+    candidates: Callable[[str], DataFrame],
+    *,
+    strict: bool = True,
+    thresholds=None,
+) -> RunOutcome:
+    """INC1 + V4 for one source: when ``competencia`` is new, build the canonical
+    candidates for it (``candidates(competencia)`` returns a lazy DataFrame),
+    publish a version for ``pais`` (quality gate, carry-forward, pointer switch only
+    if it passed) and record the run with its activation flag. Failures are
+    reported, not recorded, so the next round retries."""
+    from prospecta.plans import publish as PB
+
+    def run(c: str) -> bool:
+        return PB.publish(spark, candidates(c), warehouse_root, pais, thresholds=thresholds).activated
+
+    return run_if_new(spark, ledger_path, fonte, competencia, run, strict=strict)

@@ -257,3 +257,20 @@ def test_pointer_files_through_hadoop_filesystem(spark, scratch, monkeypatch):
     PB.write_manifest(root, "v2", {"BR": "v2"})
     assert PB.read_manifest(root, "v2") == {"BR": "v2"}
     assert PB.read_manifest(root, "nope") == {}
+
+
+def test_publish_if_new(spark, scratch):
+    ledger, root = scratch("ledger2"), scratch("wh3")
+    built = []
+
+    def cands(c):
+        built.append(c)
+        return leads(spark, 2, "BR")
+
+    first = LG.publish_if_new(spark, ledger, root, "BR_RECEITA", "BR", "2024-05", cands)
+    assert first.success and first.activated and PB.read_active(spark, root).count() == 2
+    again = LG.publish_if_new(spark, ledger, root, "BR_RECEITA", "BR", "2024-05", cands)
+    assert again.skipped and built == ["2024-05"]
+    dup = LG.publish_if_new(spark, ledger, root, "BR_RECEITA", "BR", "2024-06", lambda c: leads(spark, 2, "BR", dup=True))
+    assert dup.success and dup.activated is False  # quality rejected: pointer kept
+    assert PB.read_active(spark, root).count() == 2
