@@ -24,8 +24,9 @@ from prospecta.functions.normalize import lpad_code as P
 from prospecta.session import ensure_parallelism
 
 
-# Row-heavy inputs whose per-row mapping work should use every core.
-_WIDE_INPUTS = frozenset({"orders", "lineitem", "events", "customer", "part"})
+# Row-heavy inputs whose per-row mapping runs before any shuffle (the FR pair joins
+# its legal units by broadcast), so a single-split scan would use one core.
+_WIDE_INPUTS = frozenset({"lineitem"})
 
 
 _SCHEMAS: dict[str, object] = {}
