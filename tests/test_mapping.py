@@ -184,3 +184,78 @@ def test_stage_directory_routes_by_name(spark, scratch):
     assert counts == {"EMPRESAS": {"rows": 3, "malformed": 1}, "ESTABELECIMENTOS": {"rows": 4, "malformed": 0}}
     counts = I.stage_directory(spark, d, scratch("staged2"), only=["EMPRESAS"])
     assert list(counts) == ["EMPRESAS"]
+
+
+def _joined_row(spark, **over):
+    base = dict(cnpj_basico="11111111", cnpj_completo="11111111000191", nome_fantasia=None, situacao_cadastral="02",
+                data_inicio_atividade=None, cnae_fiscal_principal="4721102", uf="SP", municipio_codigo="7107",
+                municipio_descricao=None, cep="01001000", ddd_1=None, telefone_1=None, correio_eletronico=None,
+                razao_social="EMPRESA", natureza_juridica_codigo="2062", natureza_juridica_descricao=None,
+                capital_social=None, porte_empresa="01", opcao_pelo_simples=None, opcao_pelo_mei=None)
+    base.update(over)
+    schema = ("cnpj_basico string, cnpj_completo string, nome_fantasia string, situacao_cadastral string, "
+              "data_inicio_atividade date, cnae_fiscal_principal string, uf string, municipio_codigo string, "
+              "municipio_descricao string, cep string, ddd_1 string, telefone_1 string, correio_eletronico string, "
+              "razao_social string, natureza_juridica_codigo string, natureza_juridica_descricao string, "
+              "capital_social decimal(18,2), porte_empresa string, opcao_pelo_simples string, opcao_pelo_mei string")
+    return spark.createDataFrame([tuple(base.values())], schema)
+
+
+def test_br_mapping_fallbacks(spark):
+    def one(**over):
+        valid, rejected = M.enforce_contract(M.br_to_canonical(_joined_row(spark, **over)))
+        rows = valid.collect()
+        return rows[0] if rows else None
+
+    assert one(ddd_1="11", telefone_1=None).telefone == "11"
+    assert one(ddd_1=None, telefone_1=None).telefone is None
+    r = one(municipio_descricao="SAO PAULO", natureza_juridica_descricao="LTDA")
+    assert (r.municipio, r.natureza_juridica) == ("SAO PAULO", "LTDA")
+    r = one()
+    assert (r.municipio, r.natureza_juridica, r.situacao, r.porte) == ("7107", "2062", "ATIVA", "MICRO EMPRESA")
+    assert one(situacao_cadastral="99").situacao == "99"
+    assert (r.fonte, r.is_synthetic, r.flag_difusao_restrita, r.score_icp) == ("BR_RECEITA", False, False, None)
+    assert one(razao_social=None) is None
+
+
+def _fr_pair(spark, ul=None, et=None):
+    u = dict(siren="1", flag_difusao_restrita=False, razao_social="UL", prenome_usual=None, prenome_1=None, nome=None,
+             sigla=None, nome_fantasia=None, cod_atividade="UL.A", situacao="A", data_criacao=None, categoria_empresa=None,
+             natureza_juridica=None)
+    e = dict(siren="1", siret="100001", flag_difusao_restrita=False, nome_fantasia=None, cod_atividade=None, situacao=None,
+             cep=None, municipio=None, data_criacao=None)
+    u.update(ul or {})
+    e.update(et or {})
+    j = {**{f"ul_{k}": v for k, v in u.items()}, **{f"et_{k}": v for k, v in e.items()}}
+    schema = ", ".join(f"{k} {'boolean' if k.endswith('flag_difusao_restrita') else 'date' if k.endswith('data_criacao') else 'string'}" for k in j)
+    valid, _ = M.enforce_contract(M.fr_to_canonical(spark.createDataFrame([tuple(j.values())], schema)))
+    rows = valid.collect()
+    return rows[0] if rows else None
+
+
+def test_fr_mapping_precedence_and_flags(spark):
+    r = _fr_pair(spark)
+    assert (r.cod_atividade, r.situacao, r.regiao, r.capital_social, r.fonte) == ("UL.A", "ATIVA", None, None, "FR_SIRENE")
+    assert _fr_pair(spark, et=dict(nome_fantasia="ENSEIGNE"), ul=dict(sigla="SIG")).nome_fantasia == "ENSEIGNE"
+    assert _fr_pair(spark, ul=dict(sigla="SIG", nome_fantasia="DENOM")).nome_fantasia == "SIG"
+    assert _fr_pair(spark, ul=dict(nome_fantasia="DENOM")).nome_fantasia == "DENOM"
+    assert _fr_pair(spark, et=dict(cod_atividade="ET.B", situacao="F")).cod_atividade == "ET.B"
+    assert _fr_pair(spark, et=dict(situacao="F")).situacao == "BAIXADA"
+    assert _fr_pair(spark, ul=dict(razao_social=None, prenome_usual="JEAN", prenome_1="J", nome="MARTIN")).razao_social == "JEAN MARTIN"
+    assert _fr_pair(spark, ul=dict(razao_social=None)) is None
+    assert _fr_pair(spark, et=dict(cep="13001")).regiao == "13"
+    assert _fr_pair(spark, ul=dict(flag_difusao_restrita=True)).flag_difusao_restrita is True
+    assert _fr_pair(spark, et=dict(flag_difusao_restrita=True)).flag_difusao_restrita is True
+
+
+def test_opencnpj_without_activities(spark):
+    df = spark.createDataFrame([(json.dumps({"cnpj": "12345678000190", "razaoSocial": "X", "cnaes": []}),)], "payload string")
+    valid, _ = M.enforce_contract(M.opencnpj_to_canonical(df))
+    r = valid.first()
+    assert r.cod_atividade is None and r.natureza_juridica is None and r.situacao is None and r.fonte == "BR_OPENCNPJ"
+
+
+def test_br_join_without_simples(spark, scratch):
+    e, em, s, mun, nat = br_tables(spark, scratch("br3"))
+    j = M.br_joined(e, em, None, mun, nat)
+    assert j.count() == 4 and j.where("opcao_pelo_simples is not null").count() == 0
