@@ -539,7 +539,7 @@ def q_stream_intake(spark, sf):
         valid, _ = M.enforce_contract(M.br_to_canonical(M.br_joined(batch, emp, sim, mun, nat)))
         return valid
 
-    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    early = F.coalesce(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"), F.lit(False))
     for day, cond in (("D1", early), ("D2", ~early)):
         I.write_registry_csv(est.where(cond).select(*ESTABELECIMENTOS_COLUMNS), f"{landing}/{day}")
         ST.run_available_registry_csv(spark, f"{landing}/*", ESTABELECIMENTOS_COLUMNS, ckpt, out, transform)
@@ -648,6 +648,7 @@ def q_audit_append(spark, sf):
     files untouched) and read back."""
     log = scratch_path(spark, "audit-log")
     ev = AU.events_as_log(TD.table(spark, sf, "events"))
-    ev.where(F.col("operacao") == "view").write.mode("append").parquet(log)
-    ev.where(F.col("operacao") != "view").write.mode("append").parquet(log)
+    first = F.coalesce(F.col("operacao") == "view", F.lit(False))
+    ev.where(first).write.mode("append").parquet(log)
+    ev.where(~first).write.mode("append").parquet(log)  # everything else, NULLs included
     return AU.read_log(spark, log, schema=ev.schema)
