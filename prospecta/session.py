@@ -46,14 +46,16 @@ def get_spark(
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (or the context's
-    checkpoint dir). Only when neither is set (local tests) a private temp folder is
-    created and registered, so that ``DataFrame.checkpoint()`` works."""
+    checkpoint dir). When neither is set, local mode (tests) gets a private temp
+    folder; on a cluster this is an error - never a machine-local folder there."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
-            d = tempfile.mkdtemp(prefix="prospecta-ckpt-")
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+            d = tempfile.mkdtemp(prefix="prospecta-ckpt-")  # local mode only (tests)
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d.rstrip("/")
