@@ -15,7 +15,7 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prospecta import schema as S
 from prospecta.plans import ingest as I
@@ -60,9 +60,13 @@ def publish_leads(spark: SparkSession, sf_dir: str, *, force: bool = False) -> P
     return _PUBLISHED[k]
 
 
+_READ_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in S.CANONICAL_FIELDS if n != "pais"] + [T.StructField("pais", T.StringType(), True)])
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    # Partition values stay text ("BR"/"FR"); columns come back in canonical order.
-    return spark.read.parquet(path).select(*[F.col(c).cast(t).alias(c) for c, t in S.CANONICAL_FIELDS])
+    """The published tree with its known schema (no footer inference per read);
+    ``pais`` comes from the partition folders as text; canonical column order."""
+    return spark.read.schema(_READ_SCHEMA).parquet(path).select(*S.CANONICAL_COLUMNS)
 
 
 def real_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
