@@ -1,7 +1,8 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator of
 the inventory. Each reads the whole driver tables (through the registry adapter) and
-returns a lazily planned DataFrame; only the report-style queries run their job
-eagerly to read Observation counters into a one-row result.
+returns a lazily planned DataFrame. Jobs whose operator writes files (staging,
+publish, export, streaming intake, demo sink) run those writes and return the
+written data read back.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ the opt-out-by-id mark is joined on the G2 key, reusing that shuffle's partition
 (only the opt-out ids move); the opt-out-by-e-mail anti join shuffles once, or not at
 all when AQE sees a small opt-out side and broadcasts it. Rows with a NULL key always
 pass; they get a unique substitute key so they never pile up in one partition.
-Counts come from ``Observation`` metrics collected in the same job that writes the
-result; nothing is collected to the driver but five numbers.
+Counts: ``apply_gate`` attaches ``Observation`` metrics, read after the job that
+writes the rows (single pass, informational: metrics of a re-run map stage could be
+applied twice); ``gate_report_exact`` builds the report from aggregates, exact under
+retries. Nothing but the counts reaches the driver.
 """
 
 from __future__ import annotations

@@ -138,8 +138,8 @@ def materialize(
     """SNK3: contract-check ``candidates`` (canonical columns) and write the valid
     rows of one country under ``versions/<version>/pais=<pais>``.
 
-    One job: valid and rejected counts are Observation metrics of the same scan
-    that writes the files. ``maxRecordsPerFile`` bounds file size; an empty input
+    One job: valid and rejected counts are Observation metrics of the write's own
+    (final) stage, where each task's update counts once. ``maxRecordsPerFile`` bounds file size; an empty input
     writes no data file."""
     checked = M.contract_columns(candidates)
     obs = Observation(f"materialize_{pais}")
