@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from prospecta import schema as S
 from prospecta.functions import normalize as N
 from prospecta.operators import mapping as M
+from prospecta.operators.keys import split_key
 from prospecta.operators.windows import keep_first
 
 
@@ -180,7 +181,8 @@ def merge_updates(leads: DataFrame, updates: DataFrame, lead_key: str, update_ke
     (valid, rejected)."""
     upd = keep_first(updates, [update_key], [F.col(c).asc_nulls_last() for c in UPDATE_FIELDS])
     upd = upd.select(F.col(update_key).alias("__uk"), *[F.col(c).alias(f"__u_{c}") for c in UPDATE_FIELDS])
-    j = leads.join(upd, leads[lead_key] == upd["__uk"], "left")
+    upd = upd.withColumn("__uk", split_key(F.col("__uk")))
+    j = leads.join(upd, split_key(leads[lead_key]) == upd["__uk"], "left")
     cols = [
         (F.coalesce(F.col(f"__u_{c}"), F.col(c)).cast(t).alias(c) if c in UPDATE_FIELDS else F.col(c))
         for c, t in S.CANONICAL_FIELDS

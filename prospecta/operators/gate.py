@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prospecta.functions import normalize as N
+from prospecta.operators.keys import split_key
 from prospecta.operators.windows import keep_first
 from prospecta.session import rows_df
 
@@ -105,8 +106,16 @@ def is_suppressed_join(df: DataFrame, optout: OptOut) -> DataFrame:
 
     Two anti joins; Spark broadcasts the key side when its size is known to be small
     (file statistics or AQE runtime sizes) and otherwise shuffles both sides."""
-    out = df.join(optout.ids, df["id_estab"] == optout.ids["__optout_id"], "left_anti")
-    return out.join(optout.emails, F.lower(out["email"]) == optout.emails["__optout_email"], "left_anti")
+    out = df.join(optout.ids, split_key(df["id_estab"]) == split_key(optout.ids["__optout_id"]), "left_anti")
+    return _drop_optout_emails(out, optout)
+
+
+def _drop_optout_emails(df: DataFrame, optout: OptOut) -> DataFrame:
+    # derived key: the distinct opt-out side gets its own shuffle, so AQE can split a
+    # hot (junk) e-mail on the leads side
+    return df.join(
+        optout.emails, split_key(F.lower(df["email"])) == split_key(optout.emails["__optout_email"]), "left_anti"
+    )
 
 
 @dataclass
@@ -175,7 +184,7 @@ def apply_gate(
     cur = step(dedupe_domain(cur, order), "domain")
     if optout is not None:
         cur = cur.where(~F.col(_SUP)).drop(_SUP)
-        cur = cur.join(optout.emails, F.lower(cur["email"]) == optout.emails["__optout_email"], "left_anti")
+        cur = _drop_optout_emails(cur, optout)
     cur = step(cur, "out")
     return GateRun(cur, obs)
 
@@ -197,7 +206,7 @@ def gate_stages(df: DataFrame, optout: OptOut | None, *, order_by: Sequence[str]
     out = after_domain
     if optout is not None:
         out = out.where(~F.col(_SUP)).drop(_SUP)
-        out = out.join(optout.emails, F.lower(out["email"]) == optout.emails["__optout_email"], "left_anti")
+        out = _drop_optout_emails(out, optout)
     return {"in": df, "hard": hard, "id": after_id, "domain": after_domain, "out": out}
 
 
@@ -235,9 +244,9 @@ def gate_report_exact(df: DataFrame, optout: OptOut | None, *, order_by: Sequenc
         g2 = g2.withColumn(_SUP, F.lit(False))
     g3 = dedupe_domain(g2.select(*cols, _SUP), order)
     if optout is not None:
-        g3 = g3.join(optout.emails, F.lower(g3["email"]) == optout.emails["__optout_email"], "left").withColumn(
-            "__sup_email", F.col("__optout_email").isNotNull()
-        )
+        g3 = g3.join(
+            optout.emails, split_key(F.lower(g3["email"])) == split_key(optout.emails["__optout_email"]), "left"
+        ).withColumn("__sup_email", F.col("__optout_email").isNotNull())
     else:
         g3 = g3.withColumn("__sup_email", F.lit(False))
     second = g3.agg(

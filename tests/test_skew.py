@@ -54,3 +54,48 @@ def test_hot_company_key_is_split(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_siren_is_split(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 90_000
+        et = spark.range(n).select(
+            F.when(F.col("id") % 3 == 0, F.lit("000000001"))
+            .otherwise(F.lpad((F.col("id") % 20000 + 2).cast("string"), 9, "0"))
+            .alias("siren"),
+            F.lpad(F.col("id").cast("string"), 14, "0").alias("siret"),
+            F.lit(False).alias("flag_difusao_restrita"),
+            *[F.lit(v).alias(c) for c, v in [("nome_fantasia", "x"), ("cod_atividade", "62.01Z"), ("situacao", "A"),
+                                             ("cep", "75001"), ("municipio", "PARIS")]],
+            F.lit(None).cast("date").alias("data_criacao"),
+        )
+        ul = spark.range(20002).select(
+            F.lpad(F.col("id").cast("string"), 9, "0").alias("siren"),
+            F.lit(False).alias("flag_difusao_restrita"),
+            F.lit("NOME").alias("razao_social"),
+            *[F.lit(None).cast("string").alias(c) for c in ["prenome_usual", "prenome_1", "nome", "sigla", "nome_fantasia",
+                                                             "cod_atividade", "situacao", "categoria_empresa",
+                                                             "natureza_juridica", "data_ultimo_tratamento"]],
+            F.lit(None).cast("date").alias("data_criacao"),
+        )
+        df = M.fr_to_canonical(M.fr_joined(ul, et))
+        rows = df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == n and sum(1 for r in rows if r.id_legal == "000000001") == n // 3
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
