@@ -99,3 +99,13 @@ def test_hot_siren_is_split(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_split_key_keeps_join_semantics(spark):
+    from prospecta.operators.keys import split_key
+
+    a = spark.createDataFrame([("1",), ("2",), (None,)], "k string")
+    b = spark.createDataFrame([("1",), (None,), ("3",)], "k string")
+    plain = sorted(r[0] for r in a.join(b, a["k"] == b["k"]).select(a["k"]).collect())
+    derived = sorted(r[0] for r in a.join(b, split_key(a["k"]) == split_key(b["k"])).select(a["k"]).collect())
+    assert plain == derived == ["1"]
