@@ -11,25 +11,41 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prospecta.llm import licenses, tokens
+from prospecta.llm import decontaminate, licenses, quality, tokens, toxicity
 from prospecta.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op7_license_scan": op7_license_scan,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontaminate.oracle_sql(),
     "op7_license_scan": licenses.oracle_sql(),
 }
