@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, licenses, quality, tokens, toxicity
+from prospecta.llm import decontaminate, licenses, mixing, neighbours, quality, tokens, toxicity
 from prospecta.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,15 +42,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
     "op5_decontamination": op5_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.oracle_sql(),
     "op7_license_scan": licenses.oracle_sql(),
+    "op10_nearest_neighbours": neighbours.ORACLE,
 }
