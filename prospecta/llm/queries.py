@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, licenses, mixing, neighbours, quality, tokens, toxicity
+from prospecta.llm import decontaminate, licenses, mixing, neighbours, quality, repeats, tokens, toxicity
 from prospecta.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_repeats": op4_repeats,
     "op5_decontamination": op5_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
