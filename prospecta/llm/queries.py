@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, licenses, mixing, neighbours, quality, repeats, tokens, toxicity
+from prospecta.llm import decontaminate, licenses, mixing, near, neighbours, quality, repeats, tokens, toxicity
 from prospecta.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_repeats": op4_repeats,
     "op5_decontamination": op5_decontamination,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.oracle_sql(),
+    "op6_near_duplicates": near.ORACLE,
     "op7_license_scan": licenses.oracle_sql(),
     "op10_nearest_neighbours": neighbours.ORACLE,
 }
