@@ -38,6 +38,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called that."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def alnum_table() -> bytes:
     """Byte map that lower-cases A-Z and turns every separator of ``ALNUM_WORD`` into a
     space; UTF-8 bytes from 0x80 on are word bytes. After it, ``split()`` gives the words."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.common import ALNUM_WORD, alnum_table, small
+from prospecta.llm.common import ALNUM_WORD, alnum_table, free_name, small
 
 WINDOW = 10
 BLOCK_WORDS = 500_000  #: benchmark words searched for in one pass
@@ -103,15 +103,22 @@ def blocks(benchmark: DataFrame) -> Iterator[list]:
         yield [(r["item_id"], r["text"]) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with its columns as they are plus ``bench_words`` (number of words),
-    ``bench_spans`` (maximal hit word ranges as start, end, start, end ...) and
-    ``bench_items`` (ids of the items with an occurrence)."""
-    extra = [("bench_words", pa.int64()), ("bench_spans", pa.list_(pa.int64())), ("bench_items", pa.list_(pa.int64()))]
-    df = docs.drop(*(n for n, _ in extra)).withColumns({"bench_words": F.lit(None).cast("long"), "bench_spans": F.array().cast("array<long>"), "bench_items": F.array().cast("array<long>")})
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns as they are plus three, and these columns' names: the
+    number of words, the maximal hit word ranges (start, end, start, end ...) and the ids
+    of the items with an occurrence."""
+    extra = [free_name(docs.columns, n) for n in ("bench_words", "bench_spans", "bench_items")]
+    empty = F.array().cast("array<long>")
+    df = docs.withColumns(dict(zip(extra, (F.lit(None).cast("long"), empty, empty))))
     for block in blocks(benchmark):
-        df = df.mapInArrow(search_block(docs.sparkSession.sparkContext.broadcast(block), window, [n for n, _ in extra]), df.schema)
-    return df
+        df = df.mapInArrow(search_block(docs.sparkSession.sparkContext.broadcast(block), window, extra), df.schema)
+    return df, extra
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no benchmark window."""
+    found, (_, spans, _) = find(docs, benchmark)
+    return found.where(F.size(spans) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def search_block(sent, window: int, extra: list[str]):
@@ -120,8 +127,9 @@ def search_block(sent, window: int, extra: list[str]):
         engine = WuManber([(i, words_of(t)) for i, t in sent.value], window)
         for b in small(batches, 1024):
             at = {n: b.schema.names.index(n) for n in ("text", *extra)}
+            _, at_spans, at_items = (at[n] for n in extra)
             n_words, spans, items = [], [], []
-            old = zip(b.column(at["bench_spans"]).to_pylist(), b.column(at["bench_items"]).to_pylist())
+            old = zip(b.column(at_spans).to_pylist(), b.column(at_items).to_pylist())
             for text, (s, i) in zip(b.column(at["text"]).to_pylist(), old):
                 words = words_of(text)
                 places, found = engine.search(words)
@@ -141,7 +149,7 @@ def search_block(sent, window: int, extra: list[str]):
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns of every row."""
-    found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark)
+    found, _ = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark)
     span = F.transform(F.sequence(F.lit(0), (F.size("bench_spans") / 2).cast("int") - 1), lambda i: F.get("bench_spans", 2 * i + 1) - F.get("bench_spans", 2 * i))
     hit = F.when(F.size("bench_spans") > 0, F.aggregate(span, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long"))
     ids = F.array_join(F.array_sort(F.transform("bench_items", lambda i: i.cast("string"))), ",")

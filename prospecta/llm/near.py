@@ -309,11 +309,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     one = classes.select("h1", "h2", "n", F.col("id").alias("class_id"))
     one = with_component(one, comp, "class_id").select("h1", "h2", "n", "comp")
-    out = signed.drop("sketch").join(one, ["h1", "h2", "n"], "left")
+    # rows without a set are spread by their id: as null keys they would meet in one place
+    out = signed.where("n > 0").drop("sketch").join(one, ["h1", "h2", "n"], "left")
+    out = out.unionByName(signed.where("n = 0").drop("sketch").withColumn("comp", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of one document of each component
+    (the smallest id); of rows that repeat an id with the same text one stays."""
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"))
+    repeats = kept.groupBy("_kept").count().where("count > 1").select("_kept")
+    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    if not repeats.isEmpty():
+        again = out.join(repeats, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(repeats, F.col("doc_id").cast("long") == F.col("_kept"), "left_anti").unionByName(again)
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def with_roots(new: DataFrame, comp: DataFrame | None) -> DataFrame:
     """The new links and, as links, the components known so far."""
     if comp is None:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.common import mix, powers, small, store, text_bytes
+from prospecta.llm.common import free_name, mix, powers, small, store, text_bytes
 
 LENGTH = 400
 GRAM = 32
@@ -402,24 +402,24 @@ def keep(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns as they are plus ``repeat_spans``."""
-    spans = repeated_spans(docs).select(F.col("key").alias("repeat_key"), F.col("spans").alias("repeat_spans"))
-    docs = docs.drop("repeat_key", "repeat_spans")
-    return docs.withColumn("repeat_own", text_key(F.col("text"))).join(spans, F.col("repeat_own") == F.col("repeat_key"), "left").drop("repeat_own", "repeat_key")
+def with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with its columns as they are plus a column of spans, and that column's name."""
+    spans, own, key = (free_name(docs.columns, n) for n in ("repeat_spans", "repeat_own", "repeat_key"))
+    found = repeated_spans(docs).select(F.col("key").alias(key), F.col("spans").alias(spans))
+    return docs.withColumn(own, text_key(F.col("text"))).join(found, F.col(own) == F.col(key), "left").drop(own, key), spans
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` (``n_chars`` follows where it
     is there). A character that is cut in two is dropped; null texts stay null."""
     columns = docs.columns
-    df = with_spans(docs)
+    df, name = with_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 256):
             names, cols = b.schema.names, list(b.columns)
             text, at = b.column("text").to_pylist(), names.index("text")
-            for i, spans in enumerate(cols[names.index("repeat_spans")].to_pylist()):
+            for i, spans in enumerate(cols[names.index(name)].to_pylist()):
                 if spans:
                     data = text[i].encode()
                     text[i] = keep(data, union(spans)).decode("utf-8", "ignore")
@@ -439,7 +439,7 @@ def report(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 256):
             size, removed, count, sha = [], [], [], []
-            for data, spans in zip(text_bytes(b.column("text")), b.column("repeat_spans").to_pylist()):
+            for data, spans in zip(text_bytes(b.column("text")), b.column(name).to_pylist()):
                 ranges = union(spans)
                 size.append(len(data))
                 removed.append(sum(y - x for x, y in ranges))
@@ -447,5 +447,5 @@ def report(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(keep(data, ranges)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, removed, count)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    df = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    df, name = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return df.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -235,21 +235,29 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with its columns as they are plus ``toxic_score`` and ``toxic_predicted``
-    (names that clash are replaced)."""
-    docs = docs.drop("toxic_score", "toxic_predicted")
+    """(doc_id, toxic_score, toxic_predicted) of every row."""
     parts = model.parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*parts)
         for b in small(batches, 1024):
             s = [m.score(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*b.schema.names, "toxic_score", "toxic_predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "toxic_score", "toxic_predicted"])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return src.mapInArrow(run, "doc_id long, toxic_score double, toxic_predicted int")
 
-    schema = StructType([*docs.schema.fields]).add("toxic_score", DoubleType()).add("toxic_predicted", IntegerType())
-    return docs.mapInArrow(run, schema)
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that aren't predicted toxic."""
+    parts = model.parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*parts)
+        for b in small(batches, 1024):
+            yield b.filter(pa.array([m.score(t) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(col: Column) -> Column:
@@ -259,5 +267,4 @@ def held_out(col: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     model = learn(docs, labels, ~held_out(F.col("doc_id")))
-    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
