@@ -12,12 +12,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, licenses, mixing, near, neighbours, quality, repeats, tokens, toxicity
+from prospecta.llm import decontaminate, licenses, lm, mixing, near, neighbours, quality, repeats, tokens, toxicity
 from prospecta.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_repeats": op4_repeats,
