@@ -438,12 +438,13 @@ def q_csv_latin1_scan(spark, sf):
     I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.SOCIOCSV")  # ignored
     staged = scratch_path(spark, "staged")
     I.stage_directory(spark, landing, staged)
-    return M.parse_empresas(RG.read_staged_parquet(spark, [f"{staged}/EMPRESAS"]))
+    return M.parse_empresas(I.staged(spark, staged, "EMPRESAS").rows)
 
 
 MALFORMED_SHORT_MOD, MALFORMED_SHORT_REM = 50, 3
 MALFORMED_LONG_MOD, MALFORMED_LONG_REM = 71, 5
 QUOTED_MOD, QUOTED_REM = 13, 2
+BLANK_MOD, BLANK_REM = 19, 1
 
 
 @register("csv_malformed")
@@ -456,6 +457,8 @@ def q_csv_malformed(spark, sf):
     )
     quoted = F.concat(F.lit('"LOJA ""'), F.col("__k").cast("string"), F.lit('""; FILIAL"'))
     fields = [quoted if c == "nome_fantasia" else F.col(c) for c in S.ESTABELECIMENTOS_COLUMNS]
+    # an unquoted blank first field is still a row
+    fields[0] = F.when(F.col("__k") % BLANK_MOD == BLANK_REM, F.lit("")).otherwise(fields[0])
     fields = [F.when(F.col("__k") % QUOTED_MOD == QUOTED_REM, fields[i]).otherwise(F.col(c)) if c == "nome_fantasia" else fields[i] for i, c in enumerate(S.ESTABELECIMENTOS_COLUMNS)]
     line = (
         F.when(F.col("__k") % MALFORMED_SHORT_MOD == MALFORMED_SHORT_REM, F.concat_ws(";", *fields[:-3]))
@@ -468,6 +471,7 @@ def q_csv_malformed(spark, sf):
     ok = scan.rows.agg(
         F.count(F.lit(1)).alias("n_ok"),
         F.sum(F.when(F.col("nome_fantasia").contains('"') & F.col("nome_fantasia").contains(";"), 1).otherwise(0)).cast("bigint").alias("n_quoted"),
+        F.sum(F.when(F.col(S.ESTABELECIMENTOS_COLUMNS[0]) == "", 1).otherwise(0)).cast("bigint").alias("n_blank_first"),
     )
     bad = scan.malformed.agg(F.count(F.lit(1)).alias("n_malformed"))
     return Q.one_row(ok, bad)
@@ -609,7 +613,7 @@ def q_lookup_scan(spark, sf):
     n = TD.table(spark, sf, "nation")
     base = scratch_path(spark, "lookup")
     first = n.select(N.lpad_code("n_nationkey", 4).alias("codigo"), F.col("n_name").alias("descricao"))
-    second = n.select(N.lpad_code("n_nationkey", 4).alias("codigo"), F.concat(F.lit("ZZ "), F.col("n_name")).alias("descricao"))
+    second = n.select(F.when(F.col("n_nationkey") == 7, "").otherwise(N.lpad_code("n_nationkey", 4)).alias("codigo"), F.concat(F.lit("ZZ "), F.col("n_name")).alias("descricao"))
     I.write_registry_csv(first, f"{base}/a")
     I.write_registry_csv(second, f"{base}/b")
     return RG.read_lookup(spark, [f"{base}/a", f"{base}/b"])
@@ -622,11 +626,16 @@ def q_stage_counts(spark, sf):
     I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.EMPRECSV")
     I.write_registry_csv(TD.staging_estabelecimentos(spark, sf), f"{landing}/K3241.K03200Y1.D50812.ESTABELE")
     I.write_registry_csv(TD.staging_simples(spark, sf), f"{landing}/F.K03200$W.SIMPLES.CSV.D50812")
-    counts = I.stage_directory(spark, landing, scratch_path(spark, "stage-parquet"))
+    # a second, damaged part of the establishments: short lines
+    short = TD.table(spark, sf, "orders").where("o_orderkey % 50 = 3").select(F.concat(F.lit(";"), F.col("o_orderkey").cast("string"), F.lit(";x")).alias("value"))
+    short.write.text(f"{landing}/K3241.K03200Y2.D50812.ESTABELE")
+    staged = scratch_path(spark, "stage-parquet")
+    counts = I.stage_directory(spark, landing, staged)
+    kept = {e: I.staged(spark, staged, e).malformed.count() for e in counts}
     return rows_df(
         spark,
-        [(e, c["rows"], c["malformed"]) for e, c in sorted(counts.items())],
-        "entidade string, n_linhas bigint, n_malformadas bigint",
+        [(e, c["rows"], c["malformed"], kept[e]) for e, c in sorted(counts.items())],
+        "entidade string, n_linhas bigint, n_malformadas bigint, n_guardadas bigint",
     )
 
 

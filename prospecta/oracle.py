@@ -764,6 +764,7 @@ def _csv_malformed_sql() -> str:
     return (
         f"SELECT count(*) FILTER (WHERE NOT {bad}) AS n_ok, "
         f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 13 = 2) AS BIGINT) AS n_quoted, "
+        f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 19 = 1) AS BIGINT) AS n_blank_first, "
         f"count(*) FILTER (WHERE {bad}) AS n_malformed FROM orders"
     )
 
@@ -842,10 +843,11 @@ def queries_batch2() -> dict[str, str]:
         "score_breakdown": _breakdown_sql(),
         "audit_append": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
         "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events",
-        "lookup_scan": f"SELECT {_p('n_nationkey', 4)} AS codigo, 'ZZ ' || n_name AS descricao FROM nation",
-        "stage_counts": "SELECT 'EMPRESAS' AS entidade, count(*) AS n_linhas, CAST(0 AS BIGINT) AS n_malformadas FROM customer "
-        "UNION ALL SELECT 'ESTABELECIMENTOS', count(*), CAST(0 AS BIGINT) FROM orders "
-        "UNION ALL SELECT 'SIMPLES', count(*), CAST(0 AS BIGINT) FROM supplier",
+        "lookup_scan": f"SELECT {_p('n_nationkey', 4)} AS codigo, CASE WHEN n_nationkey = 7 THEN n_name ELSE 'ZZ ' || n_name END AS descricao FROM nation "
+        "UNION ALL SELECT '' AS codigo, 'ZZ ' || n_name AS descricao FROM nation WHERE n_nationkey = 7",
+        "stage_counts": "SELECT 'EMPRESAS' AS entidade, count(*) AS n_linhas, CAST(0 AS BIGINT) AS n_malformadas, CAST(0 AS BIGINT) AS n_guardadas FROM customer "
+        "UNION ALL SELECT 'ESTABELECIMENTOS', count(*), count(*) FILTER (WHERE o_orderkey % 50 = 3), count(*) FILTER (WHERE o_orderkey % 50 = 3) FROM orders "
+        "UNION ALL SELECT 'SIMPLES', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM supplier",
         "lookup_resolve": with_("staging_estabelecimentos", "lookup_municipio")
         + ", cn AS (SELECT DISTINCT cnae_fiscal_principal AS codigo, 'ATIVIDADE ' || cnae_fiscal_principal AS descricao "
         "FROM staging_estabelecimentos WHERE cnae_fiscal_principal <> '') "

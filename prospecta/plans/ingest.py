@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from prospecta import schema as S
 from prospecta.operators import mapping as M
+from prospecta.sources import registry as R
 from prospecta.sources import testdata as TD
 
+BR_LAYOUTS = {"EMPRESAS": S.EMPRESAS_COLUMNS, "ESTABELECIMENTOS": S.ESTABELECIMENTOS_COLUMNS, "SIMPLES": S.SIMPLES_COLUMNS}
+_REJECT = "malformada"
+
 
 @dataclass(frozen=True)
 class Mapped:
@@ -67,35 +73,37 @@ def stage_directory(
 ) -> dict[str, dict[str, int]]:
     """SNK1 + SNK2: route the files of a landing folder by entity (SRC9), read each
     entity's files as one positional scan (SRC1/SRC2), write them as Parquet
-    (``<parquet_dir>/<entity>``) and return ``{entity: {rows, malformed}}``.
+    (``<parquet_dir>/<entity>``, rejected lines in a partition of their own, see
+    ``staged``) and return ``{entity: {rows, malformed}}``.
 
     Counting is done by Observation on the same job that writes the Parquet."""
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
-
-    from prospecta import schema as S
-    from prospecta.sources import registry as R
-
-    layouts = {"EMPRESAS": S.EMPRESAS_COLUMNS, "ESTABELECIMENTOS": S.ESTABELECIMENTOS_COLUMNS, "SIMPLES": S.SIMPLES_COLUMNS}
     out: dict[str, dict[str, int]] = {}
     for entity, files in sorted(R.route_files(spark, landing, "BR", only).items()):
-        cols = layouts[entity]
-        opts = {**R.BR_CSV_OPTIONS, "nullValue": "\u0000", "emptyValue": ""}
-        spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-        raw = spark.read.schema(R.text_schema(cols)).options(**opts).csv(files)
+        cols = BR_LAYOUTS[entity]
+        raw = R.positional_rows(spark, files, cols)
         obs = Observation(f"stage_{entity}")
         raw = raw.observe(
             obs,
             F.sum(F.when(F.col(R.CORRUPT).isNull(), 1).otherwise(0)).alias("rows"),
             F.sum(F.when(F.col(R.CORRUPT).isNotNull(), 1).otherwise(0)).alias("malformed"),
         )
-        good = raw.where(F.col(R.CORRUPT).isNull()).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
-        good.write.mode("overwrite").parquet(f"{parquet_dir.rstrip('/')}/{entity}")
+        # one pass writes the rows and, in a partition beside them, the rejected lines
+        parts = raw.withColumn(_REJECT, F.col(R.CORRUPT).isNotNull().cast("int"))
+        parts.write.mode("overwrite").partitionBy(_REJECT).parquet(f"{parquet_dir.rstrip('/')}/{entity}")
         got = obs.get
         out[entity] = {"rows": int(got.get("rows") or 0), "malformed": int(got.get("malformed") or 0)}
     return out
 
 
+def staged(spark: SparkSession, parquet_dir: str, entity: str) -> R.Scan:
+    """An entity staged by ``stage_directory``: its rows, and the lines kept aside."""
+    cols = BR_LAYOUTS[entity]
+    fields = ", ".join(f"`{c}` string" for c in (*cols, R.CORRUPT))
+    df = spark.read.schema(f"{fields}, {_REJECT} int").parquet(f"{parquet_dir.rstrip('/')}/{entity}")
+    bad = df.where(F.col(_REJECT) == 1).select(F.col(cols[0]).alias("campo0"), F.col(R.CORRUPT).alias("linha"))
+    return R.Scan(df.where(F.col(_REJECT) == 0).select(*cols), bad)
+
+
 def write_registry_csv(df: DataFrame, dest: str, *, encoding: str = "ISO-8859-1", header: bool = False, sep: str = ";") -> None:
     """Write a DataFrame the way registry dumps look: ``;``-separated, double-quote
     quoting with doubled quotes, empty fields unquoted, latin-1 by default."""

@@ -58,22 +58,30 @@ def read_positional_csv(spark: SparkSession, paths: str | Sequence[str], columns
     Doubled quotes decode to one quote (``escape='"'``); quoted ``;`` stays in the
     field; blank lines are skipped; rows with too few or too many fields go to
     ``malformed`` (and are counted, never fatal). Empty fields become ``''`` as in
-    the raw files (``nullValue`` is set to a sentinel no field contains)."""
-    # With CSV column pruning the parser only tokenises the requested columns and a
-    # bare count stops seeing short/long rows; malformed detection must not depend on
-    # which columns a query reads, so pruning is off for the session (CSV only).
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    opts = {**BR_CSV_OPTIONS, "nullValue": "\u0000", "emptyValue": "", **options}
-    df = spark.read.schema(text_schema(columns)).options(**opts).csv(paths if isinstance(paths, str) else list(paths))
-    # Every parsed line has a first field, so ``first IS NOT NULL`` keeps all rows; it
-    # is there because Spark refuses a query on a raw file that reads only the
-    # corrupt-record column (e.g. a bare count of either side).
-    first = F.col(columns[0]).isNotNull()
-    ok = df.where(F.col(CORRUPT).isNull() & first).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
-    bad = df.where(F.col(CORRUPT).isNotNull() & first).select(F.col(columns[0]).alias("campo0"), F.col(CORRUPT).alias("linha"))
+    the raw files; rows and malformed lines together are all non-blank lines."""
+    rows = positional_rows(spark, paths, columns, **options)
+    ok = rows.where(F.col(CORRUPT).isNull()).select(*columns)
+    bad = rows.where(F.col(CORRUPT).isNotNull()).select(F.col(columns[0]).alias("campo0"), F.col(CORRUPT).alias("linha"))
     return Scan(ok, bad)
 
 
+def positional_rows(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], **options) -> DataFrame:
+    """Every non-blank line: the layout's columns (blank fields are ``''``) and the raw
+    text of a line that does not fit (``CORRUPT``, else NULL).
+
+    The scan takes whole lines and ``from_csv`` parses each with all its fields, so what a
+    query selects can neither hide a malformed line nor lose one whose first field is
+    blank, and no session setting is touched."""
+    opts = {**BR_CSV_OPTIONS, **options}
+    scan = {"encoding": opts["encoding"], "sep": "\u0001", "quote": "", "escape": ""}  # one field: the line
+    lines = spark.read.schema("value string").options(**scan).csv(paths if isinstance(paths, str) else list(paths))
+    parse = {k: opts[k] for k in ("sep", "quote", "escape", "mode", "columnNameOfCorruptRecord")}
+    parse |= {"nullValue": "\u0000", "emptyValue": ""}
+    ddl = ", ".join(f"`{f.name}` string" for f in text_schema(columns))
+    rows = lines.select(F.from_csv("value", ddl, parse).alias("r"))
+    return rows.select(*[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in columns], F.col(f"r.{CORRUPT}").alias(CORRUPT))
+
+
 def read_lookup(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
     """SRC4: ``codigo;descricao`` code table; short rows ignored; duplicate codes
     keep one row (the greatest description), so a later join never fans out."""
