@@ -24,12 +24,6 @@ def _ws() -> Column:
     return F.lit(PY_WHITESPACE)
 
 
-def _is_ws(ch: Column) -> Column:
-    # one expression instead of an IN-list of 29 literals (cheaper to build and run);
-    # an empty string matches too, which is harmless (its trim is itself)
-    return F.instr(_ws(), ch) > 0
-
-
 def _sql_text(value: str) -> str:
     """A SQL string literal with every character escaped as ``\\uXXXX``."""
     return "'" + "".join(f"\\u{ord(ch):04x}" for ch in value) + "'"
@@ -194,8 +188,9 @@ def restricted_flag_exact(c: str | Column) -> Column:
 
 
 def lpad_code(c: str | Column, n: int) -> Column:
-    """Zero-left-padded text of a numeric code (``lpad`` truncates beyond ``n``)."""
-    return F.lpad(col_(c).cast("string"), n, "0")
+    """Zero-left-padded text of a numeric code; a longer code is never cut."""
+    text = col_(c).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(n)), F.lit("0"))
 
 
 def split_csv_field(raw: str | None) -> list[str] | None:

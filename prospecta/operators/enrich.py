@@ -24,7 +24,7 @@ class EnrichmentError(RuntimeError):
 
 
 def check_request_batch(ids: DataFrame, max_batch: int = S.MAX_ENRICH_BATCH) -> int:
-    """Request-side guard: an enrichment request batch must be non-empty and hold at
+    """Request-side guard, not for table jobs: an enrichment request batch must be non-empty and hold at
     most ``max_batch`` ids; checked with a bounded count before any work."""
     n = ids.limit(max_batch + 1).count()
     if n == 0:
@@ -45,7 +45,7 @@ BRASILAPI_SCHEMA = T.StructType(
         T.StructField("uf", T.StringType()),
         T.StructField("cep", T.StringType()),
         T.StructField("municipio", T.StringType()),
-        T.StructField("cnae_fiscal", T.LongType()),
+        T.StructField("cnae_fiscal", T.StringType()),  # a number or text; leading zeros stay
         T.StructField("data_inicio_atividade", T.StringType()),
         T.StructField("descricao_situacao_cadastral", T.StringType()),
         T.StructField("ddd_telefone_1", T.StringType()),

@@ -59,27 +59,31 @@ def gate_hard(df: DataFrame) -> DataFrame:
     return df.where(keep)
 
 
-def _unique_when_null(key: Column) -> Column:
-    # NULL keys always pass: give each such row its own key (any unique value works,
-    # so recomputation after an executor loss cannot change the result).
-    return F.coalesce(key, F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string")))
+def _no_id() -> Column:
+    return F.col("id_estab").isNull()
+
+
+def _domain_key() -> Column:
+    """The e-mail domain, else a key of the row's own: after G2 ids are unique."""
+    return F.coalesce(N.email_domain("email"), F.concat(F.lit("\u0000"), F.col("id_estab").cast("string")))
 
 
 def dedupe_id(df: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
-    """First row per ``id_estab``; NULL ids all pass."""
-    cols = df.columns
-    order = list(order) if order is not None else gate_order(cols)
-    keyed = df.withColumn(_KEY, _unique_when_null(F.col("id_estab").cast("string")))
-    return keep_first(keyed, [_KEY], order).select(*cols)
+    """First row per ``id_estab``; rows without an id all pass and stay out of the
+    shuffle."""
+    order = list(order) if order is not None else gate_order(df.columns)
+    return keep_first(df.where(~_no_id()), ["id_estab"], order).unionByName(df.where(_no_id()))
 
 
 def dedupe_domain(df: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
-    """First row per e-mail domain (text after the last ``@``, lower case);
-    rows without a usable domain all pass."""
+    """G3, on G2's result: first row per e-mail domain (text after the last ``@``, lower
+    case); rows without a usable domain all pass, each under its id, so that no key is
+    hot; those without an id, too, stay out of the shuffle."""
     cols = df.columns
     order = list(order) if order is not None else gate_order(cols)
-    keyed = df.withColumn(_KEY, _unique_when_null(N.email_domain("email")))
-    return keep_first(keyed, [_KEY], order).select(*cols)
+    neither = _no_id() & N.email_domain("email").isNull()
+    keyed = df.where(~neither).withColumn(_KEY, _domain_key())
+    return keep_first(keyed, [_KEY], order).select(*cols).unionByName(df.where(neither))
 
 
 @dataclass(frozen=True)
@@ -111,11 +115,14 @@ def is_suppressed_join(df: DataFrame, optout: OptOut) -> DataFrame:
 
 
 def _drop_optout_emails(df: DataFrame, optout: OptOut) -> DataFrame:
-    # derived key: the distinct opt-out side gets its own shuffle, so AQE can split a
-    # hot (junk) e-mail on the leads side
-    return df.join(
-        optout.emails, split_key(F.lower(df["email"])) == split_key(optout.emails["__optout_email"]), "left_anti"
-    )
+    return df.join(optout.emails, email_key(df) == split_key(optout.emails["__optout_email"]), "left_anti")
+
+
+def email_key(df: DataFrame) -> Column:
+    """Join key of a lead's e-mail. It is a derived key: the distinct opt-out side gets
+    its own shuffle, so AQE can split a hot (junk) e-mail on the leads side. Leads without
+    an e-mail, most of them, get keys that match nothing and spread by id."""
+    return F.coalesce(split_key(F.lower(df["email"])), F.concat(F.lit("\u0000"), F.xxhash64(df["id_estab"], df["razao_social"]).cast("string")))
 
 
 @dataclass
@@ -166,48 +173,27 @@ def apply_gate(
     order = gate_order(cols, order_by)
     obs: dict[str, Observation] = {}
     step = (lambda d, name: _observed(d, obs, name)) if observe else (lambda d, name: d)
-    cur = step(df, "in")
-    cur = step(gate_hard(cur), "hard")
-    keyed = cur.withColumn(_KEY, _unique_when_null(F.col("id_estab").cast("string")))
-    cur = keep_first(keyed, [_KEY], order)
+    # Rows without an id pass G2, those without a domain, too, pass G3. They are parted at
+    # the scan, so no substitute key is needed and each part is observed once.
+    no_domain = N.email_domain("email").isNull()
+    parts = {"": df.where(~_no_id()), "_no_id": df.where(_no_id() & ~no_domain), "_neither": df.where(_no_id() & no_domain)}
+    hard = {k: step(gate_hard(step(d, f"in{k}")), f"hard{k}") for k, d in parts.items()}
+    first = keep_first(hard[""], ["id_estab"], order)
     if optout is not None:
         # Opt-out by id is a per-row fact: mark it here, joined on the key the G2
         # shuffle already partitions by (no extra exchange of the leads side), and
         # drop marked rows only after G3, which keeps the fixed G1..G4 order.
-        cur = cur.join(optout.ids, cur[_KEY] == optout.ids["__optout_id"], "left").withColumn(
-            _SUP, F.col("__optout_id").isNotNull()
-        )
-        cur = cur.select(*cols, _SUP)
+        first = first.join(optout.ids, first["id_estab"] == optout.ids["__optout_id"], "left")
+        first = first.select(*cols, F.col("__optout_id").isNotNull().alias(_SUP))
     else:
-        cur = cur.select(*cols)
-    cur = step(cur, "id")
-    cur = step(dedupe_domain(cur, order), "domain")
+        first = first.withColumn(_SUP, F.lit(False))
+    rest = {k: hard[k].withColumn(_SUP, F.lit(False)) for k in ("_no_id", "_neither")}
+    keyed = step(first, "id").unionByName(rest["_no_id"]).withColumn(_KEY, _domain_key())
+    cur = keep_first(keyed, [_KEY], order).drop(_KEY).unionByName(rest["_neither"])
+    cur = step(cur, "domain").where(~F.col(_SUP)).select(*cols)
     if optout is not None:
-        cur = cur.where(~F.col(_SUP)).drop(_SUP)
         cur = _drop_optout_emails(cur, optout)
-    cur = step(cur, "out")
-    return GateRun(cur, obs)
-
-
-def gate_stages(df: DataFrame, optout: OptOut | None, *, order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> dict[str, DataFrame]:
-    """The gate's intermediate results (same plan pieces as ``apply_gate``)."""
-    cols = df.columns
-    order = gate_order(cols, order_by)
-    hard = gate_hard(df)
-    keyed = hard.withColumn(_KEY, _unique_when_null(F.col("id_estab").cast("string")))
-    after_id = keep_first(keyed, [_KEY], order)
-    if optout is not None:
-        after_id = after_id.join(optout.ids, after_id[_KEY] == optout.ids["__optout_id"], "left").withColumn(
-            _SUP, F.col("__optout_id").isNotNull()
-        ).select(*cols, _SUP)
-    else:
-        after_id = after_id.select(*cols)
-    after_domain = dedupe_domain(after_id, order)
-    out = after_domain
-    if optout is not None:
-        out = out.where(~F.col(_SUP)).drop(_SUP)
-        out = _drop_optout_emails(out, optout)
-    return {"in": df, "hard": hard, "id": after_id, "domain": after_domain, "out": out}
+    return GateRun(step(cur, "out"), obs)
 
 
 def gate_report_exact(df: DataFrame, optout: OptOut | None, *, order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> DataFrame:
@@ -234,19 +220,19 @@ def gate_report_exact(df: DataFrame, optout: OptOut | None, *, order_by: Sequenc
             + F.coalesce(F.sum(F.when(keep & F.col("id_estab").isNull(), 1).otherwise(0)), F.lit(0))
         ).cast("bigint").alias("n_id_"),
     )
-    keyed = gate_hard(df).withColumn(_KEY, _unique_when_null(F.col("id_estab").cast("string")))
-    g2 = keep_first(keyed, [_KEY], order)
+    # the windows carry what the order and the later steps read, nothing else
+    run = gate_hard(df)
+    no_domain = N.email_domain("email").isNull()
+    g2 = keep_first(run.where(~_no_id()), ["id_estab"], order)
     if optout is not None:
-        g2 = g2.join(optout.ids, g2[_KEY] == optout.ids["__optout_id"], "left").withColumn(
-            _SUP, F.col("__optout_id").isNotNull()
-        )
+        g2 = g2.join(optout.ids, g2["id_estab"] == optout.ids["__optout_id"], "left").withColumn(_SUP, F.col("__optout_id").isNotNull())
     else:
         g2 = g2.withColumn(_SUP, F.lit(False))
-    g3 = dedupe_domain(g2.select(*cols, _SUP), order)
+    g2 = g2.select(*cols, _SUP).unionByName(run.where(_no_id() & ~no_domain).withColumn(_SUP, F.lit(False)))
+    g3 = keep_first(g2.withColumn(_KEY, _domain_key()), [_KEY], order).select("id_estab", "razao_social", "email", _SUP)
+    g3 = g3.unionByName(run.where(_no_id() & no_domain).select("id_estab", "razao_social", "email", F.lit(False).alias(_SUP)))
     if optout is not None:
-        g3 = g3.join(
-            optout.emails, split_key(F.lower(g3["email"])) == split_key(optout.emails["__optout_email"]), "left"
-        ).withColumn("__sup_email", F.col("__optout_email").isNotNull())
+        g3 = g3.join(optout.emails, email_key(g3) == split_key(optout.emails["__optout_email"]), "left").withColumn("__sup_email", F.col("__optout_email").isNotNull())
     else:
         g3 = g3.withColumn("__sup_email", F.lit(False))
     second = g3.agg(
@@ -264,19 +250,6 @@ def gate_report_exact(df: DataFrame, optout: OptOut | None, *, order_by: Sequenc
     )
 
 
-def gate_report_df(spark, run: GateRun) -> DataFrame:
-    """Run the gate once (``noop`` sink) and return the Observation counts as one
-    row - a single pass, for reporting next to a write. Use ``gate_report_exact``
-    when the counts themselves are the deliverable."""
-    run.df.write.format("noop").mode("overwrite").save()
-    rep = run.report()
-    return rows_df(
-        spark,
-        [tuple(rep[c] for c in REPORT_COLUMNS)],
-        ", ".join(f"{c} bigint" for c in REPORT_COLUMNS),
-    )
-
-
 # -- G6 / G7: opt-out list maintenance -------------------------------------------------
 
 
@@ -288,7 +261,7 @@ def optout_add(
 
     ``new_rows`` has ``id_estab``, ``email`` and optional ``motivo``/``registrado_em``;
     values are trimmed, e-mails lower-cased, rows with neither key are rejected by
-    the caller (see ``optout_add_checked``)."""
+    the caller (see ``optout_add_one``)."""
 
     def norm(df: DataFrame) -> DataFrame:
         cols = set(df.columns)

@@ -25,7 +25,6 @@ from prospecta import schema as S
 from prospecta.functions import normalize as N
 from prospecta.operators.keys import split_key
 from prospecta.operators.windows import keep_first
-from prospecta.session import broadcast_if_small
 
 # -- P20: typed projections of the raw layouts -----------------------------------------
 
@@ -246,17 +245,10 @@ def br_joined(
             F.lit(None).cast("string").alias("s_opcao_pelo_simples"), F.lit(None).cast("string").alias("s_opcao_pelo_mei"),
         )
     j = e.join(company, F.col("e.cnpj_basico") == F.col("c_key"), "left")
-    # Code tables are bounded by the registry's code domain (thousands of rows);
-    # a bounded count proves it before they are broadcast, so the 60M-row side is
-    # shuffled once (on cnpj_basico) whatever Spark estimates for them.
-    mun = broadcast_if_small(
-        municipio.select(F.col("codigo").alias("mun_codigo"), F.col("descricao").alias("mun_descricao")),
-        S.LOOKUP_MAX_ROWS,
-    )
-    nat = broadcast_if_small(
-        natureza.select(F.col("codigo").alias("nat_codigo"), F.col("descricao").alias("nat_descricao")),
-        S.LOOKUP_MAX_ROWS,
-    )
+    # Code tables: Spark broadcasts them by their bytes (file statistics, or AQE's
+    # runtime sizes); nothing is counted while the plan is built.
+    mun = municipio.select(F.col("codigo").alias("mun_codigo"), F.col("descricao").alias("mun_descricao"))
+    nat = natureza.select(F.col("codigo").alias("nat_codigo"), F.col("descricao").alias("nat_descricao"))
     j = j.join(mun, F.col("e.municipio") == F.col("mun_codigo"), "left")
     j = j.join(nat, F.col("em_natureza_juridica") == F.col("nat_codigo"), "left")
 
@@ -297,17 +289,13 @@ def enrich_with_lookups(
     """Add ``<code>_descricao`` columns from ``codigo;descricao`` code tables.
 
     A description column is added only when its table is given and the input has the
-    code column; an unknown code gives NULL. Tables are broadcast after a bounded
-    row count (see ``br_joined``); duplicate codes must be resolved first
+    code column; an unknown code gives NULL. Duplicate codes must be resolved first
     (``sources.registry.read_lookup`` does)."""
     specs = (("cnae_fiscal_principal", cnae), ("municipio", municipio), ("natureza_juridica", natureza))
     for code, table in specs:
         if table is None or code not in df.columns:
             continue
-        lk = broadcast_if_small(
-            table.select(F.col("codigo").alias(f"__lk_{code}"), F.col("descricao").alias(f"{code}_descricao")),
-            S.LOOKUP_MAX_ROWS,
-        )
+        lk = table.select(F.col("codigo").alias(f"__lk_{code}"), F.col("descricao").alias(f"{code}_descricao"))
         df = df.join(lk, df[code] == lk[f"__lk_{code}"], "left").drop(f"__lk_{code}")
     return df
 
@@ -524,8 +512,3 @@ def enforce_contract(df: DataFrame, *, already_stripped: bool = False) -> tuple[
     )
     rejected = checked.where(F.col("reject_reason").isNotNull())
     return valid, rejected
-
-
-def to_leads_parquet_types(df: DataFrame) -> DataFrame:
-    """Cast to the at-rest schema (capital as double) in canonical order."""
-    return df.select(*S.canonical_select_exprs())

@@ -12,7 +12,7 @@ from prospecta import schema as S
 
 
 def _p(e: str, n: int) -> str:
-    return f"lpad(CAST({e} AS VARCHAR), {n}, '0')"
+    return f"lpad(CAST({e} AS VARCHAR), CAST(greatest({n}, length(CAST({e} AS VARCHAR))) AS INTEGER), '0')"
 
 
 def _layout(values: dict[str, str], columns: tuple[str, ...], fill: str = "''") -> str:

@@ -43,5 +43,4 @@ AUDIT_ATE = "2024-01-20 00:00:00"
 ENRICH_AT = "2024-02-01 12:00:00"
 SITEMAP_N = 50
 DEMO_SEED = 42
-OPTOUT_REMOVE_EMAIL_PREFIX = "contato15"
 OPTOUT_ADD_EMAIL_PREFIX = "contato2"

@@ -1,5 +1,5 @@
-"""Session helpers: a configured SparkSession, the shared scratch location, and a
-row-count-checked broadcast."""
+"""Session helpers: a configured SparkSession, the shared scratch location, and literal
+frames."""
 
 from __future__ import annotations
 
@@ -19,8 +19,6 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # Malformed-row detection in registry CSVs must see every field (see sources).
-    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 
@@ -76,44 +74,6 @@ def local_path(path: str) -> str | None:
     return path
 
 
-_BOUNDED: dict[tuple[int, int], bool] = {}
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it has at most ``max_rows``
-    rows; otherwise return it unchanged (Spark then plans a shuffle join, and AQE may
-    still switch to a broadcast from runtime sizes). The verdict is remembered per
-    plan (``semanticHash``) for the session, inputs being immutable files."""
-    key = (df.semanticHash(), max_rows)
-    if key not in _BOUNDED:
-        _BOUNDED[key] = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if _BOUNDED[key] else df
-
-
-_SPLITS: dict[str, int] = {}
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None, key: str | None = None) -> DataFrame:
-    """Spread a scan over at least the cluster's default parallelism when the input
-    files give fewer splits (e.g. one large row group). On real inputs - thousands
-    of files/row groups - the scan already has more splits and this is a no-op; the
-    repartition, when it happens, is one cheap exchange right after the scan so the
-    per-row parsing and mapping run on every core."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if key is None:
-        splits = df.rdd.getNumPartitions()
-    else:  # same input path -> same split count; plan the scan once per session
-        if key not in _SPLITS:
-            _SPLITS[key] = df.rdd.getNumPartitions()
-        splits = _SPLITS[key]
-    if splits < target:
-        # Hash of the whole row: deterministic if a task is retried after an executor
-        # loss (no sort-before-round-robin needed), and only identical rows share a
-        # bucket, so no key skew.
-        return df.repartition(target, *[F.col(f"`{c}`") for c in df.columns])
-    return df
-
-
 def rows_df(spark: SparkSession, rows, schema) -> DataFrame:
     """A small literal DataFrame (reports, one-row events) built on the JVM side:
     ``createDataFrame`` from a Python list goes through a Python RDD and starts
@@ -138,10 +98,3 @@ def rows_df(spark: SparkSession, rows, schema) -> DataFrame:
 
     structs = [F.struct(*[lit(v, f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs))).select(*[f.name for f in fields])
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -1,7 +1,7 @@
 """Registry-shaped raw tables derived from the driver's parquet test tables.
 
 The driver ships order/customer style tables; every job here expects registry dumps.
-These functions derive, with plain column expressions and no row filtering, the same
+These functions derive, with plain column expressions, the same
 all-text staging tables a registry load produces (blank fields are ``''`` exactly as
 a headerless CSV gives them). The DuckDB twins in ``prospecta.oracle`` use the same
 rules, so both engines start from identical inputs.
@@ -21,25 +21,11 @@ from pyspark.sql import functions as F
 
 from prospecta import schema as S
 from prospecta.functions.normalize import lpad_code as P
-from prospecta.session import ensure_parallelism
-
-
-# Row-heavy inputs whose per-row mapping runs before any shuffle (the FR pair joins
-# its legal units by broadcast), so a single-split scan would use one core.
-_WIDE_INPUTS = frozenset({"lineitem"})
-
-
-_SCHEMAS: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table. Its schema is read from the footers once per path and then
-    given explicitly (no repeated schema inference when many jobs read it)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    return ensure_parallelism(df, key=path) if name in _WIDE_INPUTS else df
+    """One input table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _blank() -> Column:
@@ -90,7 +76,7 @@ def staging_empresas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p(e: str, n: int) -> str:
-    return f"lpad(CAST({e} AS STRING), {n}, '0')"
+    return f"lpad(CAST({e} AS STRING), greatest({n}, length(CAST({e} AS STRING))), '0')"
 
 
 # Establishment columns from ``orders`` as Spark SQL expressions: a 30-column

@@ -14,28 +14,6 @@ def test_rows_df_is_jvm_side_and_typed(spark):
     assert inst.replace(tzinfo=None) == datetime(2024, 1, 1)  # session time zone is UTC here
 
 
-def test_broadcast_only_with_a_proven_bound(spark):
-    small, big = spark.range(10), spark.range(1000)
-    j1 = spark.range(100).join(SS.broadcast_if_small(small, 100), "id")
-    j2 = spark.range(100).join(SS.broadcast_if_small(big, 100), "id")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in j1._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in j2._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-
-
-def test_parallelism_guard(spark):
-    one = spark.range(0, 1000, 1, 1)
-    spread = SS.ensure_parallelism(one, 4)
-    assert spread.rdd.getNumPartitions() >= 4 and spread.count() == 1000
-    many = spark.range(0, 1000, 1, 8)
-    assert SS.ensure_parallelism(many, 4) is many  # already parallel: unchanged
-
-
 def test_scratch_under_checkpoint_root(spark):
     root = SS.checkpoint_root(spark)
     a, b = SS.scratch_path(spark, "x"), SS.scratch_path(spark, "x")
