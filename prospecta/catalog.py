@@ -579,12 +579,45 @@ def q_export_csv(spark, sf):
     return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(dest)
 
 
+@register("export_csv_lines")
+def q_export_csv_lines(spark, sf):
+    """SNK4: the raw lines of the written files, one header line for all of them."""
+    dest, _ = _export(spark, sf, "csv")
+    lines = spark.read.text(dest)
+    header = ",".join(S.EXPORT_COLUMNS)
+    return lines.where(F.col("value") != header).unionByName(lines.where(F.col("value") == header).distinct())
+
+
 @register("export_txt")
 def q_export_txt(spark, sf):
+    """SNK5: the raw lines of the written files, the count line included."""
     dest, _ = _export(spark, sf, "txt")
     return spark.read.text(dest)
 
 
+@register("export_audit")
+def q_export_audit(spark, sf):
+    """AUD1/AUD4: the audit row that an export leaves, its count taken after the gate."""
+    leads = _leads(spark, sf)
+    log = scratch_path(spark, "audit")
+    for formato in ("csv", "txt"):
+        req = X.ExportRequest(PR.CRIT_DEFAULT, scratch_path(spark, f"export-{formato}"), formato, usuario="bench")
+        X.export_leads(spark, leads, _optout(spark, sf, leads), req, log)
+    return AU.read_log(spark, log).select("operacao", "usuario", "n_registros")
+
+
+@register("export_one")
+def q_export_one(spark, sf):
+    """F16: one establishment, chosen as the smallest id among the exportable ones,
+    exported by its id under the criteria, through the gate."""
+    leads = _leads(spark, sf)
+    optout = _optout(spark, sf, leads)
+    one = SG.export_query(leads, PR.CRIT_DEFAULT, order_by=None).agg(F.min("id_estab").alias("i")).first()["i"]
+    dest = scratch_path(spark, "export-one")
+    res = X.export_one(spark, leads, optout, X.ExportRequest(PR.CRIT_DEFAULT, dest, "csv"), one, scratch_path(spark, "audit"))
+    return rows_df(spark, [(one, res.n_exported)], "id_estab string, n_exportados bigint")
+
+
 @register("lookup_resolve")
 def q_lookup_resolve(spark, sf):
     """Parsed establishments with municipality / activity descriptions."""

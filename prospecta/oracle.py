@@ -25,6 +25,7 @@ _EMPRESAS = {
     "natureza_juridica": _p("c_nationkey", 4),
     "capital_social": (
         "CASE WHEN c_custkey % 41 = 3 THEN '' WHEN c_custkey % 43 = 4 THEN 'N/A' "
+        "WHEN c_custkey % 47 = 6 THEN CAST(15000000 + c_custkey AS VARCHAR) || ',50' "
         "ELSE replace(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR), '.', ',') END"
     ),
     "porte_empresa": (
@@ -793,6 +794,24 @@ def _export_csv_sql() -> str:
     return with_("g_out") + "SELECT " + ", ".join(S.EXPORT_COLUMNS) + " FROM g_out"
 
 
+def _export_lines_sql() -> str:
+    def cell(c: str) -> str:
+        v = f"CAST({c} AS VARCHAR)"
+        quoted = f"'\"' || replace({v}, '\"', '\"\"') || '\"'"
+        return f"coalesce(CASE WHEN contains({v}, ',') OR contains({v}, '\"') THEN {quoted} ELSE {v} END, '')"
+
+    line = " || ',' || ".join(cell(c) for c in S.EXPORT_COLUMNS)
+    return with_("g_out") + f"SELECT {line} AS value FROM g_out UNION ALL SELECT '{','.join(S.EXPORT_COLUMNS)}'"
+
+
+def _export_txt_sql() -> str:
+    width = max(len(S.TXT_FIELD_LABELS[c]) for c in S.EXPORT_COLUMNS) + 1
+    rule = "'" + "=" * 80 + "'"
+    rows = [rule, "coalesce(nullif(razao_social, ''), '(sem razão social)')", rule]
+    rows += [f"rpad('{S.TXT_FIELD_LABELS[c]}:', {width}, ' ') || ' ' || coalesce(nullif(CAST({c} AS VARCHAR), ''), '—')" for c in S.EXPORT_COLUMNS]
+    return with_("g_out") + f"SELECT unnest([{', '.join(rows)}, '']) AS value FROM g_out UNION ALL SELECT 'Total de leads: ' || count(*) FROM g_out"
+
+
 def _breakdown_sql() -> str:
     from prospecta.operators.score import SIGNALS
 
@@ -840,6 +859,13 @@ def queries_batch2() -> dict[str, str]:
         "carry_forward": with_("real_leads") + "SELECT * FROM real_leads",
         "stream_intake": with_("br_valid") + "SELECT * FROM br_valid",
         "export_csv": _export_csv_sql(),
+        "export_csv_lines": _export_lines_sql(),
+        "export_txt": _export_txt_sql(),
+        "export_audit": with_("g_out") + "SELECT 'export_' || f AS operacao, 'bench' AS usuario, (SELECT count(*) FROM g_out) AS n_registros FROM (SELECT unnest(['csv', 'txt']) AS f)",
+        # the lead is exported unless an opt-out names it: alone, it has no rival for its id or domain
+        "export_one": with_("g_out", "leads")
+        + f", one AS (SELECT min(id_estab) AS i FROM leads WHERE {crit_sql(PR.CRIT_DEFAULT)}) "
+        "SELECT i AS id_estab, CAST(CASE WHEN substr(i, 8, 1) = '3' OR EXISTS (SELECT 1 FROM leads, one o WHERE id_estab = o.i AND starts_with(lower(email), 'contato1')) THEN 0 ELSE 1 END AS BIGINT) AS n_exportados FROM one",
         "score_breakdown": _breakdown_sql(),
         "audit_append": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
         "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events",

@@ -58,6 +58,7 @@ def staging_empresas(spark: SparkSession, sf_dir: str) -> DataFrame:
     capital = (
         F.when(k % 41 == 3, F.lit(""))
         .when(k % 43 == 4, F.lit("N/A"))
+        .when(k % 47 == 6, F.concat((F.lit(15_000_000) + k).cast("string"), F.lit(",50")))
         .otherwise(
             F.replace(F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))
         )
