@@ -12,8 +12,9 @@ linked where 100 * |intersection| >= 75 * |union| of the full sets.
 * Nodes. Every member is first compared with the nodes' smallest members (the best of
   them by sketch): this ties groups of copies together with one pair per member. Then only
   nodes that still hold several components matter. Small ones are compared exhaustively
-  across components; members of larger ones go on down the tree, a level at a time, until
-  no large node with several components is left. No node is cut off.
+  across components, against one chunk of a component's full sets at a time; members of
+  larger ones go on down the tree, a level at a time, until no large node with several
+  components is left. No node is cut off.
 * Every pair that passes the sketch (wide margin) is confirmed on the full sets before it
   counts as a link. Components come from alternating large and small stars.
 
@@ -36,15 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.common import lower_table, mix, small, store, text_bytes, word_hashes
+from prospecta.llm.common import free_name, lower_table, mix, small, store, text_bytes, word_hashes
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
 COORDINATES = 128  #: minwise tokens of a sketch
 TREES = 14
 DEPTH = 4  #: levels walked before nodes are first looked at
-SMALL = 64  #: members of a node that is compared exhaustively
-LEAST_AGREEING = 70  #: of 128 sketch tokens; a linked pair agrees on 96 +- 5 or more
+SMALL = 4096  #: members of a node that is compared exhaustively
+CHUNK = 1024  #: members of a component whose sets are held together
+LEAST_AGREEING = 75  #: of 128 sketch tokens; a linked pair agrees on 96 +- 5 or more
 
 _LOWER = lower_table()
 _SPACE = np.zeros(256, bool)
@@ -171,39 +173,102 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 256):
-            on = []
-            for k, (x, y) in enumerate(zip(b.column("am").to_pylist(), b.column("bm").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                if THRESHOLD[1] * shared >= THRESHOLD[0] * (len(x) + len(y) - shared):
-                    on.append(k)
+            on = [k for k, (x, y) in enumerate(zip(b.column("am").to_pylist(), b.column("bm").to_pylist())) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
             if on:
                 yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(on)) for c in ("a", "b")], names=["a", "b"])
 
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "am", "bm").mapInArrow(run, "a long, b long")
 
 
+PLACES = "comp long, chunk long, a long, bs array<long>"
+
+
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of different components in each (small) node; rows come by path."""
-    now, members = None, []
-
-    def pairs(members: list) -> list[tuple[int, int]]:
-        return [(min(x, y), max(x, y)) for k, (x, cx) in enumerate(members) for y, cy in members[k + 1 :] if cx != cy]
-
-    out: list[tuple[int, int]] = []
-    for b in batches:
-        for p, i, c in zip(b.column("path").to_pylist(), b.column("id").to_pylist(), b.column("comp").to_pylist()):
-            if p != now:
-                out += pairs(members)
-                now, members = p, []
-                if len(out) > 20_000:
-                    yield pair_rows(out)
-                    out = []
-            members.append((i, c))
-    out += pairs(members)
-    if out:
-        yield pair_rows(out)
+    """All pairs of different components in each (small) node whose sketches agree enough
+    for a link; rows (path, id, comp, chunk, sketch) come by path. A row holds the members
+    ``bs`` of one chunk of a component that ``a`` must be compared with; ``a`` is the end
+    whose component has the larger id."""
+    held: list[pa.RecordBatch] = []
+
+    def places() -> pa.RecordBatch | None:
+        ids, comp, chunk = (np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("id", "comp", "chunk"))
+        tokens = np.concatenate([token_table(b.column("sketch")) for b in held])
+        order = np.argsort(-comp, kind="stable")  # so that the first end of a pair has the larger component id
+        ids, comp, chunk, tokens = ids[order], comp[order], chunk[order], tokens[order]
+        first, second = [], []
+        for i in range(0, len(ids), 32):
+            x, y = np.nonzero(comp[i : i + 32, None] != comp[None, i:])
+            on = y > x
+            x, y = x[on] + i, y[on] + i
+            for k in range(0, len(x), 8192):
+                p, q = x[k : k + 8192], y[k : k + 8192]
+                on = (tokens[p] == tokens[q]).sum(1) >= LEAST_AGREEING
+                first.append(p[on])
+                second.append(q[on])
+        p, q = np.concatenate(first), np.concatenate(second)
+        if not len(p):
+            return None
+        order = np.lexsort((chunk[q], comp[q], p))
+        p, q = p[order], q[order]
+        new = np.concatenate(([True], (p[1:] != p[:-1]) | (comp[q][1:] != comp[q][:-1]) | (chunk[q][1:] != chunk[q][:-1])))
+        at = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(p)), pa.int32()), pa.array(ids[q]))
+        return pa.RecordBatch.from_arrays([pa.array(comp[q[at]]), pa.array(chunk[q[at]]), pa.array(ids[p[at]]), lists], names=["comp", "chunk", "a", "bs"])
+
+    now = None
+    for b in small(batches, 2048):
+        path = np.asarray(b.column("path"))
+        cut = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+        for i, j in zip(cut, cut[1:]):
+            if held and path[i] != now:
+                if (found := places()) is not None:
+                    yield found
+                held = []
+            now = path[i]
+            held.append(b.slice(i, j - i))
+    if held and (found := places()) is not None:
+        yield found
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted full sets are similar enough."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges the two runs
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return THRESHOLD[1] * shared >= THRESHOLD[0] * (len(x) + len(y) - shared)
+
+
+def confirm_chunks(places: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) from ``PLACES`` rows by the full sets: the sets of one chunk of a
+    component (``members``: id, comp, chunk) are held while the others come by. One link
+    of ``a`` with a chunk is enough, all ends of it being in one component."""
+    merged = places.groupBy("comp", "chunk", "a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    merged = store(merged, "near-places")
+    held = members.join(merged.select("comp", "chunk").distinct(), ["comp", "chunk"]).select("id", "comp", "chunk").distinct()
+    held = held.join(sets, "id").select("comp", "chunk", "id", "members", F.lit(None).cast("array<long>").alias("bs"))
+    guests = merged.join(sets, merged["a"] == sets["id"]).select("comp", "chunk", "id", "members", "bs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, {}
+        for b in small(batches, 256):
+            found = []
+            for comp, chunk, i, m, bs in zip(*(b.column(c).to_pylist() for c in ("comp", "chunk", "id", "members", "bs"))):
+                if (comp, chunk) != now:
+                    now, own = (comp, chunk), {}
+                x = np.frombuffer(m, np.uint64)
+                if bs is None:
+                    own[i] = x
+                    continue
+                for k in bs:
+                    y = own.get(k)
+                    if y is not None and linked(x, y):
+                        found.append((min(i, k), max(i, k)))
+                        break
+            if found:
+                yield pair_rows(found)
+
+    both = held.unionByName(guests).repartition("comp", "chunk").sortWithinPartitions("comp", "chunk", F.col("bs").isNotNull(), "id")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def pair_rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -263,7 +328,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = store(has_set.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "near-classes")
 
     rows = classes.select("id", "sketch").mapInArrow(walk, "id long, paths array<long>").select(F.explode("paths").alias("path"), "id")
-    links: DataFrame | None = None
     comp: DataFrame | None = None
     sets: DataFrame | None = None
     while True:
@@ -283,23 +347,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             own = classes.join(wanted.withColumnRenamed("doc_id", "id"), "id").select("id", "n", "h1", "h2")
             sets = store(own_sets(src.join(wanted, "doc_id", "left_semi").mapInArrow(full, "id long, members binary"), own), "near-sets")
 
-        def settle(pairs: DataFrame) -> None:
-            nonlocal links, comp
-            new = store(confirm(pairs, sets), "near-links")
+        def settle(found: DataFrame) -> None:
+            nonlocal comp
+            new = store(found, "near-links")
             if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
                 comp = store(components(with_roots(new, comp)), "near-components")
 
         # the best of the nodes' first members for each member
         star = different(rows.select(F.col("first").alias("a"), F.col("id").alias("b")), comp)
         best = similar(star, classes).groupBy("b").agg(F.max(F.struct("agreeing", (-F.col("a")).alias("a"))).alias("best"))
-        settle(best.select((-F.col("best.a")).alias("a"), "b"))
+        settle(confirm(best.select((-F.col("best.a")).alias("a"), "b"), sets))
 
         rows = with_component(rows.select("path", "id", "members"), comp)
         mixed = rows.groupBy("path").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("path")
         rows = store(rows.join(mixed, "path"), "near-mixed")
-        light = rows.where(F.col("members") <= SMALL).select("path", "id", "comp").repartition("path").sortWithinPartitions("path")
-        settle(similar(light.mapInArrow(across, "a long, b long").distinct(), classes))
+        light = rows.where(F.col("members") <= SMALL)
+        sizes = light.select("id", "comp").distinct().groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        light = light.join(sizes, "comp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+        light = light.join(classes.select("id", "sketch"), "id").select("path", "id", "comp", "chunk", "sketch")
+        places = light.repartition("path").sortWithinPartitions("path").mapInArrow(across, PLACES)
+        settle(confirm_chunks(places, light.select("id", "comp", "chunk"), sets))
 
         heavy = rows.where(F.col("members") > SMALL)
         if heavy.isEmpty():
@@ -319,12 +386,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of one document of each component
     (the smallest id); of rows that repeat an id with the same text one stays."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"))
-    repeats = kept.groupBy("_kept").count().where("count > 1").select("_kept")
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    name = free_name(docs.columns, "kept_id")
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name))
+    repeats = kept.groupBy(name).count().where("count > 1").select(name)
+    same = F.col("doc_id").cast("long") == F.col(name)
+    out = docs.join(kept, same, "left_semi")
     if not repeats.isEmpty():
-        again = out.join(repeats, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
-        out = out.join(repeats, F.col("doc_id").cast("long") == F.col("_kept"), "left_anti").unionByName(again)
+        again = out.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(repeats, same, "left_anti").unionByName(again)
     return out.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
