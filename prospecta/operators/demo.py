@@ -1,7 +1,7 @@
 """Demo (synthetic) leads as a Spark job (SD1) with weighted picks (SD2).
 
-Every field is a pure function of (seed, row id, field name) through ``xxhash64``,
-so the same seed gives the same rows on any cluster layout and a lost task recomputes
+Every field is a pure function of (seed, row id, field name) through md5, a hash that
+SQL engines share, so the same seed gives the same rows on any cluster layout and a lost task recomputes
 identical rows. Identifiers carry valid check digits (CNPJ mod-11, SIREN/SIRET Luhn),
 all computed with built-in array functions. Person/company names from a faker
 library are not reproduced.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prospecta import schema as S
@@ -25,12 +25,14 @@ BR_UFS = (
 ).split()
 
 
-def _h(seed: int, id_col: Column, field: str) -> Column:
-    return F.xxhash64(F.lit(seed), id_col, F.lit(field))
+def hash60(seed: int, id_col: Column, field: str) -> Column:
+    """60 bits of md5 over ``seed|id|field`` as a non-negative bigint."""
+    text = F.concat_ws("|", F.lit(str(seed)), id_col.cast("string"), F.lit(field))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def _num(seed: int, id_col: Column, field: str, modulo: int) -> Column:
-    return F.pmod(_h(seed, id_col, field), F.lit(modulo))
+    return hash60(seed, id_col, field) % F.lit(modulo)
 
 
 def _digits(s: Column) -> Column:
@@ -62,9 +64,18 @@ def luhn_complete(payload: Column) -> Column:
     return F.concat(payload, ((F.lit(10) - s % 10) % 10).cast("string"))
 
 
-def _pick(pool: tuple[str, ...] | list[str], idx: Column) -> Column:
-    arr = F.array(*[F.lit(v) for v in pool])
-    return F.element_at(arr, (idx % F.lit(len(pool))).cast("int") + 1)
+def _pick(pool: list[str], n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in pool]), (n % len(pool)).cast("int") + 1)
+
+
+def _weighted(pool: dict[str, int], n: Column) -> Column:
+    """The value whose share of the fixed, short ``pool`` holds ``n`` (0 to 999)."""
+    assert sum(pool.values()) == 1000, pool
+    out, low = None, 0
+    for value, weight in pool.items():
+        low += weight
+        out = F.when(n < low, F.lit(value)) if out is None else out.when(n < low, F.lit(value))
+    return out
 
 
 def proportions_from(df: DataFrame, dimension: str, column: str) -> DataFrame:
@@ -77,44 +88,35 @@ def proportions_from(df: DataFrame, dimension: str, column: str) -> DataFrame:
     )
 
 
-MAX_PROPORTION_VALUES = 100_000  # a proportions table is configuration, not data
-
-
 def cumulative_table(proportions: DataFrame) -> DataFrame:
-    """SD2 prep: per dimension, values with cumulative weights (blank rows ignored;
-    weights relative within a dimension). One row per (dimension, value)."""
+    """SD2 prep: per dimension, values with their interval [low, high) of the total weight
+    (blank rows ignored; weights relative within a dimension). One row per (dimension,
+    value): as many as there are codes."""
     p = proportions.where(
         F.col("dimensao").isNotNull() & (F.trim("dimensao") != "") & F.col("valor").isNotNull()
         & (F.trim("valor") != "") & F.col("peso").isNotNull()
     ).select(F.trim("dimensao").alias("dimensao"), F.trim("valor").alias("valor"), F.col("peso").cast("double").alias("peso"))
-    from pyspark.sql import Window
+    up_to = Window.partitionBy("dimensao").orderBy("valor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    p = p.withColumn("high", F.sum("peso").over(up_to)).withColumn("total", F.sum("peso").over(Window.partitionBy("dimensao")))
+    return p.select("dimensao", "valor", (F.col("high") - F.col("peso")).alias("low"), "high", "total")
 
-    w = Window.partitionBy("dimensao").orderBy("valor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = Window.partitionBy("dimensao")
-    return p.withColumn("cum", F.sum("peso").over(w)).withColumn("total", F.sum("peso").over(t))
 
+BUCKETS = 1024  #: equal parts of a dimension's total weight that picks are joined on
 
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-
-def weighted_pick_column(cumulative: DataFrame, dimension: str, u: Column) -> Column:
-    """SD2: the value whose cumulative share first exceeds ``u`` (uniform in [0,1)).
-
-    The proportions of one dimension are configuration-sized (one entry per code
-    value); after a bounded count proves it, they are embedded in the expression as
-    a literal array, so picking is a per-row array search with no join."""
-    rows = cumulative.where(F.col("dimensao") == dimension).orderBy("cum").limit(MAX_PROPORTION_VALUES + 1).collect()
-    if len(rows) > MAX_PROPORTION_VALUES:
-        raise ValueError(f"proportions for {dimension!r} exceed {MAX_PROPORTION_VALUES} values")
-    if not rows:
-        return F.lit(None).cast("string")
-    total = float(rows[0]["total"])
-    arr = F.expr(
-        "array(" + ", ".join(f"named_struct('cum', CAST({float(r['cum'])!r} AS DOUBLE), 'valor', {_sql_str(r['valor'])})" for r in rows) + ")"
-    )
-    target = u * F.lit(total)
-    return F.try_element_at(F.filter(arr, lambda e: e["cum"] > target), F.lit(1))["valor"]
+def weighted_pick(df: DataFrame, cumulative: DataFrame, dimension: str, u: Column, name: str) -> DataFrame:
+    """SD2: ``df`` plus ``name``, the value whose interval holds ``u`` (uniform in [0, 1))
+    times the total. An equi-join on the bucket that ``u`` falls in: each interval stands in
+    all buckets it overlaps, so values of any number and any small weight can be drawn and
+    nothing is collected."""
+    c = cumulative.where(F.col("dimensao") == dimension)
+    bucket = lambda x: F.least(F.floor(x * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    spans = F.sequence(bucket(F.col("low") / F.col("total")), bucket(F.col("high") / F.col("total")))
+    c = c.select(F.explode(spans).alias("__b"), F.col("valor").alias(name), "low", "high", "total")
+    df = df.withColumn("__u", u).withColumn("__ub", bucket(F.col("__u")))
+    at = F.col("__u") * F.col("total")
+    joined = df.join(c, (F.col("__ub") == F.col("__b")) & (at >= F.col("low")) & (at < F.col("high")), "left")
+    return joined.drop("__u", "__ub", "__b", "low", "high", "total")
 
 
 def generate(
@@ -149,24 +151,24 @@ def generate(
         "id_estab": id_estab,
         "razao_social": F.concat(F.lit("EMPRESA DEMO "), i.cast("string")),
         "nome_fantasia": F.concat(F.lit("FANTASIA DEMO "), i.cast("string")),
-        "cod_atividade": _pick(S.DEMO_ATIVIDADES[pais], n("atividade", 1 << 30)),
-        "situacao": _pick(S.DEMO_SITUACOES, n("situacao", 1 << 30)),
+        "cod_atividade": _weighted(S.DEMO_ATIVIDADES[pais], n("atividade", 1000)),
+        "situacao": _weighted(S.DEMO_SITUACOES, n("situacao", 1000)),
         "regiao": regiao,
         "municipio": F.concat(F.lit("CIDADE "), n("municipio", 1000).cast("string")),
         "cep": cep,
         "telefone": F.lpad(n("telefone", 10**10).cast("string"), 10, "0"),
         "email": F.concat(F.lit("contato"), i.cast("string"), F.lit("@demo"), n("dominio", 500).cast("string"), F.lit(".example")),
         "data_inicio_atividade": F.date_sub(F.lit(today), n("abertura", 15 * 365).cast("int")),
-        "porte": _pick(S.DEMO_PORTES, n("porte", 1 << 30)),
+        "porte": _weighted(S.DEMO_PORTES, n("porte", 1000)),
         "capital_social": (F.lit(1000.0) + n("capital", 49_900_000).cast("double") / F.lit(100.0)),
-        "natureza_juridica": F.lit(S.DEMO_NATUREZA_JURIDICA[pais]),
+        "natureza_juridica": _weighted(S.DEMO_NATUREZA_JURIDICA[pais], n("natureza", 1000)),
         "fonte": F.lit(S.FONTE_DEMO),
         "is_synthetic": F.lit(True),
         "flag_difusao_restrita": F.lit(False),
     }
+    df = ids.select(i.alias("__id"), *[v.alias(k) for k, v in values.items()])
     if cumulative is not None:
-        u = lambda f: (_num(seed, i, f, 1_000_000).cast("double") / F.lit(1_000_000.0))
         for dim, col in (("atividade", "cod_atividade"), ("regiao", "regiao")):
-            values[col] = F.coalesce(weighted_pick_column(cumulative, dim, u("w_" + dim)), values[col])
-    df = ids.select(i.alias("__id"), *[v.alias(k) for k, v in values.items()])
+            u = hash60(seed, F.col("__id"), f"w_{dim}").cast("double") / F.lit(float(1 << 60))
+            df = weighted_pick(df, cumulative, dim, u, "__picked").withColumn(col, F.coalesce("__picked", col)).drop("__picked")
     return df.select(*[F.col(c).cast(t).alias(c) if c in values else F.lit(None).cast(t).alias(c) for c, t in S.CANONICAL_FIELDS])
