@@ -352,7 +352,7 @@ def q_siren_extract(spark, sf):
 
 @register("sitemap_ids")
 def q_sitemap_ids(spark, sf):
-    return E.discover_links(TD.table(spark, sf, "pages"), PR.SITEMAP_N)
+    return E.discover_ids(TD.landed_sitemaps(spark, sf), PR.SITEMAP_N)
 
 
 def _optout_table(spark, sf):
@@ -510,14 +510,52 @@ def q_publish_version(spark, sf):
     return PB.read_version(spark, root, res.version)
 
 
+def _candidates(spark, sf, pais: str) -> tuple[DataFrame, int]:
+    """Unchecked canonical rows of a country, and the rows left out before the mapping."""
+    if pais == "BR":
+        return M.br_to_canonical(I.br_joined(spark, sf)), 0
+    ul, et = I.fr_parsed(spark, sf)
+    return M.fr_to_canonical(M.fr_joined(ul, et)), M.fr_orphans(ul, et).count()
+
+
+@register("publish_counts")
+def q_publish_counts(spark, sf):
+    """SNK3: rows written and rejected (contract rejects and FR orphans) per country."""
+    root = _publish_root(spark)
+    done = []
+    for pais in ("BR", "FR"):
+        rows, skipped = _candidates(spark, sf, pais)
+        m = PB.publish(spark, rows, root, pais, n_skipped=skipped).materialized
+        done.append((pais, m.n_written, m.n_rejected))
+    return rows_df(spark, done, "pais string, n_gravados bigint, n_rejeitados bigint")
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """One row per id: passes the quality gate."""
+    return G.dedupe_id(df)
+
+
 @register("carry_forward")
 def q_carry_forward(spark, sf):
+    """V2-V4, SRC6: two countries published in turn, both pass, and the live table, read
+    through the pointer, holds both."""
     root = _publish_root(spark)
-    fr = PB.publish(spark, I.fr_mapped(spark, sf).valid, root, "FR", version="v1")
-    if not fr.activated:  # quality rejects duplicate ids; an operator activates it by hand
-        PB.activate(root, fr.version)
-    br = PB.publish(spark, I.br_mapped(spark, sf).valid, root, "BR", version="v2")
-    return PB.read_version(spark, root, br.version)
+    for pais, mapped in (("FR", I.fr_mapped), ("BR", I.br_mapped)):
+        if not PB.publish(spark, _once(mapped(spark, sf).valid), root, pais).activated:
+            raise RuntimeError(f"quality rejected {pais}")
+    return PB.read_active(spark, root)
+
+
+@register("publish_rejected")
+def q_publish_rejected(spark, sf):
+    """V4: a version with duplicate ids is rejected and the live table stays as it was."""
+    root = _publish_root(spark)
+    good = PB.publish(spark, _once(I.fr_mapped(spark, sf).valid), root, "FR", version="v1")
+    twice = I.br_mapped(spark, sf).valid
+    bad = PB.publish(spark, twice.unionByName(twice), root, "BR", version="v2")
+    live = PB.read_active(spark, root)
+    counts = live.groupBy("pais").agg(F.count("*").alias("n"))
+    return counts.select("pais", "n", F.lit(good.activated).alias("v1_ativa"), F.lit(bad.activated).alias("v2_ativa"), F.lit(PB.active_version(root)).alias("versao"))
 
 
 @register("stream_intake")
@@ -695,3 +733,61 @@ def q_audit_append(spark, sf):
     ev.where(first).write.mode("append").parquet(log)
     ev.where(~first).write.mode("append").parquet(log)  # everything else, NULLs included
     return AU.read_log(spark, log, schema=ev.schema)
+
+
+@register("score_size_capital")
+def q_score_size_capital(spark, sf):
+    """S3: target sizes and a capital range configured."""
+    leads = _real_leads(spark, sf)
+    return leads.select("id_estab", F.round(SC.signal_columns(PR.SCORING_SIZE, PR.TODAY)["porte_capital"], 6).alias("f_porte_capital"), SC.score_column(PR.SCORING_SIZE, PR.TODAY).alias("score_icp"))
+
+
+@register("panel_criteria")
+def q_panel_criteria(spark, sf):
+    """The panel over a filtered raw set."""
+    leads = _leads(spark, sf)
+    return A.compliance_panel(spark, leads, PR.CRIT_PANEL, _optout(spark, sf, leads))
+
+
+@register("optout_csv")
+def q_optout_csv(spark, sf):
+    """SRC8, G4: the opt-out list landed as CSV, read back and applied."""
+    leads = _leads(spark, sf)
+    path = scratch_path(spark, "optout")
+    TD.suppression_list_from_leads(leads).write.option("header", "true").csv(path)
+    return G.is_suppressed_join(leads, RG.read_optout_csv(spark, path))
+
+
+@register("retention_job")
+def q_retention_job(spark, sf):
+    """RET1: the purge as a job: rows kept, number purged, and its audit row."""
+    from datetime import UTC
+
+    dest, log = scratch_path(spark, "cache"), scratch_path(spark, "audit")
+    n = RT.purge_and_audit(spark, _cache(spark, sf), dest, _ts(PR.RETENTION_NOW).replace(tzinfo=UTC), PR.RETENTION_DAYS, log, usuario="bench")
+    audit = AU.read_log(spark, log).first()
+    return rows_df(spark, [(spark.read.parquet(dest).count(), n, audit.operacao, audit.n_registros)], "n_mantidos bigint, n_removidos bigint, operacao string, n_registros bigint")
+
+
+@register("audit_old_schema")
+def q_audit_old_schema(spark, sf):
+    """An older log without two of the columns, united with a newer one."""
+    log = scratch_path(spark, "audit-log")
+    ev = AU.events_as_log(TD.table(spark, sf, "events"))
+    first = F.coalesce(F.col("operacao") == "view", F.lit(False))
+    ev.where(first).drop("filtros", "destino").write.mode("append").parquet(log)
+    ev.where(~first).write.mode("append").parquet(log)
+    return AU.read_log(spark, log, schema=ev.schema)
+
+
+@register("enrich_job")
+def q_enrich_job(spark, sf):
+    """The responses merged as a job, with the ids found and the audit row."""
+    log = scratch_path(spark, "audit")
+    upd = E.brasilapi_updates(TD.brasilapi_payloads(spark, sf), _ts(PR.ENRICH_AT))
+    leads = I.br_mapped(spark, sf).valid
+    merged, found = E.enrich_job(spark, leads, upd, "id_estab", "cnpj", log, usuario="bench")
+    audit = AU.read_log(spark, log).first()
+    return merged.agg(F.count("*").alias("n_leads"), F.sum(F.col("enriquecido_em").isNotNull().cast("bigint")).alias("n_enriquecidos")).select(
+        "n_leads", "n_enriquecidos", F.lit(found).cast("bigint").alias("n_encontrados"), F.lit(audit.n_registros).cast("bigint").alias("n_registros")
+    )

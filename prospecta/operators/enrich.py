@@ -223,19 +223,25 @@ def extract_sirens(responses: DataFrame, json_col: str = "payload") -> DataFrame
     )
 
 
-LINK_PATTERN = r'href="([^"]+)"'
-
-
-def discover_links(pages: DataFrame, n: int, pattern: str = LINK_PATTERN) -> DataFrame:
-    """E5 (sitemap discovery over fetched documents): pick the document with the most
-    matches (ties: smallest id), extract its matches in order of appearance, keep the
-    first occurrence of each, return the first ``n`` (``pos``, ``link``).
-
-    The per-document counts are one scan with partial aggregation; only the winning
-    document's links are exploded."""
-    counted = pages.select("page_id", "html", F.size(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("n"))
-    best = counted.agg(F.max_by("page_id", F.struct(F.col("n"), -F.col("page_id"))).alias("best_id"))
-    chosen = pages.join(best, pages["page_id"] == best["best_id"], "left_semi")
-    links = chosen.select(F.posexplode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("pos", "link"))
-    first = links.groupBy("link").agg(F.min("pos").alias("pos"))
-    return first.orderBy("pos").limit(int(n)).select(F.col("pos").cast("bigint").alias("pos"), "link")
+# An index entry (address, date, number of ids) and an id's address.
+INDEX_ENTRY = r"<loc>([^<]+)</loc>\s*<lastmod>[^<]+</lastmod>\s*<!--(\d+)-->"
+ID_ADDRESS = r"/office/(\d{14})"
+
+
+def discover_ids(landed: DataFrame, n: int) -> DataFrame:
+    """E5 over a table of landed XML files (``url``, ``body``): the index files name the
+    sub-maps with their number of ids; the largest one (ties: the smallest address) is
+    chosen by that number, and its 14-digit ids are returned in order of appearance, each
+    once, the first ``n`` (``pos``, ``id``).
+
+    Index entries are counted with partial aggregation; only the chosen sub-map's ids are
+    exploded."""
+    entry = F.explode(F.regexp_extract_all("body", F.lit(INDEX_ENTRY), 0)).alias("e")
+    entries = landed.where(F.col("body").contains("<!--")).select(entry).select(
+        F.regexp_extract("e", INDEX_ENTRY, 1).alias("loc"), F.regexp_extract("e", INDEX_ENTRY, 2).cast("bigint").alias("ids")
+    )
+    best = entries.groupBy("ids").agg(F.min("loc").alias("loc")).orderBy(F.desc("ids")).limit(1)
+    chosen = landed.join(best, landed["url"] == best["loc"], "left_semi")
+    ids = chosen.select(F.posexplode(F.regexp_extract_all("body", F.lit(ID_ADDRESS), 1)).alias("pos", "id"))
+    first = ids.groupBy("id").agg(F.min("pos").alias("pos"))
+    return first.orderBy("pos").limit(int(n)).select(F.col("pos").cast("bigint").alias("pos"), "id")

@@ -662,15 +662,49 @@ def _merge_sql() -> str:
     )
 
 
-_LINK = "regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)"
+def _sitemap_sql() -> str:
+    page = _p("page_id", 6)
+    one = _p("page_id * 1000 + j - CASE WHEN j % 5 = 4 THEN 2 ELSE 0 END", 14)
+    return (
+        "WITH p AS (SELECT page_id, length(html) % 97 + 3 AS n FROM pages), "
+        f"best AS (SELECT page_id, n FROM p ORDER BY n DESC, {page} LIMIT 1), "
+        "j AS (SELECT page_id, unnest(range(n)) AS j FROM best), "
+        f"l AS (SELECT {one} AS id, j FROM j) "
+        f"SELECT CAST(min(j) AS BIGINT) AS pos, id FROM l GROUP BY id ORDER BY pos LIMIT {PR.SITEMAP_N}"
+    )
 
 
-def _sitemap_sql() -> str:
+def _once(rel: str) -> str:
+    return f"(SELECT * FROM {rel} QUALIFY id_estab IS NULL OR row_number() OVER (PARTITION BY id_estab ORDER BY {_ORDER_FIRST}) = 1)"
+
+
+def _size_capital_sql() -> str:
+    """Weights 20 contact, 20 size and capital, 15 recency; no target activity or region."""
+    contact = "CASE WHEN coalesce(email, '') <> '' AND coalesce(telefone, '') <> '' THEN 1.0 WHEN coalesce(email, '') <> '' OR coalesce(telefone, '') <> '' THEN 0.5 ELSE 0.0 END"
+    both = "((CASE WHEN upper(porte) IN ('DEMAIS', 'PME') THEN 1.0 ELSE 0.0 END) + (CASE WHEN capital_social >= 1000 AND capital_social <= 20000000 THEN 1.0 ELSE 0.0 END)) / 2.0"
+    days = "greatest(date_diff('day', data_inicio_atividade, DATE '2001-08-01'), 0)"
+    recent = f"CASE WHEN data_inicio_atividade IS NULL OR {days} >= 730 THEN 0.0 ELSE 1.0 - CAST({days} AS DOUBLE) / 730.0 END"
+    total = f"(20.0 * CAST({contact} AS DOUBLE) + 20.0 * CAST({both} AS DOUBLE) + 15.0 * CAST({recent} AS DOUBLE)) / 55.0"
+    return (
+        with_("real_leads")
+        + f"SELECT id_estab, round(CAST({both} AS DOUBLE), 6) AS f_porte_capital, "
+        f"CASE WHEN coalesce(upper(situacao) = 'ATIVA', false) THEN round({total} * 100.0, 2) ELSE 0.0 END AS score_icp FROM real_leads"
+    )
+
+
+def _panel_criteria_sql() -> str:
+    """The gate over the leads that meet the criteria, written from its rules."""
     return (
-        f"WITH c AS (SELECT page_id, html, len({_LINK}) AS n FROM pages), "
-        "best AS (SELECT page_id FROM c ORDER BY n DESC, page_id ASC LIMIT 1), "
-        f"l AS (SELECT unnest({_LINK}) AS link, unnest(range(len({_LINK}))) AS pos FROM pages WHERE page_id IN (SELECT page_id FROM best)) "
-        f"SELECT CAST(min(pos) AS BIGINT) AS pos, link FROM l GROUP BY link ORDER BY pos LIMIT {PR.SITEMAP_N}"
+        with_("leads", "optout_ids", "optout_emails").rstrip()
+        + ", raw AS (SELECT * FROM leads WHERE situacao = 'ATIVA' AND regiao IN ('SP', '75')), "
+        "h AS (SELECT * FROM raw WHERE coalesce(is_synthetic, false) = false AND coalesce(flag_difusao_restrita, false) = false), "
+        f"i AS (SELECT * FROM h QUALIFY id_estab IS NULL OR row_number() OVER (PARTITION BY id_estab ORDER BY {_ORDER_FIRST}) = 1), "
+        f"d AS (SELECT * FROM i QUALIFY {_DOMAIN} IS NULL OR row_number() OVER (PARTITION BY {_DOMAIN} ORDER BY {_ORDER_FIRST}) = 1), "
+        "o AS (SELECT * FROM d WHERE NOT coalesce(id_estab IN (SELECT * FROM optout_ids), false) AND NOT coalesce(lower(email) IN (SELECT * FROM optout_emails), false)) "
+        "SELECT (SELECT count(*) FROM raw) AS total_bruto, (SELECT count(*) FROM raw WHERE is_synthetic) AS n_sinteticos, "
+        "(SELECT count(*) FROM raw WHERE flag_difusao_restrita) AS n_difusao_restrita, "
+        "(SELECT count(*) FROM h) - (SELECT count(*) FROM d) AS n_duplicados, (SELECT count(*) FROM d) - (SELECT count(*) FROM o) AS n_opt_out, "
+        "(SELECT count(*) FROM o) AS total_exportavel"
     )
 
 
@@ -710,11 +744,14 @@ def _cache_cte() -> str:
     )
 
 
-def _retention_sql() -> str:
+def _cutoff() -> float:
     from datetime import UTC, datetime, timedelta
 
-    cutoff = (datetime.fromisoformat(PR.RETENTION_NOW).replace(tzinfo=UTC) - timedelta(days=PR.RETENTION_DAYS)).timestamp()
-    return f"WITH {_cache_cte()} SELECT * FROM cache WHERE created_at >= {cutoff!r}"
+    return (datetime.fromisoformat(PR.RETENTION_NOW).replace(tzinfo=UTC) - timedelta(days=PR.RETENTION_DAYS)).timestamp()
+
+
+def _retention_sql() -> str:
+    return f"WITH {_cache_cte()} SELECT * FROM cache WHERE created_at >= {_cutoff()!r}"
 
 
 def _freshness_sql() -> str:
@@ -930,7 +967,24 @@ def queries_batch2() -> dict[str, str]:
         "fr_csv_scan": _fr_csv_sql(),
         "csv_probe": _csv_probe_sql(),
         "publish_version": with_("br_valid") + "SELECT * FROM br_valid",
-        "carry_forward": with_("real_leads") + "SELECT * FROM real_leads",
+        "carry_forward": with_("br_valid", "fr_valid") + f"SELECT * FROM {_once('br_valid')} UNION ALL SELECT * FROM {_once('fr_valid')}",
+        "publish_rejected": with_("fr_valid") + f"SELECT 'FR' AS pais, count(*) AS n, true AS v1_ativa, false AS v2_ativa, 'v1' AS versao FROM {_once('fr_valid')}",
+        "publish_counts": with_("br_valid", "br_joined", "fr_valid")
+        + "SELECT 'BR' AS pais, (SELECT count(*) FROM br_valid) AS n_gravados, (SELECT count(*) FROM br_joined) - (SELECT count(*) FROM br_valid) AS n_rejeitados "
+        "UNION ALL SELECT 'FR', (SELECT count(*) FROM fr_valid), (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM fr_valid)",
+        "score_size_capital": _size_capital_sql(),
+        "panel_criteria": _panel_criteria_sql(),
+        "optout_csv": with_("leads", "optout_ids", "optout_emails")
+        + "SELECT * FROM leads WHERE NOT coalesce(id_estab IN (SELECT * FROM optout_ids), false) AND NOT coalesce(lower(email) IN (SELECT * FROM optout_emails), false)",
+        "retention_job": f"WITH {_cache_cte()} SELECT count(*) FILTER (WHERE created_at >= {_cutoff()!r}) AS n_mantidos, count(*) FILTER (WHERE created_at < {_cutoff()!r}) AS n_removidos, "
+        f"'retention_purge' AS operacao, count(*) FILTER (WHERE created_at < {_cutoff()!r}) AS n_registros FROM cache",
+        "audit_old_schema": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, CASE WHEN event_type = 'view' THEN NULL ELSE props END AS filtros, "
+        "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events",
+        "enrich_job": with_("br_valid").rstrip()
+        + f", upd AS (SELECT DISTINCT {_DIGITS} AS cnpj FROM orders) SELECT (SELECT count(*) FROM br_valid) AS n_leads, "
+        "(SELECT count(*) FROM br_valid WHERE id_estab IN (SELECT cnpj FROM upd)) AS n_enriquecidos, "
+        "(SELECT count(*) FROM upd WHERE cnpj IN (SELECT id_estab FROM br_valid)) AS n_encontrados, "
+        "(SELECT count(*) FROM upd WHERE cnpj IN (SELECT id_estab FROM br_valid)) AS n_registros",
         "stream_intake": with_("br_valid") + "SELECT * FROM br_valid",
         "demo_leads": _demo_leads_sql(),
         "weighted_sample": _weighted_sample_sql(),

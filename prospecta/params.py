@@ -31,6 +31,8 @@ SEARCH_TEXT = "loja 12"
 POINT_ID_ORDERKEY = 2  # point lookup of the establishment built from this order
 
 SCORING = ScoringConfig(atividades_alvo=frozenset({"8630501", "62.01Z"}), regioes_alvo=frozenset({"SP", "75"}))
+SCORING_SIZE = ScoringConfig(portes_alvo=frozenset({"demais", "PME"}), capital_social_min=1000.0, capital_social_max=20_000_000.0)
+CRIT_PANEL = Criteria(situacao="ativa", regiao=["sp", "75"])
 
 # Retention / cache (seconds since epoch, derived from events.ts).
 RETENTION_NOW = "2024-02-01 00:00:00"

@@ -1,7 +1,7 @@
 """Versioned, country-partitioned ``leads`` with blue/green activation.
 
-Layout under a warehouse root (a local path or any Hadoop filesystem path; the small
-pointer/manifest files are written by the driver as ``.tmp`` + rename)::
+Layout under a warehouse root (any path Spark can write; the small pointer and manifest
+files go through the same Hadoop file system, ``.tmp`` + one overwriting rename)::
 
     versions/<version>/pais=BR/part-*.parquet      one write job per source run
     versions/<version>/_manifest.json              {"BR": "<version>", "FR": "<older>"}
@@ -16,7 +16,7 @@ working and an old version is never modified or deleted.
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from prospecta import schema as S
 from prospecta.operators import mapping as M
 from prospecta.operators import quality as Q
-from prospecta.session import local_path
 
 POINTER = "active_version.txt"
 MANIFEST = "_manifest.json"
@@ -41,64 +40,47 @@ def version_dir(root: str, version: str) -> str:
     return f"{root.rstrip('/')}/versions/{version}"
 
 
-def _hadoop_fs(path: str):
-    """(FileSystem, Path) for a non-local warehouse path, from the active session's
-    Hadoop configuration (so HDFS / object stores configured for Spark work)."""
-    from pyspark.sql import SparkSession
-
+def _hadoop(path: str):
+    """(FileSystem, Path, JVM, configuration) of a warehouse path, from the active
+    session: whatever file system Spark writes the data to, local ones included, the
+    pointer and manifests go to the same."""
     spark = SparkSession.getActiveSession()
     if spark is None:
-        raise RuntimeError("no active Spark session for a non-local warehouse path")
-    jvm = spark.sparkContext._jvm
+        raise RuntimeError("no active Spark session for a warehouse path")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
+    return hpath.getFileSystem(conf), hpath, jvm, conf
 
 
 def _read_text(path: str) -> str | None:
-    p = local_path(path)
-    if p is not None:
-        if not os.path.isfile(p):
-            return None
-        with open(p, encoding="utf-8") as f:
-            return f.read()
-    fs, hpath, jvm = _hadoop_fs(path)
+    fs, hpath, jvm, _ = _hadoop(path)
     if not fs.exists(hpath):
         return None
     stream = fs.open(hpath)
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        lines = []
-        line = reader.readLine()
-        while line is not None:
-            lines.append(line)
-            line = reader.readLine()
-        return "\n".join(lines)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
     finally:
         stream.close()
 
 
 def _write_atomic(path: str, text: str) -> None:
-    """Write ``.tmp`` then rename over the target (atomic on POSIX and HDFS; on
-    object stores the rename is a copy, so readers may briefly see the old value)."""
-    p = local_path(path)
-    if p is not None:
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        tmp = p + ".tmp"
-        with open(tmp, "w", encoding="utf-8") as f:
-            f.write(text)
-        os.replace(tmp, p)
-        return
-    fs, hpath, jvm = _hadoop_fs(path)
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    """Write a ``.tmp`` file, then rename it over the target in one step (``FileContext``
+    with OVERWRITE): at no time is there no target. On object stores without a rename the
+    file system's own semantics apply."""
+    fs, hpath, jvm, conf = _hadoop(path)
+    fs.setWriteChecksum(False)  # no checksum files beside the pointer
+    fs.mkdirs(hpath.getParent())
+    tmp = jvm.org.apache.hadoop.fs.Path(hpath.getParent(), f".{hpath.getName()}.{uuid.uuid4().hex[:8]}.tmp")
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(hpath):
-        fs.delete(hpath, False)
-    if not fs.rename(tmp, hpath):
-        raise OSError(f"could not move {tmp} to {hpath}")
+    fs.setWriteChecksum(True)
+    rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    how = SparkSession.getActiveSession().sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(hpath).toUri(), conf).rename(fs.makeQualified(tmp), fs.makeQualified(hpath), how)
 
 
 def active_version(root: str) -> str | None:
@@ -123,7 +105,6 @@ class Materialized:
     pais: str
     n_written: int
     n_rejected: int
-    files: tuple[str, ...] = ()
 
 
 def materialize(
@@ -133,15 +114,18 @@ def materialize(
     version: str,
     pais: str,
     *,
-    max_records_per_file: int = S.DEFAULT_WRITE_BATCH,
+    max_records_per_file: int | None = None,
+    n_skipped: int = 0,
 ) -> Materialized:
     """SNK3: contract-check ``candidates`` (canonical columns) and write the valid
     rows of one country under ``versions/<version>/pais=<pais>``.
 
     One job: valid and rejected counts are Observation metrics of the write's own
-    (final) stage, where each task's update counts once. ``maxRecordsPerFile`` bounds file size; an empty input
-    writes no data file."""
-    checked = M.contract_columns(candidates)
+    (final) stage, where each task's update counts once. Files are sized by bytes (AQE's
+    rebalance to its advisory partition size); ``max_records_per_file`` bounds them
+    further if given. ``n_skipped`` are rows left out before the mapping (FR orphans); they
+    count as rejected. An empty input writes no data file."""
+    checked = M.contract_columns(candidates).hint("rebalance")
     obs = Observation(f"materialize_{pais}")
     checked = checked.observe(
         obs,
@@ -153,20 +137,12 @@ def materialize(
         "flag_difusao_restrita", F.coalesce("flag_difusao_restrita", F.lit(False))
     )
     out = f"{version_dir(root, version)}/pais={pais}"
-    (
-        valid.drop("pais")
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", int(max_records_per_file))
-        .parquet(out)
-    )
+    writer = valid.drop("pais").write.mode("overwrite")
+    if max_records_per_file:
+        writer = writer.option("maxRecordsPerFile", int(max_records_per_file))
+    writer.parquet(out)
     got = obs.get
-    written = int(got.get("ok") or 0)
-    files: tuple[str, ...] = ()
-    if written:
-        from prospecta.sources.registry import list_files
-
-        files = tuple(f for f in list_files(spark, out) if f.endswith(".parquet"))
-    return Materialized(version, pais, written, int(got.get("bad") or 0), files)
+    return Materialized(version, pais, int(got.get("ok") or 0), int(got.get("bad") or 0) + n_skipped)
 
 
 def carry_forward(root: str, version: str, exclude_pais: str) -> dict[str, str]:
@@ -220,11 +196,12 @@ def publish(
     *,
     thresholds: Q.QualityThresholds | None = None,
     version: str | None = None,
+    n_skipped: int = 0,
 ) -> Published:
     """V4: materialise -> carry forward -> quality over the whole candidate version ->
     activate only if every check passed (a failure leaves the pointer untouched)."""
     version = version or new_version_id()
-    mat = materialize(spark, candidates, root, version, pais)
+    mat = materialize(spark, candidates, root, version, pais, n_skipped=n_skipped)
     manifest = carry_forward(root, version, exclude_pais=pais)
     manifest[pais] = version
     write_manifest(root, version, manifest)

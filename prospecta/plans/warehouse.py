@@ -11,7 +11,6 @@ their own tree (SNK7) and are unioned in only where a job wants them.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from prospecta.plans import ingest as I
 from prospecta.session import scratch_path
 from prospecta.sources import testdata as TD
 
-_PUBLISHED: dict[tuple[int, str], "Published"] = {}
+_PUBLISHED: dict[tuple[str, str, str], "Published"] = {}
 
 
 @dataclass(frozen=True)
@@ -31,26 +30,29 @@ class Published:
     demo: str
 
 
-def _key(spark: SparkSession, sf_dir: str) -> tuple[int, str]:
-    return (id(spark.sparkContext._jsc), sf_dir.rstrip("/"))
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _inputs(spark, sf_dir))
 
 
-def _still_there(p: "Published") -> bool:
-    """Both trees were committed and are still present (a cleaned scratch folder
-    forces a rebuild)."""
-    from prospecta.session import local_path
+def _still_there(spark: SparkSession, p: "Published") -> bool:
+    """Both trees were committed and are still present (a cleaned scratch folder forces a
+    rebuild), looked up through the file system that Spark wrote them to."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    marks = [jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS") for path in (p.real, p.demo)]
+    return all(m.getFileSystem(conf).exists(m) for m in marks)
 
-    for path in (p.real, p.demo):
-        lp = local_path(path)
-        if lp is not None and not os.path.exists(os.path.join(lp, "_SUCCESS")):
-            return False
-    return True
+
+def _inputs(spark: SparkSession, sf_dir: str) -> str:
+    """Files of the input tables with their sizes and times: changed inputs are noticed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    return ";".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in folder.getFileSystem(conf).listStatus(folder)))
 
 
 def publish_leads(spark: SparkSession, sf_dir: str, *, force: bool = False) -> Published:
     """Write real leads (BR + FR, partitioned by ``pais``) and the demo rows."""
     k = _key(spark, sf_dir)
-    if not force and k in _PUBLISHED and _still_there(_PUBLISHED[k]):
+    if not force and k in _PUBLISHED and _still_there(spark, _PUBLISHED[k]):
         return _PUBLISHED[k]
     real = scratch_path(spark, "leads")
     demo = scratch_path(spark, "demo-leads")

@@ -3,7 +3,6 @@ frames."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -65,15 +64,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/prospecta/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str | None:
-    """Filesystem path for ``file:`` URIs / plain paths (driver-side pointer files)."""
-    if path.startswith("file:"):
-        return path[5:] if not path.startswith("file://") else path[7:]
-    if "://" in path:
-        return None
-    return path
-
-
 def rows_df(spark: SparkSession, rows, schema) -> DataFrame:
     """A small literal DataFrame (reports, one-row events) built on the JVM side:
     ``createDataFrame`` from a Python list goes through a Python RDD and starts

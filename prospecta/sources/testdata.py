@@ -330,3 +330,15 @@ def recherche_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.filter(F.array(first), lambda x: F.lit(False))  # empty, same element type
     doc = F.struct(F.when(k % 11 == 0, none).otherwise(F.array(first, other)).alias("results"))
     return s.select(siren.alias("siren"), F.to_json(doc).alias("payload"))
+
+
+def landed_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed XML files (``url``, ``body``) from ``pages``: a sub-map per page with as many
+    ids as its size asks for (some ids twice), and index files of 50 sub-maps each."""
+    p = table(spark, sf_dir, "pages").select("page_id", (F.length("html") % 97 + 3).cast("bigint").alias("n"))
+    url = F.concat(F.lit("https://maps.example/sub-"), P("page_id", 6), F.lit(".xml"))
+    ids = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda j: F.concat(F.lit("<loc>https://site.example/office/"), P(F.col("page_id") * 1000 + j - F.when(j % 5 == 4, 2).otherwise(0), 14), F.lit("</loc>")))
+    subs = p.select(url.alias("url"), F.concat(F.lit("<urlset>"), F.array_join(ids, "\n"), F.lit("</urlset>")).alias("body"))
+    entry = F.concat(F.lit("<loc>"), url, F.lit("</loc>\n<lastmod>2024-01-01</lastmod>\n<!--"), F.col("n").cast("string"), F.lit("-->"))
+    index = p.select((F.col("page_id") / 50).cast("bigint").alias("part"), entry.alias("e")).groupBy("part").agg(F.array_join(F.sort_array(F.collect_list("e")), "\n").alias("body"))
+    return subs.unionByName(index.select(F.concat(F.lit("https://maps.example/index-"), F.col("part").cast("string"), F.lit(".xml")).alias("url"), "body"))

@@ -249,7 +249,6 @@ def test_enrich_job_counts_found_and_audits(spark, scratch):
 
 
 def test_pointer_files_through_hadoop_filesystem(spark, scratch, monkeypatch):
-    monkeypatch.setattr(PB, "local_path", lambda p: None)  # take the Hadoop FileSystem branch
     root = "file://" + local(scratch("hfs"))
     PB.activate(root, "v1")
     PB.activate(root, "v2")
