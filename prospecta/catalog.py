@@ -491,6 +491,24 @@ def q_fr_csv_scan(spark, sf):
     )
 
 
+@register("fr_routing")
+def q_fr_routing(spark, sf):
+    """SRC9, SRC3: a landing folder with two establishment files of different header
+    order, a legal-unit file, a history file and an unknown one: routed by name and read by
+    header name."""
+    et, landing = TD.fr_etablissement(spark, sf), scratch_path(spark, "landing-fr")
+    early = F.substring("siret", 14, 1) < "5"
+    cols = et.columns
+    I.write_registry_csv(et.where(early), f"{landing}/StockEtablissement_utf8.csv", encoding="UTF-8", header=True, sep=",")
+    I.write_registry_csv(et.where(~early).select(*reversed(cols)), f"{landing}/stocketablissement_2.csv", encoding="UTF-8", header=True, sep=",")
+    I.write_registry_csv(et.where(early), f"{landing}/StockEtablissementHistorique_utf8.csv", encoding="UTF-8", header=True, sep=",")
+    I.write_registry_csv(TD.fr_unite_legale(spark, sf), f"{landing}/StockUniteLegale_utf8.csv", encoding="UTF-8", header=True, sep=",")
+    I.write_registry_csv(et.where(early), f"{landing}/outro.csv", encoding="UTF-8", header=True, sep=",")
+    routed = RG.route_files(spark, landing, "FR")
+    read = RG.read_named_csv(spark, routed["ETABLISSEMENT"], S.ETABLISSEMENT_COLUMNS)
+    return read.select("siren", "siret").withColumn("entidades", F.lit(",".join(sorted(routed))))
+
+
 @register("csv_probe")
 def q_csv_probe(spark, sf):
     path = scratch_path(spark, "probe")

@@ -966,6 +966,7 @@ def queries_batch2() -> dict[str, str]:
         "csv_malformed": _csv_malformed_sql(),
         "fr_csv_scan": _fr_csv_sql(),
         "csv_probe": _csv_probe_sql(),
+        "fr_routing": with_("fr_et") + "SELECT siren, siret, 'ETABLISSEMENT,UNITE_LEGALE' AS entidades FROM fr_et",
         "publish_version": with_("br_valid") + "SELECT * FROM br_valid",
         "carry_forward": with_("br_valid", "fr_valid") + f"SELECT * FROM {_once('br_valid')} UNION ALL SELECT * FROM {_once('fr_valid')}",
         "publish_rejected": with_("fr_valid") + f"SELECT 'FR' AS pais, count(*) AS n, true AS v1_ativa, false AS v2_ativa, 'v1' AS versao FROM {_once('fr_valid')}",

@@ -3,7 +3,7 @@
 * SRC1/SRC2 headerless latin-1 ``;`` files bound by position, malformed rows kept
   apart (PERMISSIVE + corrupt-record column; never DROPMALFORMED, whose counts change
   with column pruning).
-* SRC3 headered UTF-8 files bound by header *name*, one read per file.
+* SRC3 headered UTF-8 files bound by header *name*, one scan per different header.
 * SRC4 ``codigo;descricao`` lookups, SRC5 staged parquet, SRC6 active version,
   SRC8 opt-out CSV, SRC9 file -> entity routing, SRC10 probe of an unknown CSV.
 
@@ -98,25 +98,55 @@ def read_named_csv(
 ) -> DataFrame:
     """SRC3: headered UTF-8 CSV matched by header *name*.
 
-    Each file is read on its own (Spark binds a header to the schema by position
-    otherwise), names are stripped of the trailing spaces official headers carry, a
-    missing expected column raises, and files are combined with ``unionByName``."""
-    files = [paths] if isinstance(paths, str) else list(paths)
-    if not files:
+    Spark binds a header by position within one read, so files are grouped by their
+    header line (read through the file system, one line each) and every group is one
+    scan: as many union branches as there are different headers. Names are stripped of
+    the trailing spaces official headers carry; a missing expected column raises."""
+    given = [paths] if isinstance(paths, str) else list(paths)
+    if not given:
         raise ValueError("no input files")
-    opts = {"header": "true", "escape": '"', "encoding": "UTF-8", **options}
+    opts = {"header": "true", "escape": '"', "encoding": "UTF-8", "sep": ",", "quote": '"', **options}
+    groups: dict[str, list[str]] = {}
+    for f in data_files(spark, given):
+        groups.setdefault(first_line(spark, f, opts["encoding"]), []).append(f)
     out = None
-    for f in files:
-        df = spark.read.options(**opts).csv(f)
+    for files in groups.values():
+        df = spark.read.options(**opts).csv(files)
         df = df.toDF(*[c.strip() for c in df.columns])
         missing = set(expected) - set(df.columns)
         if missing:
-            raise ValueError(f"expected columns missing in {f}: {sorted(missing)}")
+            raise ValueError(f"expected columns missing in {files[0]}: {sorted(missing)}")
         df = df.select(*[F.col(f"`{c}`") for c in expected])
         out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise ValueError("no input files")
     return out
 
 
+def data_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files of the given files and folders (hidden ones are left out)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        for x in fs.globStatus(p) or ():
+            listed = fs.listStatus(x.getPath()) if x.isDirectory() else [x]
+            out += [y.getPath().toString() for y in listed if y.isFile() and y.getPath().getName()[0] not in "_."]
+    return sorted(out)
+
+
+def first_line(spark: SparkSession, path: str, encoding: str) -> str:
+    """The first line of a file; nothing else of it is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding)).readLine() or ""
+    finally:
+        stream.close()
+
+
 def read_staged_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """SRC5: many staged slices = one table (bag union); empty list is an error."""
     if not paths:
