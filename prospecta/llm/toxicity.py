@@ -176,8 +176,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict, dict, list]:
     clean: list[str] = []
     if starts:  # words of clean texts that begin like an entry
         begin = F.lit(False)
-        for s in sorted(starts)[:500]:
-            begin = begin | F.col("word").startswith(s)
+        for k in sorted({len(x) for x in starts}):
+            begin = begin | F.substring("word", 1, k).isin([x for x in starts if len(x) == k])
         clean = [r["word"] for r in words.where(begin & (F.col("good") > F.col("bad"))).orderBy(F.desc("good"), "word").limit(ENTRIES).collect()]
     return entries, starts, [*EXCEPTIONS, *clean]
 
