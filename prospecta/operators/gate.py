@@ -133,7 +133,10 @@ class GateRun:
     observations: dict[str, Observation] = field(default_factory=dict)
 
     def report(self) -> dict[str, int]:
-        n = {k: int(o.get["n"]) for k, o in self.observations.items()}
+        got = {k: int(o.get.get("n") or 0) for k, o in self.observations.items()}
+        parts = ("", "_no_id", "_neither")
+        n = {k: sum(got[f"{k}{p}"] for p in parts) for k in ("in", "hard")} | {k: got[k] for k in ("domain", "out")}
+        n["id"] = got["id"] + sum(got[f"hard{p}"] for p in parts[1:])  # rows without an id pass G2
         return {
             "n_in": n["in"],
             "n_hard_excluded": n["in"] - n["hard"],

@@ -1,14 +1,12 @@
-"""Driver contract: entry() runs, every query is registered with a twin or is a
-declared rows-only job, and a sample of queries matches DuckDB on sf0.001."""
+"""Driver contract: entry() runs, every registry query is registered with a twin, and a sample of queries matches DuckDB on sf0.001."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from prospecta.catalog import REGISTRY
 from tests.conftest import SF_SMALL
 
-ROWS_ONLY = {"export_txt", "demo_leads", "weighted_sample"}
-
 
 def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
@@ -19,9 +17,9 @@ def test_entry_smoke(spark):
     assert scores == sorted(scores, reverse=True)
 
 
-def test_every_query_has_twin_or_is_rows_only():
+def test_every_registry_query_has_a_twin():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(q) - set(o) == ROWS_ONLY
+    assert set(REGISTRY) <= set(q) and set(REGISTRY) <= set(o)
     assert set(o) <= set(q)
 
 

@@ -67,10 +67,29 @@ def test_source_status_keeps_never_run_sources(spark):
     assert got == {"A": "2024-02", "B": None}
 
 
-def test_sitemap_style_link_discovery(spark):
-    from prospecta.operators.enrich import discover_links
-
-    pages = spark.createDataFrame(
-        [(1, '<a href="x">'), (2, '<a href="b"><a href="a"><a href="b"><a href="c">'), (3, '<a href="z">')], "page_id long, html string"
-    )
-    assert [(r.pos, r.link) for r in discover_links(pages, 2).collect()] == [(0, "b"), (1, "a")]
+def test_ids_of_the_largest_sub_map_by_its_index_count(spark):
+    from prospecta.operators.enrich import discover_ids
+
+    entry = "<loc>{}</loc>\n  <lastmod>2024-01-01</lastmod> <!--{}-->".format
+    one = "<loc>https://x.example/office/{:014d}</loc>".format
+    rows = [
+        ("i1", entry("a.xml", 9) + entry("b.xml", 12)),
+        ("i2", entry("c.xml", 12) + "<loc>d.xml</loc><!--99-->"),  # no date: not an entry
+        ("a.xml", "".join(map(one, range(40)))),
+        ("b.xml", "".join(map(one, [5, 3, 5, 7, 3, 1])) + "/office/123"),
+        ("c.xml", one(8)),
+    ]
+    landed = spark.createDataFrame(rows, "url string, body string")
+    got = [(r.pos, r.id) for r in discover_ids(landed, 3).collect()]
+    assert got == [(0, f"{5:014d}"), (1, f"{3:014d}"), (3, f"{7:014d}")]
+    assert discover_ids(landed.where("url like '%.xml'"), 3).count() == 0
+
+
+def test_text_activity_codes_keep_their_zeros(spark):
+    from datetime import datetime
+
+    from prospecta.operators.enrich import brasilapi_updates
+
+    docs = spark.createDataFrame([('{"cnpj": "1", "cnae_fiscal": "0111301"}',), ('{"cnpj": "2", "cnae_fiscal": 6201501}',)], "payload string")
+    got = {r.cnpj: r.cod_atividade for r in brasilapi_updates(docs, datetime(2024, 1, 1)).collect()}
+    assert got == {"1": "0111301", "2": "6201501"}

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from prospecta import schema as S
 from prospecta.sources import registry as R
 from tests.test_mapping import local, write
@@ -53,3 +54,24 @@ def test_optout_csv_missing_file_is_empty(spark, scratch):
     p = write(f"{d}/s.csv", ["id_estab,email,motivo", " 1 ,,x", ", A@B.com ,y", ",,z"], "utf-8")
     o = R.read_optout_csv(spark, p)
     assert [r[0] for r in o.ids.collect()] == ["1"] and [r[0] for r in o.emails.collect()] == ["a@b.com"]
+
+
+def test_rows_and_malformed_lines_are_all_lines(spark, scratch):
+    """Blank first fields, quoted or not, are rows; short and long lines are kept aside."""
+    from prospecta.sources import registry as R
+
+    path = scratch("lines")
+    lines = [";sem codigo", '"";vazio', " ;espaco", "1;A", '2;"B ""C""; D"', "3", "4;a;b", ";;"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    scan = R.read_positional_csv(spark, path, ("codigo", "descricao"), encoding="UTF-8")
+    assert scan.rows.count() == 5 and scan.malformed.count() == 3
+    assert sorted(r.linha for r in scan.malformed.select("linha").collect()) == ["3", "4;a;b", ";;"]
+    assert {r.descricao for r in scan.rows.select("descricao").collect()} == {"sem codigo", "vazio", "espaco", "A", 'B "C"; D'}
+    assert R.read_lookup(spark, path, encoding="UTF-8").where("codigo = ''").first().descricao == "vazio"
+
+
+def test_long_codes_are_not_cut(spark):
+    from prospecta.functions.normalize import lpad_code
+
+    got = spark.range(1).select(lpad_code(F.lit(1234567890), 8).alias("a"), lpad_code(F.lit(12), 8).alias("b")).first()
+    assert tuple(got) == ("1234567890", "00000012")
