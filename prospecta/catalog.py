@@ -809,3 +809,30 @@ def q_enrich_job(spark, sf):
     return merged.agg(F.count("*").alias("n_leads"), F.sum(F.col("enriquecido_em").isNotNull().cast("bigint")).alias("n_enriquecidos")).select(
         "n_leads", "n_enriquecidos", F.lit(found).cast("bigint").alias("n_encontrados"), F.lit(audit.n_registros).cast("bigint").alias("n_registros")
     )
+
+
+def _layout_rows(spark, sf, columns) -> DataFrame:
+    """Raw text rows of a layout from ``orders``: column i of order k holds one of seven
+    forms (blank, date, number, padded text, true, false, a word), chosen by (k + i) % 7."""
+    k = F.col("o_orderkey")
+    forms = [F.lit(""), F.concat(F.lit("20"), N.lpad_code(k % 30, 2), F.lit("-03-09T10:00:00")), (k % 1000).cast("string"), F.concat(F.lit("  t"), k.cast("string"), F.lit(" ")), F.lit("true"), F.lit("false"), F.lit("O")]
+    o = TD.table(spark, sf, "orders").select("o_orderkey")
+    return o.select(*[F.element_at(F.array(*forms), ((k + i) % 7 + 1).cast("int")).alias(c) for i, c in enumerate(columns)])
+
+
+@register("unite_legale_parsed")
+def q_unite_legale_parsed(spark, sf):
+    """P20: every legal-unit field."""
+    return M.parse_unite_legale(_layout_rows(spark, sf, S.UNITE_LEGALE_COLUMNS))
+
+
+@register("etablissement_parsed")
+def q_etablissement_parsed(spark, sf):
+    """P20: every French establishment field."""
+    return M.parse_etablissement(_layout_rows(spark, sf, S.ETABLISSEMENT_COLUMNS))
+
+
+@register("simples_parsed")
+def q_simples_parsed(spark, sf):
+    """P20: every field of the tax-regime table."""
+    return M.parse_simples(TD.staging_simples(spark, sf))

@@ -923,6 +923,40 @@ def _weighted_sample_sql() -> str:
     return with_("real_leads").rstrip() + f", {w('atividade', 'cod_atividade')}, {w('regiao', 'regiao')}, " + _demo_sql("part", "p_partkey", "BR", weighted=True) + " SELECT * FROM demo"
 
 
+def _layout_sql(columns: tuple[str, ...], spec, status: str) -> str:
+    """Typed fields of layout rows (seven text forms by (k + i) % 7)."""
+
+    def raw(i: int) -> str:
+        year = "lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0')"
+        return (
+            f"CASE (o_orderkey + {i}) % 7 WHEN 0 THEN '' WHEN 1 THEN '20' || {year} || '-03-09T10:00:00' WHEN 2 THEN CAST(o_orderkey % 1000 AS VARCHAR) "
+            "WHEN 3 THEN '  t' || CAST(o_orderkey AS VARCHAR) || ' ' WHEN 4 THEN 'true' WHEN 5 THEN 'false' ELSE 'O' END"
+        )
+
+    rules = {
+        "key": "trim({c})",
+        "text": "nullif(trim({c}), '')",
+        "date": "CASE WHEN regexp_matches({c}, '^[0-9]{{4}}-') THEN CAST(substr({c}, 1, 10) AS DATE) END",
+        "int": "CASE WHEN regexp_matches({c}, '^[0-9]+$') THEN CAST({c} AS INTEGER) END",
+        "bool": "{c} = 'true'",
+    }
+    at = {c: i for i, c in enumerate(columns)}
+    cols = [f"{rules[rule].format(c='(' + raw(at[header]) + ')')} AS {name}" for header, name, rule in spec]
+    return f"SELECT {', '.join(cols)}, upper(trim({raw(at[status])})) <> 'O' AS flag_difusao_restrita FROM orders"
+
+
+def _parsed_sql() -> dict[str, str]:
+    from prospecta.operators.mapping import _ETAB_SPEC, _UL_SPEC  # output names of the layouts
+
+    day = lambda c: f"CASE WHEN length({c}) = 8 AND {c} <> '00000000' THEN CAST(TRY_STRPTIME({c}, '%Y%m%d') AS DATE) END AS {c}"
+    simples = [f"trim({c}) AS {c}" if c == "cnpj_basico" else day(c) if c.startswith("data_") else f"nullif(trim({c}), '') AS {c}" for c in S.SIMPLES_COLUMNS]
+    return {
+        "unite_legale_parsed": _layout_sql(S.UNITE_LEGALE_COLUMNS, _UL_SPEC, "statutDiffusionUniteLegale"),
+        "etablissement_parsed": _layout_sql(S.ETABLISSEMENT_COLUMNS, _ETAB_SPEC, "statutDiffusionEtablissement"),
+        "simples_parsed": with_("staging_simples") + f"SELECT {', '.join(simples)} FROM staging_simples",
+    }
+
+
 def _breakdown_sql() -> str:
     from prospecta.operators.score import SIGNALS
 
@@ -987,6 +1021,7 @@ def queries_batch2() -> dict[str, str]:
         "(SELECT count(*) FROM upd WHERE cnpj IN (SELECT id_estab FROM br_valid)) AS n_encontrados, "
         "(SELECT count(*) FROM upd WHERE cnpj IN (SELECT id_estab FROM br_valid)) AS n_registros",
         "stream_intake": with_("br_valid") + "SELECT * FROM br_valid",
+        **_parsed_sql(),
         "demo_leads": _demo_leads_sql(),
         "weighted_sample": _weighted_sample_sql(),
         "export_csv": _export_csv_sql(),
