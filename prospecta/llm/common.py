@@ -68,11 +68,19 @@ def text_bytes(col: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.large_binary()).to_pylist()]
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows`` (bounds the memory of a step)."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and, unless a single row is larger,
+    ``size`` bytes: bounds the memory of a step whatever the texts' lengths."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+            parts = [b.slice(i, rows)]
+            while parts:
+                part = parts.pop()
+                if part.num_rows > 1 and part.nbytes > size:
+                    half = part.num_rows // 2
+                    parts += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
