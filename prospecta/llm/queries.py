@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from prospecta.llm import decontaminate, licenses, lm, mixing, near, neighbours, quality, repeats, tokens, toxicity
 from prospecta.llm.common import table
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
