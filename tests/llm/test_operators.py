@@ -94,7 +94,7 @@ def test_lm_attention_is_causal_and_batches_agree():
     whole = m.score(ids, sizes)[0]
     split = m.score(np.concatenate([ids, ids[:40]]), np.array([500, 40]))
     assert abs(split[0] - whole) < 1e-3
-    a = np.concatenate([[0], ids[:31]])[None].astype(np.int64)
+    a = np.concatenate([[0], ids[: lm.WINDOW - 1]])[None].astype(np.int64)
     b = a.copy()
     b[0, 20:] = 7
     v = np.ones(a.shape, bool)

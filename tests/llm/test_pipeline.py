@@ -30,7 +30,6 @@ def test_stages_against_brute_force(spark, sf):
     before, after = steps["repeats"]
     rows = pairs(before)
     removed = {d: r[1] for (d, _), r in zip(rows, repeats_brute([t.encode() for _, t in rows], repeats.LENGTH))}
-    assert sum(removed.values()) > 0
     for d, t in pairs(after):
         size = len(next(x for i, x in rows if i == d).encode()) - removed[d]
         assert size - 6 * 50 <= len(t.encode()) <= size  # characters that were cut in two are dropped
