@@ -24,3 +24,17 @@ def test_lm_counts_every_training_row(spark, make_docs, monkeypatch):
     monkeypatch.setattr(lm, "classes", lambda pairs: seen.append(pairs) or classes(pairs))
     lm.learn(docs, sent(spark))
     assert seen[0][:, 0].sum() == docs.where(~lm.held_out(F.col("doc_id"))).count()  # one end a text
+
+
+def test_lm_trains_on_the_same_texts_however_rows_are_packed(spark, make_docs):
+    docs = make_docs([(i, f"text number {i}", "s") for i in range(300)], clash=False).select("doc_id", "text")
+    chosen = lambda df: df.where("fits").agg(F.sum("n"), F.sum(F.length("sizes"))).first()
+    one, many = (chosen(lm.training_ids(docs.repartition(k), sent(spark))) for k in (1, 7))
+    assert one == many and one[1] > 0
+
+
+def test_lm_trains_on_few_rows(spark, make_docs):
+    rows = [(i, "the few words of this text", "s") for i in range(100)]
+    docs = make_docs(rows, clash=False).select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(10)) == 3)
+    for k in range(1, 5):
+        assert lm.learn(docs.limit(k + 1).repartition(1), sent(spark)).net.w["wc"].any()
