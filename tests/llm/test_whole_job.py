@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -38,3 +39,10 @@ def test_lm_trains_on_few_rows(spark, make_docs):
     docs = make_docs(rows, clash=False).select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit("lm"), "doc_id"), F.lit(10)) == 3)
     for k in range(1, 5):
         assert lm.learn(docs.limit(k + 1).repartition(1), sent(spark)).net.w["wc"].any()
+
+
+def test_lm_sizes():
+    _, first, scored = lm.windows(np.array([1000]))
+    assert len(first) > 1 and (scored[1:] >= 16).all()  # subwords of context from the second window on
+    w = lm.start_weights(np.zeros((300, lm.WIDTH)))
+    assert w["pos"].shape >= (32, 24) and w["w1"].shape >= (24, 48) and w["wc"].shape >= (24, 96) and lm.ALONE >= 32
