@@ -182,14 +182,15 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict, dict, list]:
     return entries, starts, [*EXCEPTIONS, *clean]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge; slopes aren't negative."""
+def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Logistic regression by Newton steps with a small ridge, each row counting ``n``
+    times; slopes aren't negative."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = a.T @ (a * (p * (1 - p) + 1e-6)[:, None]) + np.eye(3) * 0.05
-        w -= np.linalg.solve(h, a.T @ (p - y) + 0.05 * w)
+        h = a.T @ (a * (n * (p * (1 - p) + 1e-6))[:, None]) + np.eye(3) * 0.05
+        w -= np.linalg.solve(h, a.T @ (n * (p - y)) + 0.05 * w)
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
@@ -224,13 +225,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
         lex = Lexicon(*lexicon_parts)
         for b in small(batches, 1024):
             x = [lex.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in x], pa.float64()), pa.array([p[1] for p in x], pa.float64()), b.column("toxic")], names=["a", "b", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in x], pa.float64()), pa.array([p[1] for p in x], pa.float64()), b.column("toxic"), b.column("doc_id"), b.column("g1")], names=["a", "b", "toxic", "doc_id", "g1"])
 
-    # Rows with one id may repeat without bound: equal features are counted together.
-    got = sample.select("text", "toxic").mapInArrow(features, "a double, b double, toxic int").groupBy("a", "b", "toxic").count().orderBy(F.desc("count"), "a", "b", "toxic").limit(LABELLED).collect()
+    # Rows with one id may repeat without bound: one of each counts, so at most LABELLED are collected.
+    got = sample.select("text", "toxic", "doc_id", "g1").mapInArrow(features, "a double, b double, toxic int, doc_id long, g1 long")
+    got = got.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("a", "b"), "g1").alias("x")).groupBy("x.a", "x.b", "toxic").count().orderBy("a", "b", "toxic").collect()
     if {r["toxic"] for r in got} == {0, 1}:
-        n = np.minimum([r["count"] for r in got], 50)
-        curve = fit_curve(np.repeat([[r["a"], r["b"]] for r in got], n, axis=0), np.repeat([float(r["toxic"]) for r in got], n))
+        curve = fit_curve(np.array([[r["a"], r["b"]] for r in got]), *(np.array([float(r[k]) for r in got]) for k in ("toxic", "count")))
     return Model(words, starts, exceptions, curve)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from prospecta.llm import lm
+from prospecta.llm import lm, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -46,3 +48,14 @@ def test_lm_sizes():
     assert len(first) > 1 and (scored[1:] >= 16).all()  # subwords of context from the second window on
     w = lm.start_weights(np.zeros((300, lm.WIDTH)))
     assert w["pos"].shape >= (32, 24) and w["w1"].shape >= (24, 48) and w["wc"].shape >= (24, 96) and lm.ALONE >= 32
+
+
+# -- op2
+
+
+def test_toxicity_curve_counts_all_equal_rows(spark):
+    random_text = lambda i: " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest()[:9] for k in range(8))
+    docs = spark.createDataFrame([(i, random_text(i)) for i in range(3000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 12 == 0).cast("int").alias("toxic"))
+    rows = toxicity.score(docs, toxicity.learn(docs, labels, F.lit(True))).collect()
+    assert sum(r["toxic_predicted"] for r in rows) < 30  # one in twelve is toxic, without a sign of it
