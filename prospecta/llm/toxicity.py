@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from prospecta.llm.common import crc_rest, mix, small, store
 
 LABELLED = 20_000  #: most labelled rows that are learned from
-ENTRIES = 4_000  #: most learned entries
+ENTRIES = 4_000  #: most learned words, and most learned beginnings; exceptions have no limit
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and signs used as letters.
@@ -178,7 +178,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict, dict, list]:
         begin = F.lit(False)
         for k in sorted({len(x) for x in starts}):
             begin = begin | F.substring("word", 1, k).isin([x for x in starts if len(x) == k])
-        clean = [r["word"] for r in words.where(begin & (F.col("good") > F.col("bad"))).orderBy(F.desc("good"), "word").limit(ENTRIES).collect()]
+        clean = [r["word"] for r in words.where(begin & (F.col("good") > F.col("bad"))).orderBy(F.desc("good"), "word").collect()]
     return entries, starts, [*EXCEPTIONS, *clean]
 
 

@@ -59,3 +59,11 @@ def test_toxicity_curve_counts_all_equal_rows(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 12 == 0).cast("int").alias("toxic"))
     rows = toxicity.score(docs, toxicity.learn(docs, labels, F.lit(True))).collect()
     assert sum(r["toxic_predicted"] for r in rows) < 30  # one in twelve is toxic, without a sign of it
+
+
+def test_toxicity_keeps_every_exception(spark):
+    word = lambda i: "grub" + hashlib.md5(str(i).encode()).hexdigest()[:12].translate(str.maketrans("0123456789", "ghijklmnop"))
+    rows = [(" ".join(word(500 * d + k) for k in range(500)), 1) for d in range(10)]
+    rows += [(" ".join(word(10_000 + 9 * d + k) for k in range(9)), 0) for d in range(500)]
+    _, starts, exceptions = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "grub" in starts and sum(x.startswith("grub") for x in exceptions) == 4500
