@@ -12,10 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, licenses, lm, mixing, near, neighbours, quality, repeats, tokens, toxicity
+from prospecta.llm import bpe, codes, decontaminate, licenses, lm, mixing, near, neighbours, quality, repeats, tokens, toxicity
 from prospecta.llm.common import table
 
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+VOCABULARY, RANKS, WORD_VOCABULARY = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,15 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_toxicity": op2_toxicity,
@@ -69,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +87,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_near_duplicates": near.ORACLE,
     "op7_license_scan": licenses.oracle_sql(),
     "op10_nearest_neighbours": neighbours.ORACLE,
+    "op11_vector_codes": codes.oracle_sql(),
 }
