@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import bpe, codes, decontaminate, licenses, lm, mixing, near, neighbours, quality, repeats, tokens, toxicity
+from prospecta.llm import bpe, codes, decontaminate, licenses, lm, mixing, near, neighbours, quality, repeats, tokens, toxicity, trie
 from prospecta.llm.common import table
 
 VOCABULARY, RANKS, WORD_VOCABULARY = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -62,6 +62,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_bpe": op13_bpe,
 }
 
@@ -88,4 +93,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": licenses.oracle_sql(),
     "op10_nearest_neighbours": neighbours.ORACLE,
     "op11_vector_codes": codes.oracle_sql(),
+    "op12_conversation_trie": trie.ORACLE,
 }

@@ -17,7 +17,7 @@ from tools.check_oracle import digest
 
 def test_registered_once_per_operator():
     names = [k for k in entry_mod.queries() if k.startswith("op") and k[2].isdigit()]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and set(names) == set(Q.QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and set(names) == set(Q.QUERIES)
     assert "pipeline" in entry_mod.queries() and set(Q.ORACLE_SQL) <= set(entry_mod.oracle_sql())
 
 
@@ -27,7 +27,7 @@ def test_query(spark, name):
     rows = [tuple(r) for r in df.collect()]
     if name in Q.ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "embeddings"):
+        for t in ("documents", "benchmark", "embeddings", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
         rel = con.execute(Q.ORACLE_SQL[name])
         columns = [d[0] for d in rel.description]
