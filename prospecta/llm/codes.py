@@ -18,7 +18,7 @@ the result is that of comparing everything. Trees are stored in the shared folde
 counts are added up per task before they are shuffled, and the driver sees only the
 codebooks (entries times dimensions, a fixed size).
 
-Cases: vectors that are null or hold a null or non-finite component are dropped. The first
+Cases: vectors that are null, empty or hold a null or non-finite component are dropped. The first
 kept vector in the order of ids sets the dimension, which must be divisible by the number
 of parts; vectors of another length cannot be cut alike and are dropped, too. Null ids sort
 last; rows that share an id go by their vector and are all coded. With fewer kept vectors
@@ -242,7 +242,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, label (as text) and the vector, of vectors with finite components only."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.where(F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)))
+    return v.where((F.size("v") > 0) & F.coalesce(finite, F.lit(False)))
 
 
 def whole_numbers(rows: list | np.ndarray, scale: int) -> np.ndarray:
@@ -349,9 +349,9 @@ def compress(vectors: DataFrame, *, parts: int = 4, entries: int = 256, rounds:
     order = [F.col("vec_id").asc_nulls_last(), F.col("v").asc()]
     first = kept.orderBy(*order).limit(1).collect()
     if not first:
-        return np.zeros((parts, 0, 0), np.int64), kept.select("vec_id", "label", F.array().cast("array<int>").alias("codes"), F.lit(0).cast("long").alias("error"))
+        return np.zeros((parts, 0, 0), np.int64), kept.select("vec_id", "label", F.lit(None).cast("array<int>").alias("codes"), F.lit(None).cast("long").alias("error")).where(F.lit(False))
     dim = len(first[0]["v"])
-    if not dim or dim % parts:
+    if dim % parts:
         raise ValueError(f"vectors of {dim} components can't be cut into {parts} equal parts")
     alike = kept.where(F.size("v") == dim)
     start = whole_numbers([r["v"] for r in alike.orderBy(*order).limit(entries).collect()], scale)
