@@ -432,8 +432,11 @@ def q_weighted_sample(spark, sf):
 
 @register("csv_latin1_scan")
 def q_csv_latin1_scan(spark, sf):
+    """SRC1, SNK1: names with quoted line breaks and control characters (every 29th)."""
     landing = scratch_path(spark, "landing")
-    I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.EMPRECSV")
+    odd = F.concat("razao_social", F.lit("\nFILIAL;\u0001A\u0000B"))
+    emp = TD.staging_empresas(spark, sf).withColumn("razao_social", F.when((F.col("cnpj_basico").cast("int") % 29 == 7) & (F.col("razao_social") != ""), odd).otherwise(F.col("razao_social")))
+    I.write_registry_csv(emp, f"{landing}/K3241.K03200Y0.D50812.EMPRECSV")
     I.write_registry_csv(TD.staging_simples(spark, sf), f"{landing}/F.K03200$W.SIMPLES.CSV.D50812")
     I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.SOCIOCSV")  # ignored
     staged = scratch_path(spark, "staged")
@@ -445,12 +448,15 @@ MALFORMED_SHORT_MOD, MALFORMED_SHORT_REM = 50, 3
 MALFORMED_LONG_MOD, MALFORMED_LONG_REM = 71, 5
 QUOTED_MOD, QUOTED_REM = 13, 2
 BLANK_MOD, BLANK_REM = 19, 1
+BREAK_MOD, BREAK_REM = 11, 3
+CONTROL_MOD, CONTROL_REM = 17, 4
 
 
 @register("csv_malformed")
 def q_csv_malformed(spark, sf):
     """Raw lines built from orders: some short, some long, some with a quoted name
-    holding ``;`` and doubled quotes; scanned with the malformed split."""
+    holding ``;`` and doubled quotes, some with a quoted line break, some with control
+    characters at a field's and a line's start; scanned with the malformed split."""
     # the order key is recovered from the trade name ("LOJA <key>")
     rows = TD.staging_estabelecimentos(spark, sf).withColumn(
         "__k", F.regexp_extract("nome_fantasia", r"(\d+)$", 1).cast("bigint")
@@ -460,6 +466,12 @@ def q_csv_malformed(spark, sf):
     # an unquoted blank first field is still a row
     fields[0] = F.when(F.col("__k") % BLANK_MOD == BLANK_REM, F.lit("")).otherwise(fields[0])
     fields = [F.when(F.col("__k") % QUOTED_MOD == QUOTED_REM, fields[i]).otherwise(F.col(c)) if c == "nome_fantasia" else fields[i] for i, c in enumerate(S.ESTABELECIMENTOS_COLUMNS)]
+    name = S.ESTABELECIMENTOS_COLUMNS.index("nome_fantasia")
+    broken = F.concat(F.lit('"LOJA\n'), F.col("__k").cast("string"), F.lit(';\r\n"'))
+    fields[name] = F.when(F.col("__k") % BREAK_MOD == BREAK_REM, broken).otherwise(fields[name])
+    control = F.col("__k") % CONTROL_MOD == CONTROL_REM
+    fields[0] = F.when(control, F.concat(F.lit("\u0000\u0001"), fields[0])).otherwise(fields[0])
+    fields[1] = F.when(control, F.lit("\u0000")).otherwise(fields[1])
     line = (
         F.when(F.col("__k") % MALFORMED_SHORT_MOD == MALFORMED_SHORT_REM, F.concat_ws(";", *fields[:-3]))
         .when(F.col("__k") % MALFORMED_LONG_MOD == MALFORMED_LONG_REM, F.concat_ws(";", *fields, F.lit("X"), F.lit("Y")))
@@ -472,6 +484,8 @@ def q_csv_malformed(spark, sf):
         F.count(F.lit(1)).alias("n_ok"),
         F.sum(F.when(F.col("nome_fantasia").contains('"') & F.col("nome_fantasia").contains(";"), 1).otherwise(0)).cast("bigint").alias("n_quoted"),
         F.sum(F.when(F.col(S.ESTABELECIMENTOS_COLUMNS[0]) == "", 1).otherwise(0)).cast("bigint").alias("n_blank_first"),
+        F.sum(F.when(F.col("nome_fantasia").rlike("\\ALOJA\n[0-9]+;\r\n\\z"), 1).otherwise(0)).cast("bigint").alias("n_breaks"),
+        F.sum(F.when(F.col(S.ESTABELECIMENTOS_COLUMNS[0]).startswith("\u0000\u0001") & (F.col(S.ESTABELECIMENTOS_COLUMNS[1]) == "\u0000"), 1).otherwise(0)).cast("bigint").alias("n_control"),
     )
     bad = scan.malformed.agg(F.count(F.lit(1)).alias("n_malformed"))
     return Q.one_row(ok, bad)
@@ -578,9 +592,10 @@ def q_publish_rejected(spark, sf):
 
 @register("stream_intake")
 def q_stream_intake(spark, sf):
-    """INC2: establishments land as daily registry CSV files (two days); the stream
-    maps each micro-batch against the static company tables; a third run with
-    nothing new adds nothing."""
+    """INC2: establishments land as daily registry CSV files (two days, some street names
+    with quoted line breaks, malformed lines beside them); the stream maps each micro-batch
+    against the static company tables; the first day's files that land again under another
+    name add nothing, nor does a run with nothing new."""
     from prospecta.schema import ESTABELECIMENTOS_COLUMNS
 
     landing = scratch_path(spark, "stream-landing")
@@ -601,7 +616,10 @@ def q_stream_intake(spark, sf):
         return valid
 
     early = F.coalesce(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"), F.lit(False))
-    for day, cond in (("D1", early), ("D2", ~early)):
+    est = est.withColumn("complemento", F.when(F.col("__k") % 9 == 4, F.lit("SALA 1\nBLOCO; B")).otherwise(F.col("complemento")))
+    short = TD.table(spark, sf, "orders").where("o_orderkey % 50 = 3").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(";x")).alias("value"))
+    short.write.text(f"{landing}/D0")
+    for day, cond in (("D1", early), ("D2", ~early), ("D3", early)):
         I.write_registry_csv(est.where(cond).select(*ESTABELECIMENTOS_COLUMNS), f"{landing}/{day}")
         ST.run_available_registry_csv(spark, f"{landing}/*", ESTABELECIMENTOS_COLUMNS, ckpt, out, transform)
     ST.run_available_registry_csv(spark, f"{landing}/*", ESTABELECIMENTOS_COLUMNS, ckpt, out, transform)  # nothing new
@@ -697,23 +715,31 @@ def q_audit_export(spark, sf):
 
 @register("lookup_scan")
 def q_lookup_scan(spark, sf):
-    """SRC4: a ``codigo;descricao`` code table landed twice (a second, later file
-    repeats every code); one row per code, greatest description."""
+    """SRC4: a ``codigo;descricao`` code table landed twice (a second, later file repeats
+    every code, some descriptions with line breaks and control characters); one row per
+    code, greatest description."""
     n = TD.table(spark, sf, "nation")
     base = scratch_path(spark, "lookup")
     first = n.select(N.lpad_code("n_nationkey", 4).alias("codigo"), F.col("n_name").alias("descricao"))
-    second = n.select(F.when(F.col("n_nationkey") == 7, "").otherwise(N.lpad_code("n_nationkey", 4)).alias("codigo"), F.concat(F.lit("ZZ "), F.col("n_name")).alias("descricao"))
+    odd = F.when(F.col("n_nationkey") % 5 == 2, F.lit("\n\u0001;\u0000.")).otherwise(F.lit(""))
+    second = n.select(F.when(F.col("n_nationkey") == 7, "").otherwise(N.lpad_code("n_nationkey", 4)).alias("codigo"), F.concat(F.lit("ZZ "), F.col("n_name"), odd).alias("descricao"))
     I.write_registry_csv(first, f"{base}/a")
     I.write_registry_csv(second, f"{base}/b")
     return RG.read_lookup(spark, [f"{base}/a", f"{base}/b"])
 
 
+def _odd_name(name):
+    """The trade name with a line break and control characters after it, for odd keys."""
+    return F.when(name.rlike("[13579]$"), F.concat(name, F.lit("\n\u0001;\u0000."))).otherwise(name)
+
+
 @register("stage_counts")
 def q_stage_counts(spark, sf):
     """SNK2: per-entity row and malformed counts of a staged landing folder."""
     landing = scratch_path(spark, "stage-landing")
     I.write_registry_csv(TD.staging_empresas(spark, sf), f"{landing}/K3241.K03200Y0.D50812.EMPRECSV")
-    I.write_registry_csv(TD.staging_estabelecimentos(spark, sf), f"{landing}/K3241.K03200Y1.D50812.ESTABELE")
+    est = TD.staging_estabelecimentos(spark, sf)
+    I.write_registry_csv(est.withColumn("nome_fantasia", _odd_name(F.col("nome_fantasia"))), f"{landing}/K3241.K03200Y1.D50812.ESTABELE")
     I.write_registry_csv(TD.staging_simples(spark, sf), f"{landing}/F.K03200$W.SIMPLES.CSV.D50812")
     # a second, damaged part of the establishments: short lines
     short = TD.table(spark, sf, "orders").where("o_orderkey % 50 = 3").select(F.concat(F.lit(";"), F.col("o_orderkey").cast("string"), F.lit(";x")).alias("value"))

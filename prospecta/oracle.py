@@ -794,7 +794,8 @@ def _ledger_pending_sql() -> str:
 def _csv_latin1_sql() -> str:
     return (
         with_("staging_empresas")
-        + "SELECT trim(cnpj_basico) AS cnpj_basico, NULLIF(trim(razao_social), '') AS razao_social, "
+        + "SELECT trim(cnpj_basico) AS cnpj_basico, NULLIF(trim(razao_social), '') || CASE WHEN CAST(cnpj_basico AS INTEGER) % 29 = 7 "
+        "THEN chr(10) || 'FILIAL;' || chr(1) || 'A' || chr(0) || 'B' ELSE '' END AS razao_social, "
         "NULLIF(trim(natureza_juridica), '') AS natureza_juridica, NULLIF(trim(qualificacao_responsavel), '') AS qualificacao_responsavel, "
         "TRY_CAST(replace(NULLIF(trim(capital_social), ''), ',', '.') AS DECIMAL(18, 2)) AS capital_social, "
         "NULLIF(trim(porte_empresa), '') AS porte_empresa, NULLIF(trim(ente_federativo_responsavel), '') AS ente_federativo_responsavel "
@@ -806,8 +807,10 @@ def _csv_malformed_sql() -> str:
     bad = "(o_orderkey % 50 = 3 OR o_orderkey % 71 = 5)"
     return (
         f"SELECT count(*) FILTER (WHERE NOT {bad}) AS n_ok, "
-        f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 13 = 2) AS BIGINT) AS n_quoted, "
-        f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 19 = 1) AS BIGINT) AS n_blank_first, "
+        f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 13 = 2 AND o_orderkey % 11 <> 3) AS BIGINT) AS n_quoted, "
+        f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 19 = 1 AND o_orderkey % 17 <> 4) AS BIGINT) AS n_blank_first, "
+        f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 11 = 3) AS BIGINT) AS n_breaks, "
+        f"CAST(count(*) FILTER (WHERE NOT {bad} AND o_orderkey % 17 = 4) AS BIGINT) AS n_control, "
         f"count(*) FILTER (WHERE {bad}) AS n_malformed FROM orders"
     )
 
@@ -1035,8 +1038,9 @@ def queries_batch2() -> dict[str, str]:
         "score_breakdown": _breakdown_sql(),
         "audit_append": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
         "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events",
-        "lookup_scan": f"SELECT {_p('n_nationkey', 4)} AS codigo, CASE WHEN n_nationkey = 7 THEN n_name ELSE 'ZZ ' || n_name END AS descricao FROM nation "
-        "UNION ALL SELECT '' AS codigo, 'ZZ ' || n_name AS descricao FROM nation WHERE n_nationkey = 7",
+        "lookup_scan": f"SELECT {_p('n_nationkey', 4)} AS codigo, CASE WHEN n_nationkey = 7 THEN n_name ELSE 'ZZ ' || n_name END "
+        "|| CASE WHEN n_nationkey % 5 = 2 AND n_nationkey <> 7 THEN chr(10) || chr(1) || ';' || chr(0) || '.' ELSE '' END AS descricao FROM nation "
+        "UNION ALL SELECT '' AS codigo, 'ZZ ' || n_name || chr(10) || chr(1) || ';' || chr(0) || '.' AS descricao FROM nation WHERE n_nationkey = 7",
         "stage_counts": "SELECT 'EMPRESAS' AS entidade, count(*) AS n_linhas, CAST(0 AS BIGINT) AS n_malformadas, CAST(0 AS BIGINT) AS n_guardadas FROM customer "
         "UNION ALL SELECT 'ESTABELECIMENTOS', count(*), count(*) FILTER (WHERE o_orderkey % 50 = 3), count(*) FILTER (WHERE o_orderkey % 50 = 3) FROM orders "
         "UNION ALL SELECT 'SIMPLES', count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM supplier",

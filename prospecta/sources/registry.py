@@ -1,8 +1,7 @@
 """Readers for registry dumps.
 
-* SRC1/SRC2 headerless latin-1 ``;`` files bound by position, malformed rows kept
-  apart (PERMISSIVE + corrupt-record column; never DROPMALFORMED, whose counts change
-  with column pruning).
+* SRC1/SRC2 headerless latin-1 ``;`` files bound by position, malformed records kept
+  apart; quoted line breaks and control characters stay (``sources.records``).
 * SRC3 headered UTF-8 files bound by header *name*, one scan per different header.
 * SRC4 ``codigo;descricao`` lookups, SRC5 staged parquet, SRC6 active version,
   SRC8 opt-out CSV, SRC9 file -> entity routing, SRC10 probe of an unknown CSV.
@@ -24,6 +23,7 @@ from prospecta import schema as S
 from prospecta.functions import normalize as N
 from prospecta.operators.windows import keep_first
 from prospecta.session import rows_df
+from prospecta.sources.records import read_records
 
 CORRUPT = "_corrupt_record"
 BR_CSV_OPTIONS = {
@@ -55,31 +55,28 @@ class Scan:
 def read_positional_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], **options) -> Scan:
     """SRC1 + SRC2: headerless ``;`` CSV, all columns text, bound by position.
 
-    Doubled quotes decode to one quote (``escape='"'``); quoted ``;`` stays in the
-    field; blank lines are skipped; rows with too few or too many fields go to
-    ``malformed`` (and are counted, never fatal). Empty fields become ``''`` as in
-    the raw files; rows and malformed lines together are all non-blank lines."""
+    Doubled quotes decode to one quote; quoted ``;`` and line breaks stay in the field;
+    empty lines are skipped; records with too few or too many fields go to ``malformed``
+    (and are counted, never fatal). Empty fields become ``''`` as in the raw files; rows
+    and malformed records together are all records."""
     rows = positional_rows(spark, paths, columns, **options)
     ok = rows.where(F.col(CORRUPT).isNull()).select(*columns)
     bad = rows.where(F.col(CORRUPT).isNotNull()).select(F.col(columns[0]).alias("campo0"), F.col(CORRUPT).alias("linha"))
     return Scan(ok, bad)
 
 
-def positional_rows(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], **options) -> DataFrame:
-    """Every non-blank line: the layout's columns (blank fields are ``''``) and the raw
-    text of a line that does not fit (``CORRUPT``, else NULL).
-
-    The scan takes whole lines and ``from_csv`` parses each with all its fields, so what a
-    query selects can neither hide a malformed line nor lose one whose first field is
-    blank, and no session setting is touched."""
+def positional_rows(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], *, file_column: str | None = None, **options) -> DataFrame:
+    """Every record that is not empty: the layout's columns (blank fields are ``''``) and the
+    raw text of one that does not fit (``CORRUPT``, else NULL). Quoted line breaks and
+    control characters stay in their fields, see ``sources.records``; all fields are cut
+    before any is selected, so what a query reads cannot hide a malformed record.
+    ``file_column`` names a further column for the file that a record stands in."""
     opts = {**BR_CSV_OPTIONS, **options}
-    scan = {"encoding": opts["encoding"], "sep": "\u0001", "quote": "", "escape": ""}  # one field: the line
-    lines = spark.read.schema("value string").options(**scan).csv(paths if isinstance(paths, str) else list(paths))
-    parse = {k: opts[k] for k in ("sep", "quote", "escape", "mode", "columnNameOfCorruptRecord")}
-    parse |= {"nullValue": "\u0000", "emptyValue": ""}
-    ddl = ", ".join(f"`{f.name}` string" for f in text_schema(columns))
-    rows = lines.select(F.from_csv("value", ddl, parse).alias("r"))
-    return rows.select(*[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in columns], F.col(f"r.{CORRUPT}").alias(CORRUPT))
+    records = read_records(spark, paths, opts["encoding"], opts["sep"])
+    fits = ~F.col("reject") & (F.size("fields") == len(columns))
+    fields = [F.coalesce(F.get("fields", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)]
+    origin = [F.col("file").alias(file_column)] if file_column else []
+    return records.select(*fields, F.when(~fits, F.col("value")).alias(CORRUPT), *origin)
 
 
 def read_lookup(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:

@@ -273,3 +273,31 @@ def test_publish_if_new(spark, scratch):
     dup = LG.publish_if_new(spark, ledger, root, "BR_RECEITA", "BR", "2024-06", lambda c: leads(spark, 2, "BR", dup=True))
     assert dup.success and dup.activated is False  # quality rejected: pointer kept
     assert PB.read_active(spark, root).count() == 2
+
+
+def test_registry_intake_takes_each_content_once(spark, scratch):
+    """Files that land again, in the same or a later batch, add nothing; one that differs in
+    a repeated line is new; rejected records are kept apart; quoted line breaks stay."""
+    from prospecta.streaming import intake as ST
+
+    landing, out, ckpt = local(scratch("land")), scratch("out"), scratch("ckpt")
+    os.makedirs(landing)
+
+    def land(name, text):
+        with open(f"{landing}/{name}", "w", encoding="latin-1", newline="") as f:
+            f.write(text)
+
+    def run():
+        ST.run_available_registry_csv(spark, landing, ("a", "b"), ckpt, out, lambda df: df.withColumn("c", F.length("b")))
+        return sorted(tuple(r) for r in ST.read_output(spark, out).select("a", "b", "c").collect())
+
+    land("one.csv", '1;"x\ny"\n2;z\nbroken\n')
+    land("one-again.csv", '2;z\n1;"x\ny"\nbroken\n')
+    once = [("1", "x\ny", 3), ("2", "z", 1)]
+    assert run() == once
+    land("later.csv", '1;"x\ny"\n2;z\nbroken\n')
+    land("empty.csv", "")
+    assert run() == once
+    land("more.csv", '1;"x\ny"\n2;z\n2;z\nbroken\n')
+    assert run() == sorted(once + once + [("2", "z", 1)])
+    assert sorted(r.linha for r in ST.read_rejects(spark, out, ("a", "b")).collect()) == ["broken", "broken"]

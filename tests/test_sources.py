@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 from prospecta import schema as S
 from prospecta.sources import registry as R
@@ -75,3 +77,72 @@ def test_long_codes_are_not_cut(spark):
 
     got = spark.range(1).select(lpad_code(F.lit(1234567890), 8).alias("a"), lpad_code(F.lit(12), 8).alias("b")).first()
     assert tuple(got) == ("1234567890", "00000012")
+
+
+def expected_records(text):
+    import csv
+    import io
+
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=";", quotechar='"') if r]
+    return sorted(tuple(r) for r in rows if len(r) == 2), sum(len(r) != 2 for r in rows)
+
+
+def random_text(rng, mode):
+    picks = {
+        1: ["x", "", '"q"', '"a;b"', '"m\nn"', '"c""d"', '"\r\n"', 'u"v', '"z"z'],
+        2: ["x", "", '"q"', "a\x01b", "\x00z", "\x00", "\x01"],
+        3: ['"x"', '""', '"q"""', '"\n"', '"' + "long " * 10 + '"'],
+    }
+    out = ""
+    for _ in range(rng.randint(0, 60)):
+        if mode == 0:
+            line = "".join(rng.choice('ab;"\x00\x01é') for _ in range(rng.randint(0, 12)))
+        else:
+            line = ";".join(rng.choice(picks[mode]) for _ in range(rng.choice([2, 2, 2, 3])))
+        out += line + rng.choice(["\n", "\r\n"])
+    return out
+
+
+def test_records_over_lines_equal_the_csv_reader_across_splits(spark, scratch):
+    """Files cut into splits of some 100 bytes: the records are those of a reader that
+    goes through the file from its start."""
+    import random
+
+    rng = random.Random(11)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for t in range(8):
+            d, text = local(scratch("records")), random_text(rng, t % 4)
+            os.makedirs(d, exist_ok=True)
+            with open(f"{d}/f.csv", "w", encoding="latin-1", newline="") as f:
+                f.write(text)
+            scan = R.read_positional_csv(spark, f"{d}/f.csv", ("a", "b"))
+            good, bad = expected_records(text)
+            assert sorted(tuple(r) for r in scan.rows.collect()) == good, text
+            assert scan.malformed.count() == bad, text
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_control_characters_and_quoted_breaks_stay(spark, scratch):
+    d = local(scratch("ctl"))
+    p = write(f"{d}/x.csv", ["1;ab\x01cd", "\x014;kept", "\x00lead;\x00", '5;"x', 'y"', '"6";"a""', '"";;b"', "7;u\"v", '"8"z;w', " ", ""])
+    scan = R.read_positional_csv(spark, p, ("a", "b"))
+    assert {tuple(r) for r in scan.rows.collect()} == {("1", "ab\x01cd"), ("\x014", "kept"), ("\x00lead", "\x00"), ("5", "x\ny"), ("6", 'a"\n";;b'), ("7", 'u"v'), ("8z", "w")}
+    assert [r.linha for r in scan.malformed.collect()] == [" "]
+
+
+def test_a_quote_that_is_never_closed_rejects_its_lines_only(spark, scratch, monkeypatch):
+    from prospecta.sources import records
+
+    monkeypatch.setattr(records, "LONGEST", 200)
+    d = local(scratch("open"))
+    lines = ["1;a", '2;"b', 'c"', '3;"never closed'] + [f"{k};d" for k in range(100)]
+    p = write(f"{d}/x.csv", lines)
+    write(f"{d}/y.csv", ["8;fine"])
+    scan = R.read_positional_csv(spark, [p, f"{d}/y.csv"], ("a", "b"))
+    assert sorted(tuple(r) for r in scan.rows.collect()) == [("1", "a"), ("2", "b\nc"), ("8", "fine")]
+    assert scan.malformed.count() == 101
