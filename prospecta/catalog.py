@@ -221,6 +221,12 @@ def q_tam_cube(spark, sf):
     return A.tam_cube(_leads(spark, sf), PR.CRIT_PREVIEW)
 
 
+@register("tam_cube_companies")
+def q_tam_cube_companies(spark, sf):
+    """Companies, not establishments, for every combination of the dimensions."""
+    return A.tam_cube_companies(_leads(spark, sf), PR.CRIT_PREVIEW)
+
+
 @register("compliance_panel")
 def q_compliance_panel(spark, sf):
     leads = _leads(spark, sf)
@@ -254,7 +260,7 @@ def q_gate_optout(spark, sf):
 @register("gate_full")
 def q_gate_full(spark, sf):
     leads = _leads(spark, sf)
-    return G.apply_gate(leads, _optout(spark, sf, leads), observe=False).df
+    return G.apply_gate(leads, _optout(spark, sf, leads)).df
 
 
 @register("gate_report")
@@ -304,13 +310,14 @@ def q_score_topk(spark, sf):
 # Sources, sinks, publish, export, audit, retention, enrichment, demo, ledger, stream
 # ===================================================================================
 
-from datetime import datetime  # noqa: E402
+from datetime import UTC, datetime  # noqa: E402
 
 from prospecta.operators import demo as D  # noqa: E402
 from prospecta.operators import enrich as E  # noqa: E402
 from prospecta.plans import audit as AU  # noqa: E402
 from prospecta.plans import export as X  # noqa: E402
 from prospecta.plans import ledger as LG  # noqa: E402
+from prospecta.plans import optout as OO  # noqa: E402
 from prospecta.plans import publish as PB  # noqa: E402
 from prospecta.plans import retention as RT  # noqa: E402
 from prospecta.session import rows_df, scratch_path  # noqa: E402
@@ -322,6 +329,10 @@ def _ts(s: str) -> datetime:
     return datetime.fromisoformat(s)
 
 
+def _utc(s: str) -> datetime:
+    return _ts(s).replace(tzinfo=UTC)
+
+
 @register("opencnpj_canonical")
 def q_opencnpj_canonical(spark, sf):
     valid, _ = M.enforce_contract(M.opencnpj_to_canonical(TD.opencnpj_payloads(spark, sf)))
@@ -375,6 +386,37 @@ def q_optout_remove(spark, sf):
     return G.optout_remove(_optout_table(spark, sf), email="contato16@empresa16.com.br")
 
 
+def _stored_optout(spark, sf) -> str:
+    """The opt-out list derived from leads, registered into a stored list."""
+    root = scratch_path(spark, "optout-list")
+    OO.add(spark, root, _optout_table(spark, sf), now=_utc(PR.OPTOUT_AT[0]))
+    return root
+
+
+@register("optout_add_stored")
+def q_optout_add_stored(spark, sf):
+    """Rows registered into the stored list at a later time, some of them there already."""
+    root = _stored_optout(spark, sf)
+    fresh = _leads(spark, sf).where(F.lower("email").startswith(PR.OPTOUT_ADD_EMAIL_PREFIX)).select(F.lit(None).cast("string").alias("id_estab"), "email", F.lit(" opt-out novo ").alias("motivo"))
+    again = OO.read_list(spark, root).select("id_estab", F.upper("email").alias("email"), F.lit("repetido").alias("motivo"))
+    n = OO.add(spark, root, fresh.unionByName(again), now=_utc(PR.OPTOUT_AT[1]))
+    return OO.read_list(spark, root).withColumn("n_novos", F.lit(n).cast("bigint"))
+
+
+@register("optout_remove_stored")
+def q_optout_remove_stored(spark, sf):
+    """Every row with one of the e-mails leaves the stored list, one of them is
+    registered again; with the counts of the removal, of the same once more, and of one
+    from a list that was never written."""
+    root = _stored_optout(spark, sf)
+    gone = _leads(spark, sf).where(F.lower("email").startswith(PR.OPTOUT_REMOVE_EMAIL_PREFIX)).select(F.lit("").alias("id_estab"), "email")
+    n = [OO.remove_many(spark, root, gone), OO.remove_many(spark, root, gone), OO.remove(spark, scratch_path(spark, "no-list"), id_estab="1")]
+    back = gone.agg(F.min(F.lower("email")).alias("email")).where("email IS NOT NULL").withColumn("motivo", F.lit("de novo"))
+    OO.add(spark, root, back, now=_utc(PR.OPTOUT_AT[1]))
+    names = ("n_removidos", "n_de_novo", "n_sem_lista")
+    return OO.read_list(spark, root).select("*", *[F.lit(v).cast("bigint").alias(c) for v, c in zip(n, names)])
+
+
 @register("audit_query")
 def q_audit_query(spark, sf):
     log = AU.events_as_log(TD.table(spark, sf, "events"))

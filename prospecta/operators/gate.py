@@ -4,43 +4,54 @@ G1 hard exclusion -> G2 keep-first per ``id_estab`` -> G3 keep-first per e-mail
 domain -> G4 opt-out (by id or by e-mail), plus G5 telescoping counts and G6/G7
 opt-out list maintenance.
 
-Plan shape (three exchanges of the leads side at most): two keep-first windows on
-different keys, each preceded by a partial WindowGroupLimit so a hot key - a
-free-mail domain holding a third of the rows - sends at most one row per map task;
-the opt-out-by-id mark is joined on the G2 key, reusing that shuffle's partitioning
-(only the opt-out ids move); the opt-out-by-e-mail anti join shuffles once, or not at
-all when AQE sees a small opt-out side and broadcasts it. Rows with a NULL key always
-pass; they get a unique substitute key so they never pile up in one partition.
-Counts: ``apply_gate`` attaches ``Observation`` metrics, read after the job that
-writes the rows (single pass, informational: metrics of a re-run map stage could be
-applied twice); ``gate_report_exact`` builds the report from aggregates, exact under
-retries. Nothing but the counts reaches the driver.
+Plan shape: the gate decides on narrow rows (the order keys, which hold id and e-mail, and
+a digest of the row) and fetches whole rows once, at the end. Keep-first is an aggregate:
+the least of (order keys, digest) per id, then per domain, with partial aggregation, so a
+free-mail domain that holds a third of the rows sends one narrow row per map task. The
+opt-out-by-id mark is joined on the key of the first aggregate, reusing its partitioning
+(only the opt-out ids move); the opt-out-by-e-mail mark shuffles once, or not at all when
+AQE sees a small opt-out side and broadcasts it. Rows without an id are keyed by their
+digest and counted, so copies of them all pass; no NULL key gathers in one task. The
+reports need no digest: rows that agree on the order keys count the same whichever wins.
+Counts come from aggregates (``gate_report_exact``), exact where lost executors make map
+stages run again, unlike observed metrics. Nothing but the counts reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospecta.functions import normalize as N
 from prospecta.operators.keys import split_key
 from prospecta.operators.windows import keep_first
-from prospecta.session import rows_df
 
-DEFAULT_GATE_ORDER: tuple[str, ...] = ("razao_social", "id_estab")
+DEFAULT_GATE_ORDER: tuple[str, ...] = ("razao_social", "id_estab", "email")
 _KEY = "__gate_key"
-_SUP = "__optout_by_id"
+_DIGEST = "__digest"
 
 
-def gate_order(columns: Sequence[str], order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> list[Column]:
-    """Total order that stands for "arrival order": caller keys, then every other
-    column, all ascending NULLS FIRST. Rows equal on all columns are interchangeable."""
-    keys = [c for c in order_by if c in columns]
-    keys += [c for c in columns if c not in keys]
-    return [F.col(c).asc_nulls_first() for c in keys]
+def row_digest(df: DataFrame) -> Column:
+    """md5 of all columns written as text; numbers with a fraction count in hundredths, as
+    the contract stores them."""
+    texts = []
+    for c, kind in df.dtypes:
+        v = F.col(c)
+        if kind in ("double", "float") or kind.startswith("decimal"):
+            v = F.round(v * 100).try_cast("bigint")
+        elif kind.startswith("timestamp"):
+            v = F.date_format(v, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        texts.append(F.coalesce(v.cast("string"), F.lit("\u0001")))
+    return F.md5(F.concat_ws("\u0002", *texts).cast("binary"))
+
+
+def gate_order(df: DataFrame, order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> list[Column]:
+    """Total order that stands for "arrival order": the order keys, ascending NULLS FIRST,
+    then the row's digest. Rows equal on all columns are interchangeable."""
+    return [*(F.col(c).asc_nulls_first() for c in order_by), row_digest(df).asc()]
 
 
 def is_hard_excluded() -> Column:
@@ -71,7 +82,7 @@ def _domain_key() -> Column:
 def dedupe_id(df: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
     """First row per ``id_estab``; rows without an id all pass and stay out of the
     shuffle."""
-    order = list(order) if order is not None else gate_order(df.columns)
+    order = list(order) if order is not None else gate_order(df)
     return keep_first(df.where(~_no_id()), ["id_estab"], order).unionByName(df.where(_no_id()))
 
 
@@ -80,7 +91,7 @@ def dedupe_domain(df: DataFrame, order: Sequence[Column] | None = None) -> DataF
     case); rows without a usable domain all pass, each under its id, so that no key is
     hot; those without an id, too, stay out of the shuffle."""
     cols = df.columns
-    order = list(order) if order is not None else gate_order(cols)
+    order = list(order) if order is not None else gate_order(df)
     neither = _no_id() & N.email_domain("email").isNull()
     keyed = df.where(~neither).withColumn(_KEY, _domain_key())
     return keep_first(keyed, [_KEY], order).select(*cols).unionByName(df.where(neither))
@@ -125,26 +136,15 @@ def email_key(df: DataFrame) -> Column:
     return F.coalesce(split_key(F.lower(df["email"])), F.concat(F.lit("\u0000"), F.xxhash64(df["id_estab"], df["razao_social"]).cast("string")))
 
 
-@dataclass
+@dataclass(frozen=True)
 class GateRun:
-    """The gated rows plus the observations that fill in when an action runs."""
+    """The gated rows, and the one-row report as a frame of its own (read when asked for)."""
 
     df: DataFrame
-    observations: dict[str, Observation] = field(default_factory=dict)
+    counts: DataFrame
 
     def report(self) -> dict[str, int]:
-        got = {k: int(o.get.get("n") or 0) for k, o in self.observations.items()}
-        parts = ("", "_no_id", "_neither")
-        n = {k: sum(got[f"{k}{p}"] for p in parts) for k in ("in", "hard")} | {k: got[k] for k in ("domain", "out")}
-        n["id"] = got["id"] + sum(got[f"hard{p}"] for p in parts[1:])  # rows without an id pass G2
-        return {
-            "n_in": n["in"],
-            "n_hard_excluded": n["in"] - n["hard"],
-            "n_deduped_id_estab": n["hard"] - n["id"],
-            "n_deduped_email_domain": n["id"] - n["domain"],
-            "n_suppressed": n["domain"] - n["out"],
-            "n_out": n["out"],
-        }
+        return self.counts.first().asDict()
 
 
 REPORT_COLUMNS: tuple[str, ...] = (
@@ -155,165 +155,100 @@ REPORT_COLUMNS: tuple[str, ...] = (
     "n_suppressed",
     "n_out",
 )
-
-
-def _observed(df: DataFrame, obs: dict[str, Observation], name: str) -> DataFrame:
-    o = Observation(f"gate_{name}")
-    obs[name] = o
-    return df.observe(o, F.count(F.lit(1)).alias("n"))
-
-
-def apply_gate(
-    df: DataFrame,
-    optout: OptOut | None,
-    *,
-    order_by: Sequence[str] = DEFAULT_GATE_ORDER,
-    observe: bool = True,
-) -> GateRun:
+#: Rows left after G1, G2, G3 and G4, as counted by ``_stage_counts``.
+_STAGES = ("n_hard_", "n_id_", "n_domain_", "n_out_")
+
+
+def _decide(win: DataFrame, key: Column, optout: OptOut | None) -> DataFrame:
+    """G2 to G4 on narrow rows. ``win`` is a struct of what the order looks at, ``id_estab``
+    and ``email`` among it; ``key`` tells rows without an id apart. One row per group of
+    G3 comes back: its winner, the rows that it stands for after G1 (``c1``), G2 (``c2``)
+    and G3 (``c3``), and whether an opt-out removes it (``out``)."""
+    none = F.col("win.id_estab").isNull()
+    by_id = win.groupBy(F.when(~none, F.concat(F.lit("i"), "win.id_estab")).otherwise(F.concat(F.lit("n"), key)).alias("k"))
+    first = by_id.agg(F.min("win").alias("win"), F.count(F.lit(1)).alias("c1"))
+    marked = F.lit(False)
+    if optout is not None:
+        ids = optout.ids.select(F.concat(F.lit("i"), "__optout_id").alias("k"), F.lit(True).alias("__by_id"))
+        first, marked = first.join(ids, "k", "left"), F.coalesce("__by_id", F.lit(False))
+    domain = N.email_domain("win.email")
+    first = first.select("win", "k", "c1", F.when(none, F.col("c1")).otherwise(1).alias("c2"), marked.alias("out"), domain.alias("domain"))
+    group = F.coalesce("domain", F.concat(F.lit("\u0000"), "k")).alias(_KEY)
+    won = first.groupBy(group).agg(F.min(F.struct("win", "k", "out", "domain")).alias("w"), F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    c3 = F.when(F.col("w.win.id_estab").isNull() & F.col("w.domain").isNull(), F.col("c1")).otherwise(1)
+    won = won.select("w.win", "w.k", "w.out", "w.domain", "c1", "c2", c3.alias("c3"))
+    if optout is None:
+        return won
+    mails = optout.emails.select(split_key(F.col("__optout_email")).alias("__mail"))
+    own = F.coalesce(split_key(F.lower("win.email")), F.concat(F.lit("\u0000"), "k"))
+    won = won.withColumn("__own", own).join(mails, F.col("__own") == F.col("__mail"), "left")
+    return won.withColumn("out", F.col("out") | F.col("__mail").isNotNull()).drop("__own", "__mail")
+
+
+def _stage_counts() -> list[Column]:
+    left = F.when(F.col("out"), 0).otherwise(F.col("c3"))
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in zip(("c1", "c2", "c3", left), _STAGES)]
+
+
+def apply_gate(df: DataFrame, optout: OptOut | None, *, order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> GateRun:
     """G1 -> G2 -> G3 -> G4 in that order (an opted-out row can win its domain and
-    then be removed, taking the domain with it - the fixed order decides)."""
+    then be removed, taking the domain with it - the fixed order decides).
+
+    ``order_by`` must name ``id_estab`` and ``email``: they decide with the narrow rows."""
     cols = df.columns
-    order = gate_order(cols, order_by)
-    obs: dict[str, Observation] = {}
-    step = (lambda d, name: _observed(d, obs, name)) if observe else (lambda d, name: d)
-    # Rows without an id pass G2, those without a domain, too, pass G3. They are parted at
-    # the scan, so no substitute key is needed and each part is observed once.
-    no_domain = N.email_domain("email").isNull()
-    parts = {"": df.where(~_no_id()), "_no_id": df.where(_no_id() & ~no_domain), "_neither": df.where(_no_id() & no_domain)}
-    hard = {k: step(gate_hard(step(d, f"in{k}")), f"hard{k}") for k, d in parts.items()}
-    first = keep_first(hard[""], ["id_estab"], order)
-    if optout is not None:
-        # Opt-out by id is a per-row fact: mark it here, joined on the key the G2
-        # shuffle already partitions by (no extra exchange of the leads side), and
-        # drop marked rows only after G3, which keeps the fixed G1..G4 order.
-        first = first.join(optout.ids, first["id_estab"] == optout.ids["__optout_id"], "left")
-        first = first.select(*cols, F.col("__optout_id").isNotNull().alias(_SUP))
-    else:
-        first = first.withColumn(_SUP, F.lit(False))
-    rest = {k: hard[k].withColumn(_SUP, F.lit(False)) for k in ("_no_id", "_neither")}
-    keyed = step(first, "id").unionByName(rest["_no_id"]).withColumn(_KEY, _domain_key())
-    cur = keep_first(keyed, [_KEY], order).drop(_KEY).unionByName(rest["_neither"])
-    cur = step(cur, "domain").where(~F.col(_SUP)).select(*cols)
+    src = gate_hard(df).withColumn(_DIGEST, row_digest(df))
+    won = _decide(src.select(F.struct(*order_by, _DIGEST).alias("win")), F.col(f"win.{_DIGEST}"), optout)
+    neither = F.col("id_estab").isNull() & N.email_domain("email").isNull()
+    chosen = won.where(~F.col("out") & (F.col("win.id_estab").isNotNull() | F.col("domain").isNotNull())).select("k", F.col(f"win.{_DIGEST}").alias(_DIGEST))
+    # whole rows move once; equal rows are one before they do
+    k = F.coalesce(F.concat(F.lit("i"), "id_estab"), F.concat(F.lit("n"), _DIGEST)).alias("k")
+    full = src.where(~neither).groupBy(k, _DIGEST).agg(F.first(F.struct(*cols)).alias("row")).join(chosen, ["k", _DIGEST], "left_semi")
+    rest = gate_hard(df).where(neither)  # these pass G2 and G3
     if optout is not None:
-        cur = _drop_optout_emails(cur, optout)
-    return GateRun(step(cur, "out"), obs)
+        rest = _drop_optout_emails(rest, optout)
+    return GateRun(full.select("row.*").unionByName(rest), gate_report_exact(df, optout, order_by=order_by))
 
 
 def gate_report_exact(df: DataFrame, optout: OptOut | None, *, order_by: Sequence[str] = DEFAULT_GATE_ORDER) -> DataFrame:
-    """G5 report from aggregates only (exact even when executor loss re-runs map
-    stages, where observed metrics could be applied twice), in two aggregates:
-
-    * over the input: rows in, rows kept by G1, and rows kept by G2 - which is the
-      number of distinct non-NULL ids plus the NULL-id rows, so no window is needed;
-    * over the G3 output, with opt-outs marked (left joins on the distinct opt-out
-      keys) instead of removed: rows kept by G3, and rows also not opted out.
-
-    Each window runs once; the two one-row results are combined without a join."""
+    """G5 report from aggregates only (exact even when executor loss re-runs map stages,
+    where observed metrics could be applied twice): the rows in, and one pass of narrow
+    rows (order keys only) that counts what every stage leaves. The two one-row results
+    are combined without a join."""
     from prospecta.operators.quality import one_row
 
-    cols = df.columns
-    order = gate_order(cols, order_by)
-    keep = F.col("is_synthetic").isNull() | (F.col("is_synthetic") == F.lit(False))
-    keep = keep & (F.col("flag_difusao_restrita").isNull() | (F.col("flag_difusao_restrita") == F.lit(False)))
-    first = df.agg(
-        F.count(F.lit(1)).alias("n_in_"),
-        F.coalesce(F.sum(F.when(keep, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("n_hard_"),
-        (
-            F.count_distinct(F.when(keep, F.col("id_estab")))
-            + F.coalesce(F.sum(F.when(keep & F.col("id_estab").isNull(), 1).otherwise(0)), F.lit(0))
-        ).cast("bigint").alias("n_id_"),
-    )
-    # the windows carry what the order and the later steps read, nothing else
-    run = gate_hard(df)
-    no_domain = N.email_domain("email").isNull()
-    g2 = keep_first(run.where(~_no_id()), ["id_estab"], order)
-    if optout is not None:
-        g2 = g2.join(optout.ids, g2["id_estab"] == optout.ids["__optout_id"], "left").withColumn(_SUP, F.col("__optout_id").isNotNull())
-    else:
-        g2 = g2.withColumn(_SUP, F.lit(False))
-    g2 = g2.select(*cols, _SUP).unionByName(run.where(_no_id() & ~no_domain).withColumn(_SUP, F.lit(False)))
-    g3 = keep_first(g2.withColumn(_KEY, _domain_key()), [_KEY], order).select("id_estab", "razao_social", "email", _SUP)
-    g3 = g3.unionByName(run.where(_no_id() & no_domain).select("id_estab", "razao_social", "email", F.lit(False).alias(_SUP)))
-    if optout is not None:
-        g3 = g3.join(optout.emails, email_key(g3) == split_key(optout.emails["__optout_email"]), "left").withColumn("__sup_email", F.col("__optout_email").isNotNull())
-    else:
-        g3 = g3.withColumn("__sup_email", F.lit(False))
-    second = g3.agg(
-        F.count(F.lit(1)).alias("n_domain_"),
-        F.sum(F.when(~F.col(_SUP) & ~F.col("__sup_email"), 1).otherwise(0)).cast("bigint").alias("n_out_"),
-    )
-    t = one_row(first, second)
-    return t.select(
-        F.col("n_in_").alias("n_in"),
-        (F.col("n_in_") - F.col("n_hard_")).alias("n_hard_excluded"),
-        (F.col("n_hard_") - F.col("n_id_")).alias("n_deduped_id_estab"),
-        (F.col("n_id_") - F.col("n_domain_")).alias("n_deduped_email_domain"),
-        (F.col("n_domain_") - F.coalesce(F.col("n_out_"), F.lit(0))).alias("n_suppressed"),
-        F.coalesce(F.col("n_out_"), F.lit(0)).cast("bigint").alias("n_out"),
-    )
+    win = gate_hard(df).select(F.struct(*order_by).alias("win"))
+    key = F.concat_ws("\u0002", *[F.coalesce(F.col(f"win.{c}").cast("string"), F.lit("\u0001")) for c in order_by])
+    t = one_row(df.agg(F.count(F.lit(1)).alias("n_in_")), _decide(win, key, optout).agg(*_stage_counts()))
+    n = [F.col(c) for c in ("n_in_", *_STAGES)]
+    return t.select(*[x.alias(c) for x, c in zip([n[0], *(x - y for x, y in zip(n, n[1:])), n[-1]], REPORT_COLUMNS)])
 
 
 # -- G6 / G7: opt-out list maintenance -------------------------------------------------
 
 
-def optout_add(
-    existing: DataFrame,
-    new_rows: DataFrame,
-) -> DataFrame:
-    """Append opt-outs not already present as the exact (id, e-mail) pair.
-
-    ``new_rows`` has ``id_estab``, ``email`` and optional ``motivo``/``registrado_em``;
-    values are trimmed, e-mails lower-cased, rows with neither key are rejected by
-    the caller (see ``optout_add_one``)."""
-
-    def norm(df: DataFrame) -> DataFrame:
-        cols = set(df.columns)
-        return df.select(
-            F.coalesce(N.strip("id_estab"), F.lit("")).alias("id_estab"),
-            F.coalesce(F.lower(N.strip("email")), F.lit("")).alias("email"),
-            (F.coalesce(N.strip("motivo"), F.lit("")) if "motivo" in cols else F.lit("")).alias("motivo"),
-            (F.coalesce(N.strip("registrado_em"), F.lit("")) if "registrado_em" in cols else F.lit("")).alias(
-                "registrado_em"
-            ),
-        )
-
-    old = norm(existing)
-    new = norm(new_rows).where((F.col("id_estab") != "") | (F.col("email") != ""))
-    # Within one batch the same pair counts once (the first, by its text columns).
+def _optout_rows(df: DataFrame) -> DataFrame:
+    """The list's columns, trimmed, e-mails in lower case, missing ones blank."""
+    cols = set(df.columns)
+    text = lambda c: F.coalesce(N.strip(c), F.lit("")) if c in cols else F.lit("")
+    return df.select(text("id_estab").alias("id_estab"), F.lower(text("email")).alias("email"), text("motivo").alias("motivo"), text("registrado_em").alias("registrado_em"))
+
+
+def optout_fresh(existing: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """The new rows that the list doesn't hold as the exact (id, e-mail) pair, each pair
+    once (the first, by its text columns); rows with neither key are left out."""
+    new = _optout_rows(new_rows).where((F.col("id_estab") != "") | (F.col("email") != ""))
     new = keep_first(new, ["id_estab", "email"], [F.col("motivo"), F.col("registrado_em")])
-    fresh = new.join(old.select("id_estab", "email"), ["id_estab", "email"], "left_anti")
-    return old.unionByName(fresh)
-
-
-def optout_add_one(
-    existing: DataFrame,
-    *,
-    id_estab: str | None = None,
-    email: str | None = None,
-    motivo: str | None = None,
-    registrado_em: str | None = None,
-) -> tuple[DataFrame, bool]:
-    """G6 for one request: ``(new list, added?)``; neither key given -> ValueError.
-    Re-adding the exact same (id, e-mail) pair changes nothing."""
-    i = (id_estab or "").strip()
-    e = (email or "").strip().lower()
-    if not i and not e:
-        raise ValueError("give id_estab and/or email")
-    spark = existing.sparkSession
-    row = rows_df(
-        spark,
-        [(i, e, (motivo or "").strip(), registrado_em or "")],
-        "id_estab string, email string, motivo string, registrado_em string",
-    )
-    present = not existing.where(
-        (F.coalesce(N.strip(F.col("id_estab")), F.lit("")) == F.lit(i))
-        & (F.coalesce(F.lower(N.strip(F.col("email"))), F.lit("")) == F.lit(e))
-    ).isEmpty()
-    return optout_add(existing, row), not present
+    return new.join(_optout_rows(existing).select("id_estab", "email"), ["id_estab", "email"], "left_anti")
 
 
-def optout_remove(existing: DataFrame, id_estab: str | None = None, email: str | None = None) -> DataFrame:
-    """Drop every row matching the id **or** the e-mail (blank criteria ignored)."""
+def optout_add(existing: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """G6 on frames: the list with the fresh rows appended. ``plans.optout`` keeps the list
+    as a stored table and stamps the time of registration."""
+    return _optout_rows(existing).unionByName(optout_fresh(existing, new_rows))
+
+
+def optout_match(id_estab: str | None = None, email: str | None = None) -> Column:
+    """G7's predicate: the row has the id **or** the e-mail (blank criteria ignored)."""
     i = (id_estab or "").strip()
     e = (email or "").strip().lower()
     if not i and not e:
@@ -323,4 +258,9 @@ def optout_remove(existing: DataFrame, id_estab: str | None = None, email: str |
         cond = cond | (F.coalesce(N.strip("id_estab"), F.lit("")) == F.lit(i))
     if e:
         cond = cond | (F.coalesce(F.lower(N.strip("email")), F.lit("")) == F.lit(e))
-    return existing.where(~cond)
+    return cond
+
+
+def optout_remove(existing: DataFrame, id_estab: str | None = None, email: str | None = None) -> DataFrame:
+    """G7 on frames: drop every row that ``optout_match`` finds."""
+    return existing.where(~optout_match(id_estab, email))

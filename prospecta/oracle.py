@@ -272,9 +272,20 @@ cte(
     "leads",
 )
 
-_ORDER_FIRST = ", ".join(
-    f"{c} NULLS FIRST" for c in ["razao_social", "id_estab"] + [c for c in S.CANONICAL_COLUMNS if c not in ("razao_social", "id_estab")]
-)
+
+
+def _as_text(name: str, kind: str) -> str:
+    if kind == "double":
+        name = f"TRY_CAST(round({name} * 100) AS BIGINT)"
+    elif kind.startswith("timestamp"):
+        name = f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f')"
+    return f"coalesce(CAST({name} AS VARCHAR), chr(1))"
+
+
+#: Arrival order: the order keys, then the md5 of the row's text.
+_ORDER_FIRST = "razao_social NULLS FIRST, id_estab NULLS FIRST, email NULLS FIRST, md5(concat_ws(chr(2), " + ", ".join(
+    _as_text(n, t.simpleString()) for n, t in S.CANONICAL_FIELDS
+) + "))"
 _DOMAIN = "CASE WHEN contains(email, '@') THEN NULLIF(lower(trim(split_part(email, '@', -1))), '') END"
 
 cte("g_hard", "SELECT * FROM leads WHERE NOT (coalesce(is_synthetic, false) OR coalesce(flag_difusao_restrita, false))", "leads")
@@ -530,6 +541,9 @@ def queries() -> dict[str, str]:
         "tam_cube": L
         + f"SELECT cod_atividade, regiao, porte, CAST(GROUPING(cod_atividade, regiao, porte) AS BIGINT) AS grouping_id, count(*) AS n "
         f"FROM leads WHERE {crit_sql(PR.CRIT_PREVIEW)} GROUP BY CUBE (cod_atividade, regiao, porte)",
+        "tam_cube_companies": L
+        + "SELECT cod_atividade, regiao, porte, CAST(GROUPING(cod_atividade, regiao, porte) AS BIGINT) AS grouping_id, count(DISTINCT pais || '|' || id_legal) AS n_empresas, count(*) AS n "
+        f"FROM leads WHERE {crit_sql(PR.CRIT_PREVIEW)} GROUP BY CUBE (cod_atividade, regiao, porte)",
         "compliance_panel": _panel_sql(),
         "gate_hard": with_("g_hard") + "SELECT * FROM g_hard",
         "gate_id": with_("g_id") + "SELECT * FROM g_id",
@@ -733,6 +747,36 @@ def _optout_remove_sql() -> str:
     )
 
 
+def _iso(at: str) -> str:
+    return "'" + at.replace(" ", "T") + "+00:00'"
+
+
+def _stored() -> str:
+    """The list as registered at the first time: each pair once."""
+    return f"stored AS (SELECT DISTINCT id_estab, email, motivo, {_iso(PR.OPTOUT_AT[0])} AS registrado_em FROM existing)"
+
+
+def _optout_add_stored_sql() -> str:
+    return (
+        with_("leads")
+        + f", {_supp_existing()}, {_stored()}, fresh AS (SELECT DISTINCT '' AS id_estab, lower(trim(email)) AS email, 'opt-out novo' AS motivo, {_iso(PR.OPTOUT_AT[1])} AS registrado_em "
+        f"FROM leads l WHERE starts_with(lower(email), '{PR.OPTOUT_ADD_EMAIL_PREFIX}') "
+        "AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.id_estab = '' AND s.email = lower(trim(l.email)))) "
+        "SELECT *, (SELECT count(*) FROM fresh) AS n_novos FROM (SELECT * FROM stored UNION ALL SELECT * FROM fresh)"
+    )
+
+
+def _optout_remove_stored_sql() -> str:
+    gone = f"starts_with(email, '{PR.OPTOUT_REMOVE_EMAIL_PREFIX}')"
+    return (
+        with_("leads")
+        + f", {_supp_existing()}, {_stored()}, again AS (SELECT '' AS id_estab, min(lower(email)) AS email, 'de novo' AS motivo, {_iso(PR.OPTOUT_AT[1])} AS registrado_em "
+        f"FROM leads WHERE starts_with(lower(email), '{PR.OPTOUT_REMOVE_EMAIL_PREFIX}')) "
+        f"SELECT *, (SELECT count(*) FROM stored WHERE {gone}) AS n_removidos, CAST(0 AS BIGINT) AS n_de_novo, CAST(0 AS BIGINT) AS n_sem_lista "
+        f"FROM (SELECT * FROM stored WHERE NOT {gone} UNION ALL SELECT * FROM again WHERE email IS NOT NULL)"
+    )
+
+
 def _epoch(c: str) -> str:
     return f"(CAST(epoch_us({c}) AS DOUBLE) / 1000000.0)"
 
@@ -989,6 +1033,8 @@ def queries_batch2() -> dict[str, str]:
         "sitemap_ids": _sitemap_sql(),
         "optout_add": _optout_add_sql(),
         "optout_remove": _optout_remove_sql(),
+        "optout_add_stored": _optout_add_stored_sql(),
+        "optout_remove_stored": _optout_remove_stored_sql(),
         "audit_query": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
         "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events "
         f"WHERE event_type = '{PR.AUDIT_OPERACAO}' AND ts >= TIMESTAMP '{PR.AUDIT_DESDE}' AND ts <= TIMESTAMP '{PR.AUDIT_ATE}'",

@@ -46,3 +46,7 @@ ENRICH_AT = "2024-02-01 12:00:00"
 SITEMAP_N = 50
 DEMO_SEED = 42
 OPTOUT_ADD_EMAIL_PREFIX = "contato2"
+
+# Stored opt-out list: when its rows are registered, and those that are removed again.
+OPTOUT_AT = ("2026-01-05 08:00:00", "2026-02-06 09:30:00")
+OPTOUT_REMOVE_EMAIL_PREFIX = "contato16"

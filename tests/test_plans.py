@@ -226,14 +226,34 @@ def test_stream_intake_is_incremental(spark, scratch):
     assert ST.read_output(spark, out).count() == 15
 
 
-def test_optout_add_one(spark):
-    existing = spark.createDataFrame([("1", "", "m", "")], "id_estab string, email string, motivo string, registrado_em string")
-    new, added = G.optout_add_one(existing, email=" X@Y.com ", motivo="pedido")
-    assert added and new.count() == 2
-    again, added2 = G.optout_add_one(new, email="x@y.com")
-    assert not added2 and again.count() == 2
-    with pytest.raises(ValueError):
-        G.optout_add_one(existing)
+def test_stored_optout_list(spark, scratch):
+    """Registered, stamped, counted; a missing list is empty; unchanged lists get no new
+    version; a removed row can be registered again; older versions stay readable."""
+    from prospecta.plans import optout as OO
+
+    root = scratch("optout")
+    t = [datetime(2026, 1, d, 8, tzinfo=UTC) for d in (1, 2, 3)]
+    assert OO.remove(spark, root, id_estab="9") == 0 and OO.read_list(spark, root).count() == 0
+    assert PB.active_version(root) is None
+    assert OO.add_one(spark, root, email=" X@Y.com ", motivo=" pedido ", now=t[0])
+    first = PB.active_version(root)
+    assert not OO.add_one(spark, root, email="x@y.com", now=t[1]) and PB.active_version(root) == first
+    assert OO.add_one(spark, root, id_estab="7", email="x@y.com", now=t[1])
+    assert OO.add_one(spark, root, id_estab="7", now=t[1])
+    assert sorted(map(tuple, OO.read_list(spark, root).collect())) == [
+        ("", "x@y.com", "pedido", "2026-01-01T08:00:00+00:00"), ("7", "", "", "2026-01-02T08:00:00+00:00"), ("7", "x@y.com", "", "2026-01-02T08:00:00+00:00"),
+    ]
+    assert OO.remove(spark, root, email="X@y.com ") == 2 and OO.remove(spark, root, email="x@y.com") == 0
+    assert OO.add_one(spark, root, email="x@y.com", motivo="de novo", now=t[2])
+    assert ("", "x@y.com", "de novo", "2026-01-03T08:00:00+00:00") in [tuple(r) for r in OO.read_list(spark, root).collect()]
+    assert spark.read.parquet(PB.version_dir(root, first)).count() == 1
+    batch = spark.createDataFrame([("8", None), ("", "z@z"), ("", " "), ("8", "")], "id_estab string, email string")
+    assert OO.add(spark, root, batch, now=t[2]) == 2
+    assert OO.remove_many(spark, root, batch) == 2 and OO.read_list(spark, root).count() == 2
+    assert OO.load(spark, root).ids.count() == 1
+    for f in (OO.add_one, OO.remove):
+        with pytest.raises(ValueError):
+            f(spark, root, id_estab=" ")
 
 
 def test_enrich_job_counts_found_and_audits(spark, scratch):
