@@ -21,8 +21,11 @@ from prospecta.operators import mapping as M
 from prospecta.operators import quality as Q
 from prospecta.operators import score as SC
 from prospecta.operators import segment as SG
+from prospecta.plans import buckets as BK
 from prospecta.plans import ingest as I
+from prospecta.plans import search as SE
 from prospecta.plans import warehouse as W
+from prospecta.session import scratch_path
 from prospecta.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +62,15 @@ def q_br_joined(spark, sf):
     return I.br_joined(spark, sf)
 
 
+@register("br_joined_bucketed")
+def q_br_joined_bucketed(spark, sf):
+    """J1 from tables staged in buckets by company; companies with more than a few
+    establishments are told as heavy here, so that both ways are taken."""
+    tables = {"ESTABELECIMENTOS": TD.staging_estabelecimentos(spark, sf), "EMPRESAS": TD.staging_empresas(spark, sf), "SIMPLES": TD.staging_simples(spark, sf)}
+    staged = BK.stage_buckets(spark, tables, scratch_path(spark, "buckets"), buckets=8, heavy=PR.HEAVY_COMPANY)
+    return BK.br_joined(spark, staged.root, TD.lookup_municipio(spark, sf), TD.lookup_natureza_juridica(spark, sf))
+
+
 @register("br_canonical")
 def q_br_canonical(spark, sf):
     return I.br_mapped(spark, sf).valid
@@ -154,7 +166,7 @@ def q_lead_point_lookup(spark, sf):
 
 @register("text_search")
 def q_text_search(spark, sf):
-    return SG.text_search(SG.export_query(_leads(spark, sf), PR.CRIT_DEFAULT, order_by=None), PR.SEARCH_TEXT)
+    return SE.text_search(SG.export_query(_leads(spark, sf), PR.CRIT_DEFAULT, order_by=None), W.search_index(spark, sf), PR.SEARCH_TEXT)
 
 
 # -- staging sanity (A1-A5) -------------------------------------------------------------
@@ -320,7 +332,7 @@ from prospecta.plans import ledger as LG  # noqa: E402
 from prospecta.plans import optout as OO  # noqa: E402
 from prospecta.plans import publish as PB  # noqa: E402
 from prospecta.plans import retention as RT  # noqa: E402
-from prospecta.session import rows_df, scratch_path  # noqa: E402
+from prospecta.session import rows_df  # noqa: E402
 from prospecta.sources import registry as RG  # noqa: E402
 from prospecta.streaming import intake as ST  # noqa: E402
 

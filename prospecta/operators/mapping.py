@@ -209,12 +209,16 @@ def br_joined(
     simples: DataFrame | None,
     municipio: DataFrame,
     natureza: DataFrame,
+    *,
+    company_first: bool = True,
 ) -> DataFrame:
     """Raw (all-text) staging tables -> one typed row per establishment.
 
     Same column rules as the registry SQL: ``NULLIF(x, '')`` without trimming,
     ``yyyyMMdd`` dates with 0/00000000/blank -> NULL, comma decimals -> decimal(18,2).
     ``simples`` is optional: it adds two columns the canonical mapping ignores.
+    ``company_first=False`` joins the two company-side tables one after the other, for
+    inputs that need no shuffle (buckets, broadcasts).
     """
     e = estab.alias("e")
     em = empresas.select(
@@ -235,6 +239,8 @@ def br_joined(
             F.col("opcao_pelo_simples").alias("s_opcao_pelo_simples"),
             F.col("opcao_pelo_mei").alias("s_opcao_pelo_mei"),
         )
+        if not company_first:
+            j = e.join(em, F.col("e.cnpj_basico") == F.col("em_cnpj_basico"), "left").join(s, F.col("e.cnpj_basico") == F.col("s_cnpj_basico"), "left")
         company = em.join(s, em["em_cnpj_basico"] == s["s_cnpj_basico"], "full_outer").select(
             F.coalesce("em_cnpj_basico", "s_cnpj_basico").alias("c_key"), *[c for c in em.columns if c != "em_cnpj_basico"],
             "s_opcao_pelo_simples", "s_opcao_pelo_mei",
@@ -244,7 +250,8 @@ def br_joined(
             F.col("em_cnpj_basico").alias("c_key"), *[c for c in em.columns if c != "em_cnpj_basico"],
             F.lit(None).cast("string").alias("s_opcao_pelo_simples"), F.lit(None).cast("string").alias("s_opcao_pelo_mei"),
         )
-    j = e.join(company, F.col("e.cnpj_basico") == F.col("c_key"), "left")
+    if company_first or simples is None:
+        j = e.join(company, F.col("e.cnpj_basico") == F.col("c_key"), "left")
     # Code tables: Spark broadcasts them by their bytes (file statistics, or AQE's
     # runtime sizes); nothing is counted while the plan is built.
     mun = municipio.select(F.col("codigo").alias("mun_codigo"), F.col("descricao").alias("mun_descricao"))

@@ -500,6 +500,7 @@ def queries() -> dict[str, str]:
     R = with_("real_leads")
     out: dict[str, str] = {
         "br_joined": with_("br_joined") + "SELECT * FROM br_joined",
+        "br_joined_bucketed": with_("br_joined") + "SELECT * FROM br_joined",
         "br_canonical": with_("br_valid") + "SELECT * FROM br_valid",
         "br_rejects": with_("br_mapped") + f"SELECT id_legal, id_estab, {_REASON} AS reject_reason FROM br_mapped WHERE NOT ({_VALID})",
         "fr_canonical": with_("fr_valid") + "SELECT * FROM fr_valid",

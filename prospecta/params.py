@@ -50,3 +50,6 @@ OPTOUT_ADD_EMAIL_PREFIX = "contato2"
 # Stored opt-out list: when its rows are registered, and those that are removed again.
 OPTOUT_AT = ("2026-01-05 08:00:00", "2026-02-06 09:30:00")
 OPTOUT_REMOVE_EMAIL_PREFIX = "contato16"
+
+# Staging in buckets: companies with more establishments are kept out of them.
+HEAVY_COMPANY = 14

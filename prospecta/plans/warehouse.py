@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from prospecta import schema as S
 from prospecta.plans import ingest as I
+from prospecta.plans import publish as PB
+from prospecta.plans import search as SE
 from prospecta.session import scratch_path
 from prospecta.sources import testdata as TD
 
@@ -43,10 +45,15 @@ def _still_there(spark: SparkSession, p: "Published") -> bool:
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> str:
-    """Files of the input tables with their sizes and times: changed inputs are noticed."""
+    """Files of the input tables, those in a table's folder too, with their sizes and times:
+    changed inputs are noticed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
-    return ";".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in folder.getFileSystem(conf).listStatus(folder)))
+    found, files = folder.getFileSystem(conf).listFiles(folder, True), []
+    while found.hasNext():
+        x = found.next()
+        files.append(f"{x.getPath()}:{x.getLen()}:{x.getModificationTime()}")
+    return ";".join(sorted(files))
 
 
 def publish_leads(spark: SparkSession, sf_dir: str, *, force: bool = False) -> Published:
@@ -56,7 +63,8 @@ def publish_leads(spark: SparkSession, sf_dir: str, *, force: bool = False) -> P
         return _PUBLISHED[k]
     real = scratch_path(spark, "leads")
     demo = scratch_path(spark, "demo-leads")
-    I.leads(spark, sf_dir, with_demo=False).write.mode("overwrite").partitionBy("pais").parquet(real)
+    rows = I.leads(spark, sf_dir, with_demo=False)
+    PB.clustered(rows).write.mode("overwrite").options(**PB.lookup_options()).partitionBy("pais").parquet(real)
     TD.demo_leads_from_part(spark, sf_dir).write.mode("overwrite").partitionBy("pais").parquet(demo)
     _PUBLISHED[k] = Published(real, demo)
     return _PUBLISHED[k]
@@ -79,6 +87,17 @@ def demo_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, publish_leads(spark, sf_dir).demo)
 
 
+_INDEXED: dict[str, SE.Index] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> SE.Index:
+    """The text-search index of the published version, built once per version."""
+    p = publish_leads(spark, sf_dir)
+    if p.real not in _INDEXED:
+        _INDEXED[p.real] = SE.build(spark, leads(spark, sf_dir))
+    return _INDEXED[p.real]
+
+
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real leads plus the demo rows (the filters decide whether demo rows show)."""
     return real_leads(spark, sf_dir).unionByName(demo_leads(spark, sf_dir))
