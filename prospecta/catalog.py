@@ -833,6 +833,34 @@ def q_audit_append(spark, sf):
     return AU.read_log(spark, log, schema=ev.schema)
 
 
+@register("audit_compacted")
+def q_audit_compacted(spark, sf):
+    """AUD1, U2: events appended in seven batches, the first ones without two of the columns,
+    compacted in between and again after more were appended, then vacuumed."""
+    log = scratch_path(spark, "audit-log")
+    ev = AU.events_as_log(TD.table(spark, sf, "events"))
+    batch = F.pmod(F.coalesce(F.col("n_registros"), F.lit(0)), F.lit(7))
+    for i in range(7):
+        rows = ev.where(batch == i)
+        (rows.drop("destino") if i < 2 else rows).write.mode("append").parquet(log)
+        if i in (3, 5):
+            AU.compact_log(spark, log)
+    AU.vacuum_log(spark, log)
+    return AU.read_log(spark, log, schema=ev.schema)
+
+
+@register("quality_summaries")
+def q_quality_summaries(spark, sf):
+    """Q5, V3: two countries published in turn; the report of the version, from the stored
+    summaries alone."""
+    root = _publish_root(spark)
+    for pais, mapped in (("FR", I.fr_mapped), ("BR", I.br_mapped)):
+        version = PB.publish(spark, mapped(spark, sf).valid, root, pais).version
+        if PB.active_version(root) is None:
+            PB.activate(root, version)  # the first is kept live whatever its quality, so it is carried forward
+    return Q.report_of(PB.version_summary(spark, root, PB.read_manifest(root, version)))
+
+
 @register("score_size_capital")
 def q_score_size_capital(spark, sf):
     """S3: target sizes and a capital range configured."""

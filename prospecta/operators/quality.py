@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,22 +111,63 @@ def duplicate_ids(leads: DataFrame) -> DataFrame:
     return duplicate_key_count(leads, ["id_estab"]).withColumnRenamed("duplicate_keys", "duplicate_id_estab")
 
 
+@dataclass(frozen=True)
+class Summary:
+    """What Q5 needs of a set of leads, in a form that adds up over disjoint sets: rows and
+    NULLs per status label, and every id with its number of rows."""
+
+    counts: DataFrame
+    ids: DataFrame
+
+
+def summarise(leads: DataFrame) -> Summary:
+    """Two aggregates with partial sums; the first has a row per status label, the second is
+    the only thing that grows with the leads (their ids)."""
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in S.CANONICAL_COLUMNS]
+    counts = leads.groupBy("situacao").agg(F.count(F.lit(1)).alias("n"), *nulls)
+    ids = leads.groupBy("id_estab").agg(F.count(F.lit(1)).alias("n"))
+    return Summary(counts, ids)
+
+
+def merge_summaries(parts: Sequence[Summary]) -> Summary:
+    both = [reduce(DataFrame.unionByName, frames) for frames in ([p.counts for p in parts], [p.ids for p in parts])]
+    return Summary(*both)
+
+
 def quality_report(leads: DataFrame, thr: QualityThresholds | None = None) -> DataFrame:
     """Q5: one row - row count, worst null ratio, out-of-domain status labels,
     duplicate ids, number of failed checks and ``passed``.
 
     Null ratios and the status check are skipped on an empty table (only Q1 then).
     The scan-based figures come from one aggregate; duplicates from one shuffle."""
-    thr = thr or QualityThresholds()
-    check_cols = list(thr.max_null_ratio) or list(S.DEFAULT_NULL_CHECK_COLUMNS)
     n = F.count(F.lit(1))
+    thr, check_cols = _checks(thr)
+    ratios = [(F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("double") / n).alias(f"r_{c}") for c in check_cols]
+    base = leads.agg(n.alias("n_rows"), _unknown(thr).alias("n_situacao_fora_dominio"), *ratios)
+    return _verdict(one_row(base, duplicate_ids(leads)), thr, check_cols)
+
+
+def report_of(summary: Summary, thr: QualityThresholds | None = None) -> DataFrame:
+    """Q5 from summaries (merged or not): the leads are not read again."""
+    thr, check_cols = _checks(thr)
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    ratios = [(F.sum(f"nulls_{c}").cast("double") / F.sum("n")).alias(f"r_{c}") for c in check_cols]
+    base = summary.counts.agg(n.cast("bigint").alias("n_rows"), _unknown(thr).alias("n_situacao_fora_dominio"), *ratios)
+    twice = summary.ids.groupBy("id_estab").agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") > 1).alias("duplicate_id_estab"))
+    return _verdict(one_row(base, twice), thr, check_cols)
+
+
+def _checks(thr: QualityThresholds | None) -> tuple[QualityThresholds, list[str]]:
+    thr = thr or QualityThresholds()
+    return thr, list(thr.max_null_ratio) or list(S.DEFAULT_NULL_CHECK_COLUMNS)
+
+
+def _unknown(thr: QualityThresholds) -> Column:
     known = list(thr.known_situacao_values)
-    ratios = [
-        (F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("double") / n).alias(f"r_{c}") for c in check_cols
-    ]
-    unknown = F.count_distinct(F.when(F.col("situacao").isNotNull() & ~F.col("situacao").isin(known), F.col("situacao")))
-    base = leads.agg(n.alias("n_rows"), unknown.alias("n_situacao_fora_dominio"), *ratios)
-    j = one_row(base, duplicate_ids(leads))
+    return F.count_distinct(F.when(F.col("situacao").isNotNull() & ~F.col("situacao").isin(known), F.col("situacao")))
+
+
+def _verdict(j: DataFrame, thr: QualityThresholds, check_cols: list[str]) -> DataFrame:
     over = [
         F.when((F.col("n_rows") > 0) & (F.col(f"r_{c}") > F.lit(float(thr.max_null_ratio[c]))), 1).otherwise(0)
         for c in check_cols

@@ -535,6 +535,7 @@ def queries() -> dict[str, str]:
         "FROM real_leads GROUP BY 1",
         "quality_dups": R + "SELECT count(*) AS duplicate_id_estab FROM (SELECT id_estab FROM real_leads GROUP BY id_estab HAVING count(*) > 1)",
         "quality_report": _quality_report_sql(),
+        "quality_summaries": _quality_report_sql(),
         "chart_regiao": L
         + f"SELECT coalesce(regiao, '(sem valor)') AS valor, count(*) AS n FROM leads WHERE {crit_sql(PR.CRIT_DEFAULT)} GROUP BY 1 ORDER BY n DESC, valor LIMIT 15",
         "chart_atividade": L
@@ -1085,6 +1086,8 @@ def queries_batch2() -> dict[str, str]:
         "score_breakdown": _breakdown_sql(),
         "audit_append": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
         "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events",
+        "audit_compacted": "SELECT event_type AS operacao, CAST(user_id AS VARCHAR) AS usuario, ts AS quando, props AS filtros, "
+        "CAST(floor(value) AS BIGINT) AS n_registros, CAST(NULL AS VARCHAR) AS destino FROM events",
         "lookup_scan": f"SELECT {_p('n_nationkey', 4)} AS codigo, CASE WHEN n_nationkey = 7 THEN n_name ELSE 'ZZ ' || n_name END "
         "|| CASE WHEN n_nationkey % 5 = 2 AND n_nationkey <> 7 THEN chr(10) || chr(1) || ';' || chr(0) || '.' ELSE '' END AS descricao FROM nation "
         "UNION ALL SELECT '' AS codigo, 'ZZ ' || n_name || chr(10) || chr(1) || ';' || chr(0) || '.' AS descricao FROM nation WHERE n_nationkey = 7",
