@@ -11,10 +11,16 @@ linked where 100 * |intersection| >= 75 * |union| of the full sets.
   average, so that links survive and unrelated pairs part within ``DEPTH`` levels.
 * Nodes. Every member is first compared with the nodes' smallest members (the best of
   them by sketch): this ties groups of copies together with one pair per member. Then only
-  nodes that still hold several components matter. Small ones are compared exhaustively
-  across components, against one chunk of a component's full sets at a time; members of
-  larger ones go on down the tree, a level at a time, until no large node with several
-  components is left. No node is cut off.
+  nodes that still hold several components matter. Small ones are compared exhaustively:
+  members with a partner across components by sketch are brought together with their full
+  sets, a node of many bytes in pairs of blocks, and a node gives at most a spanning set of
+  links, fewer than its members. Members of larger nodes go on down the tree, a level at a
+  time, until no large node with several components is left. No node is cut off.
+* Recall. A tree loses a pair with the depth that it is followed to, so the number of trees
+  follows from the depth: ``trees_for`` gives the fewest for which a pair at the threshold
+  is lost by all of them with a probability of at most ``LOSS``. ``TREES`` do at ``DEPTH``;
+  where large nodes led deeper, the members of large nodes walk fresh trees until there are
+  as many as their depth asks for.
 * Every pair that passes the sketch (wide margin) is confirmed on the full sets before it
   counts as a link. Components come from alternating large and small stars.
 
@@ -30,7 +36,8 @@ further columns of any name don't matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +52,8 @@ COORDINATES = 128  #: minwise tokens of a sketch
 TREES = 14
 DEPTH = 4  #: levels walked before nodes are first looked at
 SMALL = 4096  #: members of a node that is compared exhaustively
-CHUNK = 1024  #: members of a component whose sets are held together
+HELD = 32 << 20  #: bytes of full sets in a block of a node
+LOSS = 1e-3  #: greatest probability that all trees part a pair at the threshold
 LEAST_AGREEING = 75  #: of 128 sketch tokens; a linked pair agrees on 96 +- 5 or more
 
 _LOWER = lower_table()
@@ -132,15 +140,47 @@ def lists(path: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(path[order].view(np.int64)))
 
 
-def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sketch) -> (id, paths): the nodes reached after DEPTH levels of all trees."""
-    for b in small(batches, 4096):
-        tokens, n = token_table(b.column("sketch")), b.num_rows
-        path = np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), n)
-        row = np.repeat(np.arange(n), TREES)
-        for _ in range(DEPTH):
-            path, row = children(path, row, tokens)
-        yield pa.RecordBatch.from_arrays([b.column("id"), lists(path, row, n)], names=["id", "paths"])
+def loss(depth: int, trees: int) -> float:
+    """Probability that a pair at the threshold is in no common node of ``trees`` trees at a
+    depth: over the tokens that its sketches share, the extinction of its descent (one
+    child, or two with the nodes' probability, each kept if the token is shared)."""
+    s0, second = THRESHOLD[0] / THRESHOLD[1], THRESHOLD[1] / THRESHOLD[0] - 1
+    total = 0.0
+    for shared in range(COORDINATES + 1):
+        s, gone = shared / COORDINATES, 0.0
+        for _ in range(depth):
+            x = 1 - s + s * gone
+            gone = x * (1 - second + second * x)
+        total += math.comb(COORDINATES, shared) * s0**shared * (1 - s0) ** (COORDINATES - shared) * gone**trees
+    return total
+
+
+def trees_for(depth: int) -> int:
+    """The fewest trees, ``TREES`` at least, whose loss at a depth is small enough."""
+    high = TREES
+    while loss(depth, high) > LOSS:
+        high *= 2
+    low = max(TREES, high // 2)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if loss(depth, middle) <= LOSS else (middle + 1, high)
+    return low
+
+
+def walk(first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, sketch) -> (id, paths): the nodes reached after DEPTH levels of the trees
+    ``first`` to ``last``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = mix(np.arange(first, last + 1, dtype=np.uint64))
+        for b in small(batches, 4096):
+            tokens, n = token_table(b.column("sketch")), b.num_rows
+            path, row = np.tile(seeds, n), np.repeat(np.arange(n), len(seeds))
+            for _ in range(DEPTH):
+                path, row = children(path, row, tokens)
+            yield pa.RecordBatch.from_arrays([b.column("id"), lists(path, row, n)], names=["id", "paths"])
+
+    return run
 
 
 def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,54 +220,86 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "am", "bm").mapInArrow(run, "a long, b long")
 
 
-PLACES = "comp long, chunk long, a long, bs array<long>"
-
-
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of different components in each (small) node whose sketches agree enough
-    for a link; rows (path, id, comp, chunk, sketch) come by path. A row holds the members
-    ``bs`` of one chunk of a component that ``a`` must be compared with; ``a`` is the end
-    whose component has the larger id."""
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Runs of equal keys of sorted batches, one table each."""
     held: list[pa.RecordBatch] = []
-
-    def places() -> pa.RecordBatch | None:
-        ids, comp, chunk = (np.concatenate([np.asarray(b.column(c)) for b in held]) for c in ("id", "comp", "chunk"))
-        tokens = np.concatenate([token_table(b.column("sketch")) for b in held])
-        order = np.argsort(-comp, kind="stable")  # so that the first end of a pair has the larger component id
-        ids, comp, chunk, tokens = ids[order], comp[order], chunk[order], tokens[order]
-        first, second = [], []
-        for i in range(0, len(ids), 32):
-            x, y = np.nonzero(comp[i : i + 32, None] != comp[None, i:])
-            on = y > x
-            x, y = x[on] + i, y[on] + i
-            for k in range(0, len(x), 8192):
-                p, q = x[k : k + 8192], y[k : k + 8192]
-                on = (tokens[p] == tokens[q]).sum(1) >= LEAST_AGREEING
-                first.append(p[on])
-                second.append(q[on])
-        p, q = np.concatenate(first), np.concatenate(second)
-        if not len(p):
-            return None
-        order = np.lexsort((chunk[q], comp[q], p))
-        p, q = p[order], q[order]
-        new = np.concatenate(([True], (p[1:] != p[:-1]) | (comp[q][1:] != comp[q][:-1]) | (chunk[q][1:] != chunk[q][:-1])))
-        at = np.flatnonzero(new)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(p)), pa.int32()), pa.array(ids[q]))
-        return pa.RecordBatch.from_arrays([pa.array(comp[q[at]]), pa.array(chunk[q[at]]), pa.array(ids[p[at]]), lists], names=["comp", "chunk", "a", "bs"])
-
     now = None
-    for b in small(batches, 2048):
-        path = np.asarray(b.column("path"))
-        cut = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+    for b in small(batches, rows):
+        key = np.stack([np.asarray(b.column(c)) for c in keys], 1)
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
         for i, j in zip(cut, cut[1:]):
-            if held and path[i] != now:
-                if (found := places()) is not None:
-                    yield found
+            if held and tuple(key[i]) != now:
+                yield pa.Table.from_batches(held)
                 held = []
-            now = path[i]
+            now = tuple(key[i])
             held.append(b.slice(i, j - i))
-    if held and (found := places()) is not None:
-        yield found
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def agreeing_pairs(tokens: np.ndarray, comp: np.ndarray, at: Iterator[int] | range) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of different components whose sketches agree enough for a link, and
+    how much they agree; some rows at a time."""
+    for i in at:
+        x, y = np.nonzero(comp[i : i + 32, None] != comp[None, i:])
+        on = y > x
+        x, y = x[on] + i, y[on] + i
+        for k in range(0, len(x), 8192):
+            p, q = x[k : k + 8192], y[k : k + 8192]
+            agreeing = (tokens[p] == tokens[q]).sum(1)
+            on = agreeing >= LEAST_AGREEING
+            if on.any():
+                yield p[on], q[on], agreeing[on]
+
+
+def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, id) of the members of each (small) node that have a partner across components
+    by sketch; rows (path, id, comp, sketch) come by path."""
+    for t in groups_of(batches, ["path"], 2048):
+        comp = t["comp"].to_numpy()
+        tokens = token_table(t["sketch"].combine_chunks())
+        has = np.zeros(len(comp), bool)
+        for p, q, _ in agreeing_pairs(tokens, comp, range(0, len(comp), 32)):
+            has[p] = has[q] = True
+        if has.any():
+            on = pa.array(np.flatnonzero(has))
+            yield pa.RecordBatch.from_arrays([t[c].combine_chunks().take(on) for c in ("path", "id")], names=["path", "id"])
+
+
+def links_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a node, enough to span what its full sets link; rows (path, low,
+    high, block, id, comp, paths, sketch, members) come by (path, low, high), a pair of the
+    node's blocks. The most agreeing pairs come first, pairs that are joined by then are
+    left out, and a pair is compared in the least node (``paths``) that holds both."""
+    for t in groups_of(batches, ["path", "low", "high"], 64):
+        ids, comp, block = (t[c].to_numpy() for c in ("id", "comp", "block"))
+        tokens, sets = token_table(t["sketch"].combine_chunks()), t["members"].to_pylist()
+        paths = [frozenset(x) for x in t["paths"].to_pylist()]
+        path, across = t["path"][0].as_py(), t["low"][0].as_py() != t["high"][0].as_py()
+        found = list(agreeing_pairs(tokens, comp, range(0, len(ids), 32)))
+        if not found:
+            continue
+        p, q, agreeing = (np.concatenate(x) for x in zip(*found))
+        if across:
+            on = block[p] != block[q]
+            p, q, agreeing = p[on], q[on], agreeing[on]
+        root = {c: c for c in set(comp.tolist())}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for k in np.argsort(-agreeing, kind="stable").tolist():
+            i, j = int(p[k]), int(q[k])
+            u, v = top(int(comp[i])), top(int(comp[j]))
+            if u != v and min(paths[i] & paths[j]) == path and linked(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64)):
+                root[max(u, v)] = min(u, v)
+                out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+        if out:
+            yield pair_rows(out)
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -238,37 +310,20 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return THRESHOLD[1] * shared >= THRESHOLD[0] * (len(x) + len(y) - shared)
 
 
-def confirm_chunks(places: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) from ``PLACES`` rows by the full sets: the sets of one chunk of a
-    component (``members``: id, comp, chunk) are held while the others come by. One link
-    of ``a`` with a chunk is enough, all ends of it being in one component."""
-    merged = places.groupBy("comp", "chunk", "a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
-    merged = store(merged, "near-places")
-    held = members.join(merged.select("comp", "chunk").distinct(), ["comp", "chunk"]).select("id", "comp", "chunk").distinct()
-    held = held.join(sets, "id").select("comp", "chunk", "id", "members", F.lit(None).cast("array<long>").alias("bs"))
-    guests = merged.join(sets, merged["a"] == sets["id"]).select("comp", "chunk", "id", "members", "bs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, {}
-        for b in small(batches, 256):
-            found = []
-            for comp, chunk, i, m, bs in zip(*(b.column(c).to_pylist() for c in ("comp", "chunk", "id", "members", "bs"))):
-                if (comp, chunk) != now:
-                    now, own = (comp, chunk), {}
-                x = np.frombuffer(m, np.uint64)
-                if bs is None:
-                    own[i] = x
-                    continue
-                for k in bs:
-                    y = own.get(k)
-                    if y is not None and linked(x, y):
-                        found.append((min(i, k), max(i, k)))
-                        break
-            if found:
-                yield pair_rows(found)
-
-    both = held.unionByName(guests).repartition("comp", "chunk").sortWithinPartitions("comp", "chunk", F.col("bs").isNotNull(), "id")
-    return both.mapInArrow(run, "a long, b long")
+def links_of_nodes(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of small nodes, (path, id, comp), compared exhaustively."""
+    sketched = rows.select("path", "id", "comp").join(classes.select("id", "sketch"), "id").select("path", "id", "comp", "sketch")
+    found = sketched.repartition("path").sortWithinPartitions("path").mapInArrow(with_partner, "path long, id long")
+    found = store(found, "near-partners")
+    sized = found.join(sets.select("id", F.length("members").alias("size")), "id")
+    blocks = sized.groupBy("path").agg(F.ceil(F.sum("size") / HELD).alias("blocks"))
+    every = found.groupBy("id").agg(F.collect_set("path").alias("paths")).join(sets, "id").join(classes.select("id", "sketch"), "id")
+    every = every.join(rows.select("id", "comp").distinct(), "id")
+    placed = found.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("path", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    met = placed.join(every, "id").select("path", "low", "high", "block", "id", "comp", "paths", "sketch", "members")
+    return met.repartition("path", "low", "high").sortWithinPartitions("path", "low", "high").mapInArrow(links_within, "a long, b long")
 
 
 def pair_rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -327,52 +382,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     has_set = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = store(has_set.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "near-classes")
 
-    rows = classes.select("id", "sketch").mapInArrow(walk, "id long, paths array<long>").select(F.explode("paths").alias("path"), "id")
+    sets = None
     comp: DataFrame | None = None
-    sets: DataFrame | None = None
-    while True:
-        nodes = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("id").alias("first")).where("members > 1")
-        rows = store(rows.join(nodes, "path"), "near-nodes")
-        if rows.isEmpty():
-            break
-        if sets is None:  # the full sets of all that share a node with another
-            wanted = rows.select(F.col("id").alias("doc_id")).distinct()
-
-            def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in small(batches, 128):
-                    s = [x.tobytes() for x in shingle_sets(text_bytes(b.column("text")))]
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.binary())], names=["id", "members"])
-
-            # rows that repeat a document's id may hold other texts: the class's own is told by its hashes
-            own = classes.join(wanted.withColumnRenamed("doc_id", "id"), "id").select("id", "n", "h1", "h2")
-            sets = store(own_sets(src.join(wanted, "doc_id", "left_semi").mapInArrow(full, "id long, members binary"), own), "near-sets")
-
-        def settle(found: DataFrame) -> None:
-            nonlocal comp
-            new = store(found, "near-links")
-            if not new.isEmpty():
-                comp = store(components(with_roots(new, comp)), "near-components")
-
-        # the best of the nodes' first members for each member
-        star = different(rows.select(F.col("first").alias("a"), F.col("id").alias("b")), comp)
-        best = similar(star, classes).groupBy("b").agg(F.max(F.struct("agreeing", (-F.col("a")).alias("a"))).alias("best"))
-        settle(confirm(best.select((-F.col("best.a")).alias("a"), "b"), sets))
-
-        rows = with_component(rows.select("path", "id", "members"), comp)
-        mixed = rows.groupBy("path").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("path")
-        rows = store(rows.join(mixed, "path"), "near-mixed")
-        light = rows.where(F.col("members") <= SMALL)
-        sizes = light.select("id", "comp").distinct().groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-        light = light.join(sizes, "comp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        light = light.join(classes.select("id", "sketch"), "id").select("path", "id", "comp", "chunk", "sketch")
-        places = light.repartition("path").sortWithinPartitions("path").mapInArrow(across, PLACES)
-        settle(confirm_chunks(places, light.select("id", "comp", "chunk"), sets))
-
-        heavy = rows.where(F.col("members") > SMALL)
-        if heavy.isEmpty():
-            break
-        down = heavy.select("path", "id").join(classes.select("id", "sketch"), "id").select("path", "id", "sketch")
-        rows = down.mapInArrow(descend, "id long, paths array<long>").select(F.explode("paths").alias("path"), "id").distinct()
+
+    def settle(found: DataFrame) -> None:
+        nonlocal comp
+        new = store(found, "near-links")
+        if not new.isEmpty():
+            comp = store(components(with_roots(new, comp)), "near-components")
+
+    trees, walkers = 0, classes.select("id", "sketch")
+    wanted = TREES
+    while trees < wanted:
+        rows = walkers.mapInArrow(walk(trees + 1, wanted), "id long, paths array<long>").select(F.explode("paths").alias("path"), "id")
+        trees, depth = wanted, DEPTH
+        large: list[DataFrame] = []
+        while True:
+            nodes = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("id").alias("first")).where("members > 1")
+            rows = store(rows.join(nodes, "path"), "near-nodes")
+            if rows.isEmpty():
+                break
+            if sets is None:  # the full sets of all that share a node with another
+                sets = full_sets(src, classes, rows.select("id").distinct())
+
+            # the best of the nodes' first members for each member
+            star = different(rows.select(F.col("first").alias("a"), F.col("id").alias("b")), comp)
+            best = similar(star, classes).groupBy("b").agg(F.max(F.struct("agreeing", (-F.col("a")).alias("a"))).alias("best"))
+            settle(confirm(best.select((-F.col("best.a")).alias("a"), "b"), sets))
+
+            rows = with_component(rows.select("path", "id", "members"), comp)
+            mixed = rows.groupBy("path").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("path")
+            rows = store(rows.join(mixed, "path"), "near-mixed")
+            light = rows.where(F.col("members") <= SMALL)
+            if not light.isEmpty():
+                settle(links_of_nodes(light, classes, sets))
+
+            heavy = rows.where(F.col("members") > SMALL)
+            if heavy.isEmpty():
+                break
+            down = heavy.select("path", "id").join(classes.select("id", "sketch"), "id").select("path", "id", "sketch")
+            large.append(down.select("id", "sketch").dropDuplicates(["id"]))
+            rows = down.mapInArrow(descend, "id long, paths array<long>").select(F.explode("paths").alias("path"), "id").distinct()
+            depth += 1
+        if large:  # the nodes of the first level hold all that went deeper
+            walkers, wanted = large[0], max(wanted, trees_for(depth))
 
     one = classes.select("h1", "h2", "n", F.col("id").alias("class_id"))
     one = with_component(one, comp, "class_id").select("h1", "h2", "n", "comp")
@@ -383,6 +436,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def full_sets(src: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, members): the full sets of the classes named."""
+    wanted = ids.select(F.col("id").alias("doc_id"))
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 128):
+            s = [x.tobytes() for x in shingle_sets(text_bytes(b.column("text")))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.binary())], names=["id", "members"])
+
+    # rows that repeat a document's id may hold other texts: the class's own is told by its hashes
+    own = classes.join(ids, "id").select("id", "n", "h1", "h2")
+    return store(own_sets(src.join(wanted, "doc_id", "left_semi").mapInArrow(full, "id long, members binary"), own), "near-sets")
+
+
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of one document of each component
     (the smallest id); of rows that repeat an id with the same text one stays."""

@@ -331,16 +331,74 @@ def copies(seed=9, groups=12, most=9):
     return out
 
 
-@pytest.mark.parametrize("small", [4096, 4])
-def test_near_duplicates_against_brute_force(make_docs, odd_docs, monkeypatch, small):
-    """Also with nodes counted as large from 3 members on, so that trees go deeper."""
+@pytest.mark.parametrize("small,held", [(4096, 32 << 20), (4, 2000)])
+def test_near_duplicates_against_brute_force(make_docs, odd_docs, monkeypatch, small, held):
+    """Also with nodes counted as large from 5 members on, so that trees go deeper and more
+    are walked, and with blocks of few sets."""
     monkeypatch.setattr(near, "SMALL", small)
-    monkeypatch.setattr(near, "CHUNK", max(2, small // 4))
+    monkeypatch.setattr(near, "HELD", held)
     for df in (make_docs([(i * 7 % 1000, t, "s") for i, t in enumerate(copies())]), odd_docs):
         got = sorted(map(repr, (tuple(r) for r in near.near_duplicates(df).collect())))
         assert got == sorted(map(repr, near_brute(pairs(df))))
 
 
+def alikes(n, seed=10):
+    """Texts that share some 0.55 to 0.7 of their shingles by a template, in families of
+    two whose texts are linked at 0.75 to 0.85, and copies."""
+    rng = random.Random(seed)
+    template, out = [f"t{i}" for i in range(150)], []
+    for k in range(n):
+        own = [*template[: rng.randint(122, 132)], *(f"o{k}x{j}" for j in range(24))]
+        out.append(" ".join(own))
+        if k % 3 == 0:
+            at = rng.randrange(30, 100)
+            out.append(" ".join([*own[:at], *(f"c{k}x{j}" for j in range(rng.randint(6, 12))), *own[at:]]))
+        if k % 20 == 0:
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("small,held", [(4096, 20_000), (40, 32 << 20)])
+def test_near_duplicates_among_many_look_alikes(make_docs, monkeypatch, small, held):
+    """A large group of texts that are alike but not linked, with linked ones among them:
+    every link is found, also where the group's nodes count as large."""
+    monkeypatch.setattr(near, "SMALL", small)
+    monkeypatch.setattr(near, "HELD", held)
+    df = make_docs([(i, t, "s") for i, t in enumerate(alikes(150))])
+    expected = near_brute(pairs(df))
+    assert 40 < sum(not r[3] for r in expected) < 140
+    assert sorted(map(repr, map(tuple, near.near_duplicates(df).collect()))) == sorted(map(repr, expected))
+
+
+def test_near_trees_keep_pairs_at_the_threshold():
+    """Recall of the walk at 0.75 by simulation, at the first depth and two deeper ones."""
+    rng = np.random.default_rng(12)
+    n = 4000
+    a = rng.integers(0, 1 << 16, (n, near.COORDINATES)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.75, a, rng.integers(0, 1 << 16, a.shape).astype(np.uint16))
+    for depth in (near.DEPTH, 6, 8):
+        kept = np.zeros(n, bool)
+        for tree in range(1, near.trees_for(depth) + 1):
+            at = [(np.full(n, near.mix(np.array([tree], np.uint64))[0]), np.arange(n)) for _ in (a, b)]
+            for _ in range(depth):
+                at = [near.children(p, r, t) for (p, r), t in zip(at, (a, b))]
+            both = set(zip(at[0][0].tolist(), at[0][1].tolist())) & set(zip(at[1][0].tolist(), at[1][1].tolist()))
+            kept[[r for _, r in both]] = True
+        assert (~kept).mean() <= 2 * near.LOSS + 1e-3, depth
+
+
+def test_near_nodes_give_spanning_links_only(spark):
+    """Rows of a node's steps grow with its members, not with its pairs."""
+    n = 300
+    base = np.arange(1, 401, dtype=np.uint64) * np.uint64(7919)
+    sets = [np.sort(np.concatenate([base, np.array([10**9 + i], np.uint64)])) for i in range(n)]
+    classes = spark.createDataFrame([(i, near.sketch(s)) for i, s in enumerate(sets)], "id long, sketch binary")
+    full = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "id long, members binary")
+    rows = spark.createDataFrame([(p, i, i) for p in (5, 6) for i in range(n)], "path long, id long, comp long")
+    links = near.links_of_nodes(rows, classes, full).collect()
+    assert len(links) == n - 1 and {x for r in links for x in r} == set(range(n))
+
+
 def test_near_duplicates_stage_keeps_one_of_each(odd_docs):
     kept = near.without_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
