@@ -96,9 +96,12 @@ def cumulative_table(proportions: DataFrame) -> DataFrame:
         F.col("dimensao").isNotNull() & (F.trim("dimensao") != "") & F.col("valor").isNotNull()
         & (F.trim("valor") != "") & F.col("peso").isNotNull()
     ).select(F.trim("dimensao").alias("dimensao"), F.trim("valor").alias("valor"), F.col("peso").cast("double").alias("peso"))
-    up_to = Window.partitionBy("dimensao").orderBy("valor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = p.withColumn("high", F.sum("peso").over(up_to)).withColumn("total", F.sum("peso").over(Window.partitionBy("dimensao")))
-    return p.select("dimensao", "valor", (F.col("high") - F.col("peso")).alias("low"), "high", "total")
+    order = Window.partitionBy("dimensao").orderBy("valor")
+    p = p.withColumn("high", F.sum("peso").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # an interval begins where the one before ends, and the total is the end of the last: by
+    # other sums, rounding could leave gaps
+    p = p.withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0))).withColumn("total", F.max("high").over(Window.partitionBy("dimensao")))
+    return p.select("dimensao", "valor", "low", "high", "total")
 
 
 BUCKETS = 1024  #: equal parts of a dimension's total weight that picks are joined on
@@ -115,7 +118,8 @@ def weighted_pick(df: DataFrame, cumulative: DataFrame, dimension: str, u: Colum
     c = c.select(F.explode(spans).alias("__b"), F.col("valor").alias(name), "low", "high", "total")
     df = df.withColumn("__u", u).withColumn("__ub", bucket(F.col("__u")))
     at = F.col("__u") * F.col("total")
-    joined = df.join(c, (F.col("__ub") == F.col("__b")) & (at >= F.col("low")) & (at < F.col("high")), "left")
+    below = (at < F.col("high")) | (F.col("high") == F.col("total"))  # the last interval is closed
+    joined = df.join(c, (F.col("__ub") == F.col("__b")) & (at >= F.col("low")) & below, "left")
     return joined.drop("__u", "__ub", "__b", "low", "high", "total")
 
 

@@ -19,21 +19,6 @@ from prospecta.operators.keys import split_key
 from prospecta.operators.windows import keep_first
 
 
-class EnrichmentError(RuntimeError):
-    pass
-
-
-def check_request_batch(ids: DataFrame, max_batch: int = S.MAX_ENRICH_BATCH) -> int:
-    """Request-side guard, not for table jobs: an enrichment request batch must be non-empty and hold at
-    most ``max_batch`` ids; checked with a bounded count before any work."""
-    n = ids.limit(max_batch + 1).count()
-    if n == 0:
-        raise EnrichmentError("no identifiers to enrich")
-    if n > max_batch:
-        raise EnrichmentError(f"more than {max_batch} identifiers in one batch")
-    return n
-
-
 BRASILAPI_SCHEMA = T.StructType(
     [
         T.StructField("cnpj", T.StringType()),

@@ -170,14 +170,6 @@ def test_recherche_and_sirens(spark):
     assert sorted(r.siren for r in E.extract_sirens(df).collect()) == ["1", "2"]
 
 
-def test_request_batch_limit(spark):
-    with pytest.raises(E.EnrichmentError):
-        E.check_request_batch(spark.range(0), 10)
-    with pytest.raises(E.EnrichmentError):
-        E.check_request_batch(spark.range(11), 10)
-    assert E.check_request_batch(spark.range(10), 10) == 10
-
-
 def test_demo_generator_deterministic_and_valid(spark):
     ids = spark.range(50).withColumnRenamed("id", "k")
     a = D.generate(ids, "k", "BR", 7, date(2024, 1, 1)).orderBy("razao_social").collect()
@@ -295,6 +287,17 @@ def test_publish_if_new(spark, scratch):
     assert PB.read_active(spark, root).count() == 2
 
 
+def test_weighted_picks_reach_every_end(spark):
+    """The last interval is closed and intervals tile the total, whatever the weights round to."""
+    rows = [("x", f"v{i}", 0.1 * (i + 1) / 3) for i in range(37)]
+    cum = D.cumulative_table(spark.createDataFrame(rows, "dimensao string, valor string, peso double"))
+    u = [0.0, 1 - 2**-53, *(k / 1024 for k in range(1024))]
+    got = D.weighted_pick(spark.createDataFrame([(x,) for x in u], "u double"), cum, "x", F.col("u"), "v").collect()
+    assert len(got) == len(u) and all(r.v is not None for r in got)
+    ends = sorted((r.low, r.high) for r in cum.collect())
+    assert ends[0][0] == 0.0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_registry_intake_takes_each_content_once(spark, scratch):
     """Files that land again, in the same or a later batch, add nothing; one that differs in
     a repeated line is new; rejected records are kept apart; quoted line breaks stay."""
