@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from prospecta.llm.common import crc_rest, mix, small, store
 
 LABELLED = 20_000  #: most labelled rows that are learned from
-ENTRIES = 4_000  #: most learned words, and most learned beginnings; exceptions have no limit
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and signs used as letters.
@@ -105,7 +104,15 @@ class Lexicon:
                     spared.append((a, b))
                 elif a not in best or size > best[a][0]:
                     best[a] = (size, weight)
-        return [(a, a + s, w) for a, (s, w) in sorted(best.items()) if not any(x <= a < y for x, y in spared)]
+        out, k, covered = [], 0, 0  # spans by their starts: how far those that start before an entry reach
+        spared.sort()
+        for a, (s, w) in sorted(best.items()):
+            while k < len(spared) and spared[k][0] <= a:
+                covered = max(covered, spared[k][1])
+                k += 1
+            if a >= covered:
+                out.append((a, a + s, w))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Weighted sum of the matches, as it is and per 100 words (both on a log scale)."""
@@ -162,7 +169,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict, dict, list]:
 
     def best(df: DataFrame, least: float) -> list:
         enough = math.log(max(1, df.count())) + 2.0
-        return df.withColumn("odds", odds).where((F.col("bad") >= 2) & (F.col("odds") >= least) & (evidence >= enough)).orderBy(F.desc(F.col("bad") * F.col("odds")), "term").limit(ENTRIES).collect()
+        return df.withColumn("odds", odds).where((F.col("bad") >= 2) & (F.col("odds") >= least) & (evidence >= enough)).orderBy(F.desc(F.col("bad") * F.col("odds")), "term").collect()
 
     whole = best(words.withColumnRenamed("word", "term"), math.log(20.0))
     size = F.explode(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(10)))).alias("size")
@@ -212,8 +219,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(LABELLED)  # so at most that many rows are broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = sample.mapInArrow(signatures, "doc_id long, text string, toxic int, g1 long, g2 long")
-    for g in ("g1", "g2"):  # near copies would pass their rare words off as a class's words
-        sample = sample.dropDuplicates([g])
+    columns = ["doc_id", "toxic", "text", "g1", "g2"]
+    for g in ("g1", "g2"):  # near copies would pass their rare words off as a class's words: the least row of each stays
+        sample = sample.groupBy(F.col(g).alias("_g")).agg(F.min(F.struct(*columns)).alias("r")).select("r.*")
     sample = store(sample, "toxic-texts")
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5))
     words, starts, exceptions = learn_lexicon(sample.where(part > 0))
