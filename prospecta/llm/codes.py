@@ -13,7 +13,7 @@ A round sends the codebooks through the trees. A ball inherits the list of entri
 be nearest to some of its points and drops those that lie, for the whole ball, on the far
 side of the plane between them and the entry nearest to the centre. A list of one entry
 means that the ball is wholly owned: its cached sum and count are added and its points are
-not looked at. What is left at a leaf is compared in integers, ties to the lower index, so
+not looked at. What is left at a leaf is compared exactly, ties to the lower index, so
 the result is that of comparing everything. Trees are stored in the shared folder; sums and
 counts are added up per task before they are shuffled, and the driver sees only the
 codebooks (entries times dimensions, a fixed size).
@@ -42,8 +42,10 @@ from pyspark.sql import functions as F
 from prospecta.llm.common import store
 from prospecta.operators.keys import split_key
 
-#: Rows of a block, points of a leaf, and point-entry pairs that are compared at once.
-BLOCK, LEAF, PAIRS = 8192, 16, 1 << 18
+#: Rows of a block, and points of a leaf.
+BLOCK, LEAF = 8192, 64
+#: Integers below this are exact in doubles, sums and products included.
+EXACT = 1 << 52
 #: Columns of a stored tree, each the bytes of one array, and their types.
 TREE = {
     "points": "i4", "weight": "i8", "place": "i4",  # distinct points in tree order; a row's point
@@ -174,45 +176,48 @@ def first_of_runs(group: np.ndarray) -> np.ndarray:
 
 
 def nearest(points: np.ndarray, entries: np.ndarray, listed: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray) -> None:
-    """Compares leaves' points with the entries on their lists (``listed``, ``size`` each),
-    in integers, and notes the nearest, the first of equals, in ``owner``."""
-    start = np.cumsum(size) - size
-    n = high - low
-    cut = np.searchsorted(np.cumsum(n * size), np.arange(0, int((n * size).sum()), PAIRS))
-    for a, b in zip(cut, [*cut[1:], len(n)]):
-        if a == b:
-            continue
-        point = np.concatenate([np.arange(i, j) for i, j in zip(low[a:b], high[a:b])])
-        lists, begin = np.repeat(size[a:b], n[a:b]), np.repeat(start[a:b], n[a:b])
-        head = np.cumsum(lists) - lists
-        row = np.repeat(np.arange(len(point)), lists)
-        entry = listed[np.arange(len(row)) - np.repeat(head - begin, lists)]
-        d = points[point[row]] - entries[entry]
-        d = np.einsum("ij,ij->i", d, d)
-        hit = np.flatnonzero(d == np.minimum.reduceat(d, head)[row])
-        hit = hit[first_of_runs(row[hit])]
-        owner[point[row[hit]]] = entry[hit]
-
-
-def assign(t: dict[str, np.ndarray], entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compares leaves' points with the entries on their lists (``listed``, ``size`` each)
+    and notes the nearest, the first of equals, in ``owner``. Squared lengths are compared
+    without that of the point; doubles hold them exactly up to ``EXACT``, beyond it 64-bit
+    integers do."""
+    width = points.shape[1]
+    most = max(int(np.abs(points).max()), int(np.abs(entries).max()))
+    kind = np.float64 if 4 * width * most * most < EXACT else np.int64
+    x, y = points.astype(kind), entries.astype(kind)
+    square = np.einsum("ij,ij->i", y, y)
+    for begin, n, i, j in zip((np.cumsum(size) - size).tolist(), size.tolist(), low.tolist(), high.tolist()):
+        c = listed[begin : begin + n]
+        owner[i:j] = c[(square[c] - 2 * (x[i:j] @ y[c].T)).argmin(1)]
+
+
+def gaps(entries: np.ndarray) -> np.ndarray:
+    """Distances between entries (by differences: near entries may be far from the origin)."""
+    place = entries.astype(np.float64)
+    return np.array([lengths(place - e) for e in place]).reshape(len(place), len(place))
+
+
+def assign(t: dict[str, np.ndarray], entries: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest entry of every point of a tree, and sums and counts of the entries' points."""
+    apart = gaps(entries) if apart is None else apart
     points, owner = t["points"].astype(np.int64), np.full(len(t["points"]), -1)
     sums, counts = np.zeros(entries.shape, np.int64), np.zeros(len(entries), np.int64)
     _, distinct = np.unique(entries, axis=0, return_index=True)  # of equal entries the first can win
     listed = np.sort(distinct)
     place = entries.astype(np.float64)
+    square, middle = np.einsum("ij,ij->i", place, place), np.einsum("ij,ij->i", t["centre"], t["centre"])
+    far = middle[:, None] + square - 2 * (t["centre"] @ place.T)  # centres to entries, squared
     node, size = np.zeros(1, np.int64), np.array([len(listed)])
     while len(node):
         at = np.repeat(np.arange(len(node)), size)
         head = np.cumsum(size) - size
-        d = place[listed] - t["centre"][node][at]
-        d = np.einsum("ij,ij->i", d, d)
+        d = far[node[at], listed]
         least = np.minimum.reduceat(d, head)
         hit = np.flatnonzero(d == least[at])
         best = listed[hit[first_of_runs(at[hit])]]
         # entry c can't be nearest in the ball if d(c) - d(best) > 2 r |c - best|; the slack covers rounding
-        reach = 2 * t["radius"][node][at] * lengths(place[listed] - place[best][at])
-        keep = d - least[at] <= reach + 1e-9 * (d + 1)
+        scale = middle[node][at] + square[listed] + square[best][at] + 1
+        keep = d - least[at] <= 2 * t["radius"][node][at] * apart[best[at], listed] + 1e-9 * scale
+        keep |= listed == best[at]
         size = np.add.reduceat(keep.astype(np.int64), head)
         listed, at = listed[keep], at[keep]
         own = size == 1
@@ -228,9 +233,9 @@ def assign(t: dict[str, np.ndarray], entries: np.ndarray) -> tuple[np.ndarray, n
             np.add.at(sums, owner[seen], points[seen] * t["weight"][seen, None])
             np.add.at(counts, owner[seen], t["weight"][seen])
         inner = ~own & ~leaf
-        lists = np.split(listed[inner[at]], np.cumsum(size[inner])[:-1]) if inner.any() else []
+        lists = listed[inner[at]]
         node = np.concatenate([t["left"][node[inner]], t["right"][node[inner]]])
-        listed = np.concatenate(lists + lists) if lists else listed[:0]
+        listed = np.concatenate([lists, lists])
         size = np.concatenate([size[inner], size[inner]])
     return owner, sums, counts
 
@@ -298,11 +303,12 @@ def one_round(trees: DataFrame, codebooks: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros(codebooks.shape, np.int64), np.zeros(codebooks.shape[:2], np.int64)
+        apart = [gaps(e) for e in codebooks]
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 for p in range(parts):
-                    _, s, c = assign(read_tree(row, p, width, ("place",)), codebooks[p])
+                    _, s, c = assign(read_tree(row, p, width, ("place",)), codebooks[p], apart[p])
                     sums[p] += s
                     counts[p] += c
         part, entry = np.nonzero(counts)
@@ -322,13 +328,14 @@ def final_codes(trees: DataFrame, codebooks: np.ndarray) -> DataFrame:
     parts, _, width = codebooks.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = [gaps(e) for e in codebooks]
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 error, codes = 0, []
                 for p in range(parts):
                     t = read_tree(row, p, width)
-                    owner = assign(t, codebooks[p])[0]
+                    owner = assign(t, codebooks[p], apart[p])[0]
                     d = t["points"] - codebooks[p][owner]
                     error = error + np.einsum("ij,ij->i", d, d)[t["place"]]
                     codes.append(owner[t["place"]])

@@ -64,11 +64,10 @@ def code_rows(df):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
-@pytest.mark.parametrize("leaf,block,pairs", [(16, 8192, 1 << 18), (1, 50, 64), (4, 700, 1000)])
-def test_codes_equal_comparing_everything(spark, monkeypatch, leaf, block, pairs):
+@pytest.mark.parametrize("leaf,block", [(64, 8192), (1, 50), (4, 700)])
+def test_codes_equal_comparing_everything(spark, monkeypatch, leaf, block):
     monkeypatch.setattr(codes, "LEAF", leaf)
     monkeypatch.setattr(codes, "BLOCK", block)
-    monkeypatch.setattr(codes, "PAIRS", pairs)
     rng = np.random.default_rng(leaf)
     rows = [(i, (rng.integers(-3, 3, 8) / 7).astype(np.float32).tolist(), int(rng.integers(3))) for i in range(400)]
     rows += [(1000 + i, [0.25] * 8, 1) for i in range(300)]  # one vector that holds a third of the rows
@@ -99,6 +98,20 @@ def test_codes_trees_hold_every_point_once():
             assert ((part * t["weight"][t["low"][i] : t["high"][i], None]).sum(0) == t["total"][i]).all()
 
 
+@pytest.mark.parametrize("most", [40, 1 << 28])
+def test_codes_assignment_is_exact_in_either_arithmetic(most):
+    rng = np.random.default_rng(most)
+    for leaf in (1, 8, 64):
+        x = rng.integers(-most, most, (700, 4))
+        x[::3] = x[0]
+        entries = np.concatenate([x[::9], x[5:9], x[5:9] + 1])
+        t = codes.tree(x)
+        owner, sums, counts = codes.assign(t, entries)
+        d = np.array([[sum((int(a) - int(b)) ** 2 for a, b in zip(p, e)) for e in entries] for p in t["points"]], object)
+        assert [list(r).index(min(r)) for r in d] == owner.tolist()
+        assert counts.sum() == 700 and (sums.sum(0) == x.sum(0)).all()
+
+
 def test_codes_owned_balls_are_not_opened(monkeypatch):
     """Far clusters, one entry each: the cached sums do, no point is compared."""
     rng = np.random.default_rng(4)
