@@ -8,6 +8,14 @@ Parquet and read again as the next stage's ``docs``; all but the last give the c
 3. repeats: byte strings of 400 that occur more than once are taken out of the texts.
 4. decontamination: documents that hold a benchmark window go.
 5. mixing: the documents that are left, with the words the mix takes of each.
+
+Cases, for every stage: null and empty texts stay (no match, no shingle, no byte, no window;
+a mix takes nothing of them). Rows with a null doc_id stay through all filters and count as
+any other row. Rows that repeat an id with the same text become one in stage 2; with other
+texts they go by their own text. Ties go to the smaller id. Columns beyond those of documents
+are carried along, whatever their names. An empty table gives an empty result of the same
+columns; without usable labels stage 1 takes its fixed starting lexicon, and an empty
+benchmark takes nothing out. Very long texts are worked on whole, in bounded batches.
 """
 
 from __future__ import annotations
