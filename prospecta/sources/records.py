@@ -5,7 +5,8 @@ start inside a quoted field, and does it end inside one? ``ends_open`` gives bot
 from the line alone. If no line that starts outside ends inside, every line is a record and
 that is all there is to do. Only files in which some line does are put together:
 
-1. their lines are numbered within their splits and stored once (numbers of one scan);
+1. their lines are numbered within their splits and stored (numbers of one scan), and
+   stored again with their states;
 2. the functions are composed per split, and over the splits of a file, which tells the
    state at every split's start and, by running windows within the splits, at every line's;
 3. a line that starts inside belongs to the record of the last line before it that does not.
@@ -107,8 +108,12 @@ def _joined(lines: DataFrame, sep: str) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("file", "split", F.last("head", ignorenulls=True).over(earlier).alias("carried"))
     at = at.withColumn("head", F.last(head, ignorenulls=True).over(here)).join(heads, ["file", "split"])
+    # stored once: the lines are taken three ways from here
+    path = scratch_path(lines.sparkSession, "stated-lines")
+    at.select("file", "split", "id", "value", "open", "on", F.coalesce("head", "carried").alias("head")).write.parquet(path)
+    at = lines.sparkSession.read.parquet(path)
     single = at.where(~F.col("open") & ~F.col("on")).select("file", "value", F.lit(False).alias("reject"))
-    several = at.where(F.col("open") | F.col("on")).select("file", F.coalesce("head", "carried").alias("head"), "split", "id", "value")
+    several = at.where(F.col("open") | F.col("on")).select("file", "head", "split", "id", "value")
     several = several.withColumn("of", F.concat_ws("|", "file", "head.split", "head.id"))
     size = several.groupBy("of").agg(F.sum(F.length("value") + 1).alias("size")).select(split_key(F.col("of")).alias("k"), "size")
     several = several.join(size, split_key(F.col("of")) == F.col("k"))
