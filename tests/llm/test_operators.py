@@ -331,9 +331,9 @@ def copies(seed=9, groups=12, most=9):
     return out
 
 
-@pytest.mark.parametrize("small,held", [(4096, 32 << 20), (4, 2000)])
+@pytest.mark.parametrize("small,held", [(4096, 32 << 20), (8, 2000)])
 def test_near_duplicates_against_brute_force(make_docs, odd_docs, monkeypatch, small, held):
-    """Also with nodes counted as large from 5 members on, so that trees go deeper and more
+    """Also with nodes counted as large from 9 members on, so that trees go deeper and more
     are walked, and with blocks of few sets."""
     monkeypatch.setattr(near, "SMALL", small)
     monkeypatch.setattr(near, "HELD", held)
