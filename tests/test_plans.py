@@ -324,3 +324,19 @@ def test_registry_intake_takes_each_content_once(spark, scratch):
     land("more.csv", '1;"x\ny"\n2;z\n2;z\nbroken\n')
     assert run() == sorted(once + once + [("2", "z", 1)])
     assert sorted(r.linha for r in ST.read_rejects(spark, out, ("a", "b")).collect()) == ["broken", "broken"]
+
+
+def test_publish_tells_the_ids_of_two_registries_apart(spark, scratch):
+    """A CNPJ and a SIRET of the same digits are two establishments where the caller says so."""
+    from prospecta.operators import quality as Q
+
+    thr = Q.QualityThresholds(ids_per_country=True)
+    row = lambda pais, *ids: make_leads(spark, [dict(pais=pais, id_estab=i) for i in ids])
+    root = scratch("two-registries")
+    assert PB.publish(spark, row("FR", "1", "2"), root, "FR", version="v1", thresholds=thr).activated
+    both = PB.publish(spark, row("BR", "2", "3"), root, "BR", version="v2", thresholds=thr)
+    assert both.activated and both.quality["duplicate_id_estab"] == 0 and PB.read_active(spark, root).count() == 4
+    assert both.quality == Q.quality_report(PB.read_active(spark, root), thr).first().asDict()
+    twice = PB.publish(spark, row("BR", "2", "2"), root, "BR", version="v3", thresholds=thr)
+    assert not twice.activated and twice.quality["duplicate_id_estab"] == 1
+    assert not PB.publish(spark, row("BR", "2"), root, "BR", version="v4").activated  # as before without it
