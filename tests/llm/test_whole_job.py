@@ -67,3 +67,10 @@ def test_toxicity_keeps_every_exception(spark):
     rows += [(" ".join(word(10_000 + 9 * d + k) for k in range(9)), 0) for d in range(500)]
     _, starts, exceptions = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
     assert "grub" in starts and sum(x.startswith("grub") for x in exceptions) == 4500
+
+
+def test_lm_trains_its_weights_on_every_training_row(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, f"text number {i} of many", "s") for i in range(200)], clash=False).select("doc_id", "text")
+    fits = lm.training_ids(docs, sent(spark)).where("fits")
+    texts = sum(len(r["sizes"]) // 8 for r in fits.collect())
+    assert texts == docs.where(~lm.held_out(F.col("doc_id"))).count()
