@@ -171,3 +171,21 @@ def test_companies_are_counted_once_per_cell(spark):
             s, n = expected.get((g, *cell), (set(), 0))
             expected[g, *cell] = (s | ({(r["pais"], r["id_legal"])} if r["id_legal"] else set()), n + 1)
     assert got == {k: (len(s), n) for k, (s, n) in expected.items()}
+
+
+def test_clustering_maps_the_rows_once(spark, scratch):
+    """No sampled ranges: what makes the rows runs one time per row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(2000).selectExpr("cast(id % 5 as string) regiao", "cast(id % 7 as string) cod_atividade", "cast(id as string) id_estab")
+    PB.clustered(rows.mapInArrow(note, rows.schema)).write.parquet(scratch("once"))
+    assert seen.value == 2000
+    seen.value = 0
+    texts = rows.selectExpr("'BR' pais", "id_estab", "id_estab razao_social", "id_estab nome_fantasia")
+    SE.build(spark, texts.mapInArrow(note, texts.schema))
+    assert seen.value == 2000
