@@ -173,6 +173,16 @@ def test_companies_are_counted_once_per_cell(spark):
     assert got == {k: (len(s), n) for k, (s, n) in expected.items()}
 
 
+def test_compaction_bounds_the_rows_of_a_task(spark, scratch, monkeypatch):
+    """A log that packs well, all of one instant, is still cut into several ranges."""
+    monkeypatch.setattr(AU, "MAX_ROWS", 1000, raising=False)
+    log = scratch("audit")
+    spark.range(4000).selectExpr("'a' operacao", "cast(id as string) usuario", "timestamp'2026-01-01' quando").repartition(2).write.parquet(log)
+    AU.compact_log(spark, log)
+    sizes = [r[0] for r in spark.read.parquet(AU._log_files(log)[0][0]).groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(sizes) >= 3 and max(sizes) <= 2000 and AU.read_log(spark, log).count() == 4000
+
+
 def test_clustering_maps_the_rows_once(spark, scratch):
     """No sampled ranges: what makes the rows runs one time per row."""
     seen = spark.sparkContext.accumulator(0)
