@@ -48,7 +48,8 @@ def _change(spark: SparkSession, root: str, make: Callable[[DataFrame], tuple[Da
         if not n:
             return 0
         version = PB.new_version_id()
-        rows.select(*COLUMNS).coalesce(1).write.parquet(PB.version_dir(root, version))
+        # one file while the list is small; a long one is not joined and written by one task
+        rows.select(*COLUMNS).hint("rebalance").write.parquet(PB.version_dir(root, version))
         if PB.active_version(root) == before:
             PB.activate(root, version)
             return n
