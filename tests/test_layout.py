@@ -199,3 +199,32 @@ def test_clustering_maps_the_rows_once(spark, scratch):
     texts = rows.selectExpr("'BR' pais", "id_estab", "id_estab razao_social", "id_estab nome_fantasia")
     SE.build(spark, texts.mapInArrow(note, texts.schema))
     assert seen.value == 2000
+
+
+def test_long_optout_list_is_written_by_many_tasks(spark, scratch):
+    from prospecta.plans import optout as OO
+
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB"}
+    root = scratch("long-list")
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert OO.add(spark, root, spark.range(20_000).selectExpr("md5(cast(id as string)) id_estab")) == 20_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    rows = OO.read_list(spark, root)
+    assert rows.count() == 20_000 and len(rows.inputFiles()) > 1
+
+
+def test_leads_without_email_stay_out_of_the_email_list(spark, no_broadcast):
+    from prospecta.operators import gate as G
+
+    rows = [dict(id_estab="1"), dict(id_estab="2"), dict(id_estab="3", email="A@b.c"), dict(id_estab="4", email="d@e.f"), dict(id_estab=None)]
+    raw = spark.createDataFrame([("2", ""), ("", "a@b.c")], "id_estab string, email string")
+    out = G.is_suppressed_join(make_leads(spark, rows), G.load_optout(raw))
+    assert sorted(str(r.id_estab) for r in out.collect()) == ["1", "4", "None"]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    without = plan[plan.rindex("Join LeftAnti") :]  # the union's last branch meets the ids only
+    assert "isnull(email" in without and "__optout_email" not in without
