@@ -85,3 +85,15 @@ def test_restricted_flag_is_conservative(spark):
 def test_split_csv_field():
     assert N.split_csv_field(" a, ,b ,") == ["a", "b"]
     assert N.split_csv_field(" , ") is None
+
+
+def test_clean_texts_are_not_held_against_the_list_of_blanks(spark):
+    odd = ["", " ", "\t a ", "a", "!", "~x", " 2020-01-02 ", "2020-01-02T10", "2020-1-2", "　x", "é", "\x7f", "x\x85", " ", None, "2020-02-30"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    got = df.select(N.strip("x").alias("s"), N.blank_to_null("x").alias("b"), N.parse_iso_date("x").cast("string").alias("d")).collect()
+    assert [r.s for r in got] == [None if x is None else x.strip() for x in odd]
+    assert [r.b for r in got] == [None if x is None else x.strip() or None for x in odd]
+    assert [r.d for r in got] == [{" 2020-01-02 ": "2020-01-02", "2020-01-02T10": "2020-01-02"}.get(x) for x in odd]
+    for rule in (N.strip, N.blank_to_null, N.parse_iso_date):
+        plan = df.select(rule("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "instr(" not in plan  # the list of blanks isn't searched for clean texts
