@@ -5,10 +5,12 @@ start inside a quoted field, and does it end inside one? ``ends_open`` gives bot
 from the line alone. If no line that starts outside ends inside, every line is a record and
 that is all there is to do. Only files in which some line does are put together:
 
-1. their lines are numbered within their splits and stored (numbers of one scan), and
-   stored again with their states;
+1. their lines are numbered within their splits and stored (numbers of one scan). A line
+   without a quote leaves the bit as it is, so only lines with one are stored again with
+   their states;
 2. the functions are composed per split, and over the splits of a file, which tells the
-   state at every split's start and, by running windows within the splits, at every line's;
+   state at every split's start and, by running windows within the splits, at every line
+   with a quote; of the others only those between two such lines, inside a field, are picked;
 3. a line that starts inside belongs to the record of the last line before it that does not.
 
 Fields follow the usual reader: a quote opens a quoted field only at the field's start, two
@@ -92,28 +94,45 @@ def _after(state: Column) -> Column:
 
 def _joined(lines: DataFrame, sep: str) -> DataFrame:
     """(file, value, reject) of the records of files with records over several lines."""
+    spark = lines.sparkSession
     f0, f1 = ends_open(F.col("value"), sep)
-    path = scratch_path(lines.sparkSession, "numbered-lines")
-    lines.select("*", F.monotonically_increasing_id().alias("id"), f0.alias("f0"), f1.alias("f1")).write.parquet(path)
-    at = _start_states(lines.sparkSession.read.parquet(path), ["file", "split"], "id")
+    path = scratch_path(spark, "numbered-lines")
+    lines.select("*", F.monotonically_increasing_id().alias("id"), f0.alias("f0"), f1.alias("f1"), F.col("value").contains('"').alias("quoted")).write.parquet(path)
+    lines = spark.read.parquet(path)
+    # lines without a quote leave the state as it is: only the others go through the windows
+    at = _start_states(lines.where("quoted"), ["file", "split"], "id")
     ends = F.struct(_after(F.coalesce("known", "flip")).alias("f0"), _after(F.coalesce("known", ~F.col("flip"))).alias("f1"))
-    splits = at.groupBy("file", "split").agg(F.max_by(ends, "id").alias("e")).select("file", "split", "e.f0", "e.f1")
-    begin = _start_states(splits, ["file"], "split").select("file", "split", F.coalesce("known", "flip").alias("inside"))
-    at = at.join(begin, ["file", "split"]).withColumn("open", F.coalesce("known", F.col("flip") != F.col("inside")))
-    at = at.select("file", "split", "id", "value", "open", _after(F.col("open")).alias("on"))
-    # the record of a line: the last line at or before it that starts outside
+    path = scratch_path(spark, "quoted-lines")
     here = Window.partitionBy("file", "split").orderBy("id")
+    at.select("file", "split", "id", "value", "f0", "f1", "known", "flip", ends.alias("e"), F.lead("id").over(here).alias("next")).write.parquet(path)
+    at = spark.read.parquet(path)
+    changed = at.groupBy("file", "split").agg(F.max_by("e", "id").alias("e"), F.min("id").alias("next"))
+    splits = lines.groupBy("file", "split").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).join(changed, ["file", "split"], "left")
+    splits = splits.select("file", "split", "lo", "hi", "next", F.coalesce("e.f0", F.lit(False)).alias("f0"), F.coalesce("e.f1", F.lit(True)).alias("f1"))
+    begin = _start_states(splits, ["file"], "split").select("file", "split", "lo", "hi", F.col("next").alias("first"), F.coalesce("known", "flip").alias("inside"))
+    at = at.join(begin, ["file", "split"]).withColumn("open", F.coalesce("known", F.col("flip") != F.col("inside")))
+    at = at.select("file", "split", "id", "value", "hi", "next", "open", _after(F.col("open")).alias("on"))
+    # the record of a line: the last line at or before it that starts outside; where it has
+    # several lines, that one holds a quote
     head = F.when(~F.col("open"), F.struct("split", "id"))
-    heads = at.groupBy("file", "split").agg(F.max(head).alias("head"))
+    heads = begin.join(at.groupBy("file", "split").agg(F.max(head).alias("head")), ["file", "split"], "left")
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("file", "split", F.last("head", ignorenulls=True).over(earlier).alias("carried"))
-    at = at.withColumn("head", F.last(head, ignorenulls=True).over(here)).join(heads, ["file", "split"])
-    # stored once: the lines are taken three ways from here
-    path = scratch_path(lines.sparkSession, "stated-lines")
-    at.select("file", "split", "id", "value", "open", "on", F.coalesce("head", "carried").alias("head")).write.parquet(path)
-    at = lines.sparkSession.read.parquet(path)
-    single = at.where(~F.col("open") & ~F.col("on")).select("file", "value", F.lit(False).alias("reject"))
-    several = at.where(F.col("open") | F.col("on")).select("file", "head", "split", "id", "value")
+    heads = heads.select("file", "split", "lo", "hi", "first", "inside", F.last("head", ignorenulls=True).over(earlier).alias("carried"))
+    path = scratch_path(spark, "split-states")
+    heads.write.parquet(path)  # a row per split
+    heads = spark.read.parquet(path)
+    at = at.withColumn("head", F.last(head, ignorenulls=True).over(here)).join(heads.select("file", "split", "carried"), ["file", "split"])
+    path = scratch_path(spark, "stated-lines")
+    at.select("file", "split", "id", "value", "hi", "next", "open", "on", F.coalesce("head", "carried").alias("head")).write.parquet(path)
+    at = spark.read.parquet(path)
+    # lines without a quote inside a field: what lies between two lines with one, or before the first
+    between = at.where("on").select("head", (F.col("id") + 1).alias("a"), F.coalesce(F.col("next") - 1, "hi").alias("b"))
+    before = heads.where("inside").select(F.col("carried").alias("head"), F.col("lo").alias("a"), F.coalesce(F.col("first") - 1, "hi").alias("b"))
+    inner = between.unionByName(before).where("a <= b").select("head", F.explode(F.sequence("a", "b")).alias("id"))
+    plain = lines.where("NOT quoted").select("file", "split", "id", "value")
+    single = plain.join(inner.select("id"), "id", "left_anti").select("file", "value")
+    single = single.unionByName(at.where(~F.col("open") & ~F.col("on")).select("file", "value")).withColumn("reject", F.lit(False))
+    several = at.where(F.col("open") | F.col("on")).select("file", "head", "split", "id", "value").unionByName(plain.join(inner, "id").select("file", "head", "split", "id", "value"))
     several = several.withColumn("of", F.concat_ws("|", "file", "head.split", "head.id"))
     size = several.groupBy("of").agg(F.sum(F.length("value") + 1).alias("size")).select(split_key(F.col("of")).alias("k"), "size")
     several = several.join(size, split_key(F.col("of")) == F.col("k"))

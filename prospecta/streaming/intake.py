@@ -114,8 +114,11 @@ def _mark_files(stored: DataFrame, earlier: DataFrame) -> DataFrame:
     records count each time and their order does not matter; of the files of a batch with
     one digest the first by name is taken. Partial sums per file: one row per task and file."""
     record = [F.coalesce(F.col(c), F.lit("\u0000")) for c in stored.columns if c not in (FILE, REJECT)]
-    sums = [F.sum(F.xxhash64(F.lit(seed), *record).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
-    digests = stored.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"), *sums).select(FILE, F.concat_ws("-", "n", "s1", "s2").alias("digest"))
+    hashed = stored.select(FILE, *[F.xxhash64(F.lit(seed), *record).alias(f"h{seed}") for seed in (1, 2)])
+    # added up in halves: sums of long, not of decimal
+    halves = [F.sum(f(F.col(f"h{seed}"))).alias(f"{half}{seed}") for seed in (1, 2) for half, f in (("hi", lambda h: F.shiftright(h, 32)), ("lo", lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))))]
+    sums = [F.col(f"hi{seed}").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(f"lo{seed}").cast("decimal(20,0)") for seed in (1, 2)]
+    digests = hashed.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"), *halves).select(FILE, F.concat_ws("-", "n", *[s.cast("decimal(38,0)") for s in sums]).alias("digest"))
     first = digests.groupBy("digest").agg(F.min(FILE).alias("first"))
     marked = digests.join(first, "digest").join(earlier.withColumn("known", F.lit(True)), "digest", "left")
     return marked.select(FILE, "digest", (F.col("known").isNotNull() | (F.col(FILE) != F.col("first"))).alias(REPEATED))

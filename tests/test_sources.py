@@ -146,3 +146,27 @@ def test_a_quote_that_is_never_closed_rejects_its_lines_only(spark, scratch, mon
     scan = R.read_positional_csv(spark, [p, f"{d}/y.csv"], ("a", "b"))
     assert sorted(tuple(r) for r in scan.rows.collect()) == [("1", "a"), ("2", "b\nc"), ("8", "fine")]
     assert scan.malformed.count() == 101
+
+
+def test_lines_without_a_quote_stay_out_of_the_windows(spark, scratch, monkeypatch):
+    """Records over several lines, some of them without a quote and over several splits: only
+    lines with a quote are stored with their states, and every record is whole."""
+    from prospecta.sources import records
+
+    stored = {}
+    path = records.scratch_path
+    monkeypatch.setattr(records, "scratch_path", lambda s, name: stored.setdefault(name, path(s, name)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    d = local(scratch("inner"))
+    long = "\n".join(f"inner line {k}" for k in range(40))
+    lines = [f"{k};x" for k in range(60)] + [f'60;"{long}"'] + [f"{k};y" for k in range(61, 90)] + ['90;"open', "inside", 'end"', "91;z"]
+    p = write(f"{d}/x.csv", lines)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = {r.a: r.b for r in R.read_positional_csv(spark, p, ("a", "b")).rows.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 92 and got["60"] == long and got["90"] == "open\ninside\nend" and got["91"] == "z"
+    assert spark.read.parquet(stored["stated-lines"]).count() == 4  # of 137 lines
