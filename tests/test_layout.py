@@ -228,3 +228,44 @@ def test_leads_without_email_stay_out_of_the_email_list(spark, no_broadcast):
     plan = out._jdf.queryExecution().analyzed().toString()
     without = plan[plan.rindex("Join LeftAnti") :]  # the union's last branch meets the ids only
     assert "isnull(email" in without and "__optout_email" not in without
+
+
+def _bytes(path):
+    import os
+
+    at = path.removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(at) for f in fs if f.endswith(".parquet"))
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_search_index_takes_few_bytes_a_posting_and_leaves_no_shuffle(spark, scratch):
+    path = scratch("search-leads")
+    rows = spark.range(0, 20_000, 1, 4).selectExpr("'BR' pais", "lpad(cast(id * 7919 as string), 14, '0') id_estab", "concat('EMPRESA COMERCIAL ', id) razao_social", "cast(null as string) nome_fantasia")
+    rows.write.parquet(path)
+    leads, before = spark.read.parquet(path), _shuffle_files(spark)
+    index = SE.build(spark, leads)
+    assert not _shuffle_files(spark) - before
+    n = spark.read.parquet(index.frequencies).agg(F.sum("n")).first()[0]
+    assert n > 20_000 * 20 and _bytes(index.postings) < 1.5 * n  # ids and all; some 3 bytes when each posting had its id
+    got = sorted(r.id_estab for r in SE.text_search(leads, index, "comercial 199").collect())
+    assert got == sorted(r.id_estab for r in SG.text_search(leads, "comercial 199").collect()) and len(got) > 100
+
+
+def test_search_index_of_null_and_repeated_keys(spark):
+    rows = [dict(id_estab="7", razao_social="ALFA BETA"), dict(id_estab="7", razao_social="GAMA"), dict(id_estab=None, razao_social="ALFA"), dict(id_estab=None, razao_social="GAMA"), dict(id_estab="8", razao_social="")]
+    leads = make_leads(spark, rows + rows[:1])
+    index = SE.build(spark, leads)
+    for q in ("alfa", "gama", "beta", "alfa b", "delta"):
+        assert sorted(map(repr, SE.text_search(leads, index, q).collect())) == sorted(map(repr, SG.text_search(leads, q).collect())), q
+
+
+def test_bloom_filters_are_as_large_as_the_ids_ask_for(spark, scratch):
+    rows = spark.range(3000).selectExpr("cast(id % 5 as string) regiao", "cast(id % 7 as string) cod_atividade", "md5(cast(id as string)) id_estab")
+    plain, bloom = scratch("plain"), scratch("bloom")
+    rows.coalesce(1).write.option("compression", "zstd").parquet(plain)
+    rows.coalesce(1).write.options(**PB.lookup_options()).parquet(bloom)
+    assert 2000 < _bytes(bloom) - _bytes(plain) < 64_000  # about a byte an id; 1 MB before
