@@ -269,3 +269,25 @@ def test_bloom_filters_are_as_large_as_the_ids_ask_for(spark, scratch):
     rows.coalesce(1).write.option("compression", "zstd").parquet(plain)
     rows.coalesce(1).write.options(**PB.lookup_options()).parquet(bloom)
     assert 2000 < _bytes(bloom) - _bytes(plain) < 64_000  # about a byte an id; 1 MB before
+
+
+def test_steps_of_a_publish_leave_no_shuffle_and_no_stored_rows(spark, scratch, monkeypatch):
+    import os
+
+    from prospecta import catalog as C
+
+    root, made, stored = scratch("freed"), [], C.stored_while
+
+    def noted(spark, df, name):
+        made.append(checkpoint_root(spark) + "/prospecta")
+        return stored(spark, df, name)
+
+    from prospecta.session import checkpoint_root
+
+    monkeypatch.setattr(C, "_publish_root", lambda spark: root)
+    monkeypatch.setattr(C, "stored_while", noted)
+    before = _shuffle_files(spark)
+    out = C.q_carry_forward(spark, "/root/testdata/sf0.001")
+    assert not _shuffle_files(spark) - before
+    assert len(made) == 2 and not [f for f in os.listdir(made[0].removeprefix("file:")) if f.startswith("mapped-")]
+    assert out.groupBy("pais", "id_estab").count().where("count > 1").count() == 0
