@@ -291,3 +291,13 @@ def test_steps_of_a_publish_leave_no_shuffle_and_no_stored_rows(spark, scratch,
     assert not _shuffle_files(spark) - before
     assert len(made) == 2 and not [f for f in os.listdir(made[0].removeprefix("file:")) if f.startswith("mapped-")]
     assert out.groupBy("pais", "id_estab").count().where("count > 1").count() == 0
+
+
+def test_clustering_in_passes_gives_every_row_once(spark, scratch):
+    path = scratch("unclustered")
+    spark.range(3000).selectExpr("nullif(cast(id % 11 as string), '3') regiao", "nullif(cast(id % 7 as string), '2') cod_atividade", "cast(id as string) id_estab").write.parquet(path)
+    rows = spark.read.parquet(path)
+    parts = [[tuple(r) for r in f.collect()] for f in PB.clustered_in_passes(rows, pass_rows=1000)]
+    assert len(parts) == 3 and sorted(map(repr, sum(parts, []))) == sorted(repr(tuple(r)) for r in rows.collect())
+    assert not set.intersection(*[{r[:2] for r in p} for p in parts]) and max(map(len, parts)) < 2000
+    assert len([*PB.clustered_in_passes(rows)]) == 1
