@@ -340,3 +340,21 @@ def test_publish_tells_the_ids_of_two_registries_apart(spark, scratch):
     twice = PB.publish(spark, row("BR", "2", "2"), root, "BR", version="v3", thresholds=thr)
     assert not twice.activated and twice.quality["duplicate_id_estab"] == 1
     assert not PB.publish(spark, row("BR", "2"), root, "BR", version="v4").activated  # as before without it
+
+
+def test_text_export_is_compressed_whole_and_keeps_nothing_else(spark, scratch):
+    rows = make_leads(spark, [dict(id_estab=f"{i:06d}", razao_social=f"N{i}") for i in range(500)])
+    none = G.load_optout(spark.createDataFrame([("", "")], "id_estab string, email string"))
+    dest = scratch("txt")
+    kept = os.path.dirname(local(dest))
+    held = {f for f in os.listdir(kept) if f.startswith("export-held")} if os.path.isdir(kept) else set()
+    X.export_leads(spark, rows, none, X.ExportRequest(SG.Criteria(), dest, "txt"), scratch("txt-audit"))
+    lines = [r.value for r in spark.read.text(dest).collect()]
+    assert lines.count("Total de leads: 500") == 1 and lines.count("=" * 80) == 1000
+    assert {f"N{i}" for i in range(500)} <= set(lines)
+    size = sum(os.path.getsize(os.path.join(local(dest), f)) for f in os.listdir(local(dest)))
+    assert size * 5 < sum(len(x.encode()) + 1 for x in lines)
+    assert {f for f in os.listdir(kept) if f.startswith("export-held")} == held
+    plain = scratch("plain-txt")
+    X.write_txt(rows, plain, compression="none")
+    assert [f for f in os.listdir(local(plain)) if f.endswith(".txt")]
